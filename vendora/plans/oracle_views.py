@@ -52,7 +52,8 @@ VIEWS: dict[str, tuple[list[str], str]] = {
     "fx_returns": ([], f"""
         SELECT l_orderkey AS order_id, l_partkey AS product_id,
                'R' || CAST(l_linenumber AS VARCHAR) AS return_reason,
-               l_extendedprice * (1 - l_discount) AS refund_amount,
+               CAST(l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l_discount AS DECIMAL(4,2)))
+                 AS refund_amount,
                {_d('l_shipdate')} AS return_date
         FROM lineitem WHERE l_returnflag = 'R'"""),
     "fx_customers": ([], """
@@ -75,8 +76,9 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM events"""),
     "fx_sales_lines": (["fx_geography"], f"""
         SELECT {_d('o.o_orderdate')} AS date,
-               l.l_extendedprice * (1 - l.l_discount) AS line_revenue,
-               l.l_quantity * p.p_retailprice AS line_cogs,
+               CAST(l.l_extendedprice AS DECIMAL(18,2)) * (1 - CAST(l.l_discount AS DECIMAL(4,2)))
+                 AS line_revenue,
+               CAST(l.l_quantity AS DECIMAL(18,2)) * CAST(p.p_retailprice AS DECIMAL(18,2)) AS line_cogs,
                g.region || '|' || p.p_type AS series_id
         FROM lineitem l
         JOIN orders o ON l.l_orderkey = o.o_orderkey
@@ -84,11 +86,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         JOIN customer c ON o.o_custkey = c.c_custkey
         JOIN fx_geography g ON c.c_nationkey = g.zip"""),
     "fx_sales": (["fx_sales_lines"], """
-        SELECT date, round(sum(line_revenue), 2) AS revenue, round(sum(line_cogs), 2) AS cogs
+        SELECT date, CAST(round(sum(line_revenue), 2) AS DOUBLE) AS revenue,
+               CAST(round(sum(line_cogs), 2) AS DOUBLE) AS cogs
         FROM fx_sales_lines GROUP BY date"""),
     "fx_sales_panel": (["fx_sales_lines"], """
-        SELECT series_id, date, round(sum(line_revenue), 2) AS revenue,
-               round(sum(line_cogs), 2) AS cogs
+        SELECT series_id, date, CAST(round(sum(line_revenue), 2) AS DOUBLE) AS revenue,
+               CAST(round(sum(line_cogs), 2) AS DOUBLE) AS cogs
         FROM fx_sales_lines GROUP BY series_id, date"""),
     "fx_shipments": (["fx_orders_zip"], f"""
         SELECT * FROM (

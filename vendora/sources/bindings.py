@@ -49,6 +49,20 @@ class Sources:
         return self._cache[name]
 
 
+def money(col: str):
+    """Money as exact decimal: inputs carry two decimals, so sums are exact and
+    rounding a total never depends on summation order."""
+    return F.col(col).cast("decimal(18,2)")
+
+
+def rate(col: str):
+    return F.col(col).cast("decimal(4,2)")
+
+
+def line_revenue():
+    return money("l_extendedprice") * (1 - rate("l_discount"))
+
+
 def shifted_date(col: str):
     return F.add_months(F.col(col).cast("date"), SHIFT_MONTHS)
 
@@ -135,7 +149,7 @@ def returns(src: Sources) -> DataFrame:
         F.col("l_orderkey").alias("order_id"),
         F.col("l_partkey").alias("product_id"),
         F.concat(F.lit("R"), F.col("l_linenumber").cast("string")).alias("return_reason"),
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("refund_amount"),
+        line_revenue().alias("refund_amount"),
         shifted_date("l_shipdate").alias("return_date"),
     )
 
@@ -181,12 +195,12 @@ def web_traffic(src: Sources) -> DataFrame:
 def _sales_lines(src: Sources, with_region: bool) -> DataFrame:
     li = src.table("lineitem").select(
         "l_orderkey", "l_partkey", "l_quantity",
-        (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("line_revenue"))
+        line_revenue().alias("line_revenue"))
     o = src.table("orders").select("o_orderkey", "o_custkey", shifted_date("o_orderdate").alias("date"))
     p = src.table("part").select("p_partkey", "p_retailprice", "p_type")
     x = (li.join(o, li.l_orderkey == o.o_orderkey)
            .join(p, li.l_partkey == p.p_partkey)
-           .withColumn("line_cogs", F.col("l_quantity") * F.col("p_retailprice")))
+           .withColumn("line_cogs", F.col("l_quantity").cast("decimal(18,2)") * money("p_retailprice")))
     if with_region:
         c = src.table("customer").select("c_custkey", "c_nationkey")
         x = x.join(c, x.o_custkey == c.c_custkey).join(geography(src), F.col("c_nationkey") == F.col("zip"))
@@ -197,16 +211,16 @@ def sales(src: Sources) -> DataFrame:
     """Daily company totals: (date, revenue, cogs), one row per day with orders."""
     x = _sales_lines(src, with_region=False)
     return (x.groupBy("date")
-             .agg(F.round(F.sum("line_revenue"), 2).alias("revenue"),
-                  F.round(F.sum("line_cogs"), 2).alias("cogs")))
+             .agg(F.round(F.sum("line_revenue"), 2).cast("double").alias("revenue"),
+                  F.round(F.sum("line_cogs"), 2).cast("double").alias("cogs")))
 
 
 def sales_panel(src: Sources) -> DataFrame:
     """Daily (region | category) series: (series_id, date, revenue, cogs)."""
     x = _sales_lines(src, with_region=True)
     return (x.groupBy(F.concat_ws("|", F.col("region"), F.col("p_type")).alias("series_id"), "date")
-             .agg(F.round(F.sum("line_revenue"), 2).alias("revenue"),
-                  F.round(F.sum("line_cogs"), 2).alias("cogs")))
+             .agg(F.round(F.sum("line_revenue"), 2).cast("double").alias("revenue"),
+                  F.round(F.sum("line_cogs"), 2).cast("double").alias("cogs")))
 
 
 def shipments(src: Sources) -> DataFrame:
