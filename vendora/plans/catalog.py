@@ -7,6 +7,7 @@ import importlib
 PLAN_MODULES = [
     "vendora.plans.q_commerce",
     "vendora.plans.q_calendar",
+    "vendora.plans.q_baseline",
 ]
 
 
