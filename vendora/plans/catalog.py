@@ -8,6 +8,7 @@ PLAN_MODULES = [
     "vendora.plans.q_commerce",
     "vendora.plans.q_calendar",
     "vendora.plans.q_baseline",
+    "vendora.plans.q_diagnostics",
 ]
 
 

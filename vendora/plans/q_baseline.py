@@ -137,9 +137,9 @@ def q_baseline_forecast(spark, sf):
     return baseline_forecast(spark, sf)
 
 
-def baseline_forecast(spark, sf):
+def baseline_forecast(spark, sf, round_to: int | None = 2):
     daily = total_daily(spark, sf)
-    return bl.fit_predict(daily, horizon(spark, daily), ["series_id"], VALUES).drop("series_id")
+    return bl.fit_predict(daily, horizon(spark, daily), ["series_id"], VALUES, round_to=round_to).drop("series_id")
 
 
 @register("baseline_mape", rounding={"mape_revenue": 6, "mape_cogs": 6}, extra_ctes=BASE_CTES, sql=f"""
