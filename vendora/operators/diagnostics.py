@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.stats import norm_ppf
+from vendora.operators.relational import global_prefix
 
 SPIKE_QUANTILE = 0.90
 HIST_BINS = 60
@@ -112,28 +113,8 @@ def residual_histogram(res: DataFrame, col: str = "residual", bins: int = HIST_B
 
 
 def global_row_number(df: DataFrame, order_col: str, out: str = "rank", buckets: int = 64) -> DataFrame:
-    """1-based position of each row in ``order_col`` order, without a
-    single-partition window.
-
-    Rows are split into value buckets at approximate quantiles (one scalar
-    subquery), bucket sizes become offsets (a table of ``buckets`` rows), and
-    the row number inside each bucket is added to its offset.  Ties keep an
-    arbitrary but consistent order, as any sort does.
-    """
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(order_col, probs, 10000).alias("c")).select("c").scalar()
-    # number of cuts strictly below the value = its first position in the
-    # sorted (cuts + value) array, minus one (no higher-order function, so the
-    # cuts may come from a scalar subquery)
-    x = F.col(order_col)
-    bucket = F.array_position(F.sort_array(F.concat(cuts, F.array(x))), x) - 1
-    b = df.withColumn("_b", bucket)
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"))
-    offs = sizes.select("_b", (F.sum("_n").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)))
-                        .alias("_off"))
-    w = Window.partitionBy("_b").orderBy(order_col)
-    r = b.join(F.broadcast(offs), "_b").withColumn(out, F.coalesce(F.col("_off"), F.lit(0)) + F.row_number().over(w))
-    return r.drop("_b", "_off")
+    """1-based position in ``order_col`` order without a single-partition window."""
+    return global_prefix(df, [order_col], None, rank_out=out, buckets=buckets)
 
 
 def empirical_cdf(res: DataFrame, col: str = "residual") -> DataFrame:

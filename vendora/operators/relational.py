@@ -113,3 +113,42 @@ def exact_quantile_from_counts(hist: DataFrame, value: str, weight: str, q: floa
 
 def money(c: Column, digits: int = 2) -> Column:
     return F.round(c.cast("double"), digits)
+
+
+def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None, rank_out: str = "rank",
+                  cum_out: str = "cum", buckets: int = 64) -> DataFrame:
+    """Global 1-based row number (and running sum of ``value``) in the order
+    of ``order_cols`` (all ascending), without a single-partition window.
+
+    Rows are split into ranges of the first order column at approximate
+    quantiles (one scalar subquery); per-range counts and sums become offsets
+    (a table of ``buckets`` rows, prefix-summed), and the row number / running
+    sum inside each range is added to its offset.  Equal first-column values
+    always land in the same range, so ties are ordered by the remaining
+    columns exactly as a global sort would order them.
+    """
+    first = order_cols[0]
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = df.agg(F.percentile_approx(first, probs, 10000).alias("c")).select("c").scalar()
+    x = F.col(first)
+    # cuts strictly below x = first position of x in sorted(cuts + [x]) - 1
+    b = df.withColumn("_b", F.array_position(F.sort_array(F.concat(cuts, F.array(x))), x) - 1)
+    val = F.col(value) if value else F.lit(0)
+    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+                        F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"))
+    w = Window.partitionBy("_b").orderBy(*order_cols)
+    r = b.join(F.broadcast(offs), "_b").withColumn(rank_out, F.col("_off_n") + F.row_number().over(w))
+    if value:
+        r = r.withColumn(cum_out, F.col("_off_s") + F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return r.drop("_b", "_off_n", "_off_s")
+
+
+def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:
+    """``ntile(k)`` of the row at 1-based ``rank`` among ``n`` rows (first
+    buckets one larger when k does not divide n), as Spark/SQL define it."""
+    q = F.floor(n / k)
+    rem = n - q * k
+    big = rem * (q + 1)
+    return F.when(rank <= big, F.ceil(rank / (q + 1))).otherwise(rem + F.ceil((rank - big) / q)).cast("int")

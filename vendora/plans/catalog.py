@@ -9,6 +9,7 @@ PLAN_MODULES = [
     "vendora.plans.q_calendar",
     "vendora.plans.q_baseline",
     "vendora.plans.q_diagnostics",
+    "vendora.plans.q_dashboards",
 ]
 
 

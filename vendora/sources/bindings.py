@@ -233,6 +233,22 @@ def shipments(src: Sources) -> DataFrame:
                     "order_date", "ship_date", "lead_days")
 
 
+def inventory_daily(src: Sources) -> DataFrame:
+    """Units sold per (brand, day), with the month; pre-aggregated per brand-day."""
+    li = src.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
+    o = src.table("orders").select("o_orderkey", shifted_date("o_orderdate").alias("day"))
+    p = src.table("part").select("p_partkey", F.col("p_brand").alias("brand"))
+    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
+              .groupBy("brand", "day").agg(F.sum("l_quantity").alias("units"))
+              .withColumn("month", F.trunc("day", "month")))
+
+
+def brand_received(daily: DataFrame) -> DataFrame:
+    """Stock received per month = the brand's mean monthly units sold."""
+    monthly = daily.groupBy("brand", "month").agg(F.sum("units").alias("sold"))
+    return monthly.groupBy("brand").agg(F.avg("sold").alias("received"))
+
+
 def inventory(src: Sources) -> DataFrame:
     """Monthly stock snapshots per brand, derived from sold units.
 
@@ -243,14 +259,9 @@ def inventory(src: Sources) -> DataFrame:
     pre-aggregated to (brand, day) first, so a hot brand never piles raw lines
     into one task.
     """
-    li = src.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
-    o = src.table("orders").select("o_orderkey", shifted_date("o_orderdate").alias("day"))
-    p = src.table("part").select("p_partkey", F.col("p_brand").alias("brand"))
-    daily = (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-               .groupBy("brand", "day").agg(F.sum("l_quantity").alias("units"))
-               .withColumn("month", F.trunc("day", "month")))
+    daily = inventory_daily(src)
     monthly = daily.groupBy("brand", "month").agg(F.sum("units").alias("sold"))
-    received = monthly.groupBy("brand").agg(F.avg("sold").alias("received"))
+    received = brand_received(daily)
     w = Window.partitionBy("brand", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     reached = (daily.join(received, "brand")
                     .withColumn("running", F.sum("units").over(w))
