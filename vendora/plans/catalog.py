@@ -10,6 +10,7 @@ PLAN_MODULES = [
     "vendora.plans.q_baseline",
     "vendora.plans.q_diagnostics",
     "vendora.plans.q_dashboards",
+    "vendora.plans.q_relational",
 ]
 
 
