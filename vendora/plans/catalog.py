@@ -11,6 +11,7 @@ PLAN_MODULES = [
     "vendora.plans.q_diagnostics",
     "vendora.plans.q_dashboards",
     "vendora.plans.q_relational",
+    "vendora.plans.q_sources",
 ]
 
 
