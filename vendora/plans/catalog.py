@@ -12,6 +12,7 @@ PLAN_MODULES = [
     "vendora.plans.q_dashboards",
     "vendora.plans.q_relational",
     "vendora.plans.q_sources",
+    "vendora.plans.q_models",
 ]
 
 
