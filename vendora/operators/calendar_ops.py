@@ -53,13 +53,15 @@ def densify(df: DataFrame, keys: list[str], date_col: str, values: list[str],
     """
     agg = df.groupBy(*keys, date_col).agg(*[F.sum(v).alias(v) for v in values])
     if lo is None or hi is None:
-        blo, bhi = date_bounds(df, date_col)
+        # bounds from the aggregate, not the raw input: the scalar subquery then
+        # shares the aggregate's exchange instead of rescanning the source
+        blo, bhi = date_bounds(agg, date_col)
         lo = blo if lo is None else lo
         hi = bhi if hi is None else hi
     lo = F.lit(lo).cast("date") if isinstance(lo, str) else lo
     hi = F.lit(hi).cast("date") if isinstance(hi, str) else hi
     if keys:
-        series = df.select(*keys).distinct()
+        series = agg.select(*keys).distinct()
     else:
         series = df.sparkSession.range(1).select()
     seq = F.sequence(lo, bounded_hi(lo, hi), F.expr("INTERVAL 1 DAY"))

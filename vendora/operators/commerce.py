@@ -30,14 +30,7 @@ def q01_median_order_gap(orders: DataFrame) -> DataFrame:
                 .unionByName(per_day.filter(F.col("n") > 1)
                                     .select(F.lit(0).alias("gap"), (F.col("n") - 1).alias("w")))
                 .groupBy("gap").agg(F.sum("w").alias("w")))
-    med = exact_quantile_from_counts(hist, "gap", "w", 0.5, out="median_gap_days")
-    n = hist.agg(F.sum("w").cast("long").alias("n_gaps"))
-    return _one_row_zip(med, n)
-
-
-def _one_row_zip(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Side-by-side of two single-row aggregates (joined on a constant key)."""
-    return (a.withColumn("_k", F.lit(1)).join(b.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    return exact_quantile_from_counts(hist, "gap", "w", 0.5, out="median_gap_days", n_out="n_gaps")
 
 
 def q02_segment_margin(products: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendora.operators.relational import exact_quantile_from_counts, global_prefix, ntile_from_rank
+from vendora.operators.relational import exact_quantile_from_counts, global_prefix, materialize, ntile_from_rank
 
 # Fixed values of the pinned definitions
 MARGIN_WINDOW_MONTHS = 3
@@ -69,20 +69,24 @@ def seasonality(daily: DataFrame, orders: DataFrame) -> DataFrame:
     return j.groupBy("month_no").agg(F.avg("revenue").alias("avg_revenue"), F.avg("orders").alias("avg_orders"))
 
 
-def rfm_segments(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """Quintile scores over purchasing customers (delivered orders), ties by id."""
+def rfm_segments(customers: DataFrame, orders: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """Quintile scores over purchasing customers (delivered orders), ties by id.
+    ``delivered`` may pass the delivered orders pre-filtered at the scan."""
     as_of = orders.agg(F.max("order_date").alias("d")).select("d").scalar()
-    d = orders.filter(F.col("order_status") == "delivered")
+    d = delivered if delivered is not None else orders.filter(F.col("order_status") == "delivered")
     per = d.groupBy("customer_id").agg(F.max("order_date").alias("last"), F.count(F.lit(1)).alias("freq"),
                                        F.sum("order_total").alias("monetary"))
-    per = per.withColumn("_neg_recency", -F.datediff(F.lit(as_of), F.col("last")))
+    # the per-customer table feeds three rankings (each reads it three times):
+    # materialize it once instead of re-aggregating the orders nine times
+    per = materialize(per.withColumn("_neg_recency", -F.datediff(F.lit(as_of), F.col("last"))))
     n = per.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    r = global_prefix(per, ["_neg_recency", "customer_id"], rank_out="_rr")
-    r = global_prefix(r, ["freq", "customer_id"], rank_out="_fr")
-    r = global_prefix(r, ["monetary", "customer_id"], rank_out="_mr")
-    scores = r.select("customer_id", ntile_from_rank(F.col("_rr"), n, RFM_BUCKETS).alias("R"),
-                      ntile_from_rank(F.col("_fr"), n, RFM_BUCKETS).alias("F"),
-                      ntile_from_rank(F.col("_mr"), n, RFM_BUCKETS).alias("M"))
+    # three independent rankings of the same per-customer table, joined by key
+    # (nesting them would copy each ranking's subqueries into the next)
+    def score(order_col: str, name: str) -> DataFrame:
+        r = global_prefix(per.select("customer_id", order_col), [order_col, "customer_id"], rank_out="_r")
+        return r.select("customer_id", ntile_from_rank(F.col("_r"), n, RFM_BUCKETS).alias(name))
+    scores = score("_neg_recency", "R").join(score("freq", "F"), "customer_id").join(score("monetary", "M"),
+                                                                                   "customer_id")
     c = customers.select("customer_id").join(scores, "customer_id", "left")
     seg = (F.when(F.col("R").isNull(), "Never Purchased")
             .when((F.col("R") >= 4) & (F.col("F") >= 4), "Champions")
@@ -219,7 +223,8 @@ def region_orders(orders_zip: DataFrame, geography: DataFrame) -> DataFrame:
 def abc_class(items: DataFrame) -> DataFrame:
     """Products by revenue share, largest first: running share <= 80% -> A,
     <= 95% -> B, else C.  Money is exact decimal, so the running sum is exact."""
-    rev = items.groupBy("product_id").agg(F.sum(F.col("extended_price").cast("decimal(18,2)")).alias("revenue"))
+    rev = materialize(items.groupBy("product_id").agg(
+        F.sum(F.col("extended_price").cast("decimal(18,2)")).alias("revenue")))
     total = rev.agg(F.sum("revenue").alias("t")).select("t").scalar()
     r = global_prefix(rev.withColumn("_neg", -F.col("revenue")), ["_neg", "product_id"], "revenue",
                       rank_out="rank", cum_out="cum")

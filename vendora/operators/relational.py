@@ -83,7 +83,8 @@ def lag_diff(df: DataFrame, partition: list[str], order: str, col: str, out: str
 
 
 def exact_quantile_from_counts(hist: DataFrame, value: str, weight: str, q: float,
-                               group: list[str] | None = None, out: str = "quantile") -> DataFrame:
+                               group: list[str] | None = None, out: str = "quantile",
+                               n_out: str | None = None) -> DataFrame:
     """Exact linear-interpolation quantile from a (value, count) histogram.
 
     Equal to numpy/pandas ``quantile(q)`` (linear) of the multiset the
@@ -106,9 +107,20 @@ def exact_quantile_from_counts(hist: DataFrame, value: str, weight: str, q: floa
         F.min(F.when((F.col("_lo") <= lo_r) & (lo_r < F.col("_hi")), F.col(value))).alias("_vlo"),
         F.min(F.when((F.col("_lo") <= hi_r) & (hi_r < F.col("_hi")), F.col(value))).alias("_vhi"),
         F.first("_pos").alias("_pos"),
+        F.first("_n").cast("long").alias("_n"),
     )
     frac = F.col("_pos") - F.floor(F.col("_pos"))
-    return agg.select(*group, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).cast("double").alias(out))
+    extra = [F.col("_n").alias(n_out)] if n_out else []
+    return agg.select(*group, (F.col("_vlo") + (F.col("_vhi") - F.col("_vlo")) * frac).cast("double").alias(out),
+                      *extra)
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint in the session's shared
+    ``spark.checkpoint.dir`` (used before a table is referenced many times)."""
+    from vendora.session import ensure_checkpoint_dir
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
 
 
 def money(c: Column, digits: int = 2) -> Column:

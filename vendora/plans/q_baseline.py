@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from vendora.operators import backtest as bt
 from vendora.operators import baseline as bl
 from vendora.operators import calendar_ops as co
+from vendora.plans import common as cm
 from vendora.plans.q_calendar import SPINE_CTE
 from vendora.plans.registry import register
 from vendora.sources import bindings as b
@@ -86,9 +87,8 @@ FOLD_PRED_CTES = ([SPINE_CTE, DENSE_CTE, FOLDS_CTE, FOLD_TRAIN_CTE, FOLD_VAL_CTE
 
 
 def total_daily(spark, sf):
-    """Densified company-total series keyed by a constant series id."""
-    dense = co.densify(b.sales(b.Sources(spark, sf)), [], "date", VALUES)
-    return dense.select(F.lit("TOTAL").alias("series_id"), "date", *VALUES)
+    """Densified company-total series keyed by a constant series id (materialized once)."""
+    return cm.total_daily(spark, sf)
 
 
 def horizon(spark, daily):

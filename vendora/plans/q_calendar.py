@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from vendora.functions import calendar as cal
 from vendora.operators import calendar_ops as co
+from vendora.plans import common as cm
 from vendora.plans.registry import register
 from vendora.sources import bindings as b
 
@@ -168,7 +169,7 @@ def S(spark, sf):
 
 
 def sales_spine(spark, sf):
-    lo, hi = co.date_bounds(b.sales(S(spark, sf)), "date")
+    lo, hi = co.date_bounds(cm.sales_daily(spark, sf), "date")
     return co.date_spine(spark, lo, hi)
 
 
@@ -189,7 +190,7 @@ CROSS JOIN (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS
             FROM (SELECT min(date) AS lo, max(date) AS hi FROM fx_sales_panel) b) d
 LEFT JOIN fx_sales_panel p ON p.series_id = s.series_id AND p.date = d.date""")
 def q_densify(spark, sf):
-    return co.densify(b.sales_panel(S(spark, sf)), ["series_id"], "date", ["revenue", "cogs"])
+    return cm.panel_dense(spark, sf)
 
 
 def _feat_query(key, groups, sql_cols, rounding=None, extra_ctes=None, sql_body=None):
@@ -255,10 +256,6 @@ def q_training_frame(spark, sf):
 
 def training_frame(spark, sf, panel: bool = False):
     """Features + densified targets.  ``panel=True`` keys it by series_id."""
-    src = S(spark, sf)
-    if panel:
-        dense = co.densify(b.sales_panel(src), ["series_id"], "date", ["revenue", "cogs"])
-    else:
-        dense = co.densify(b.sales(src), [], "date", ["revenue", "cogs"])
+    dense = cm.panel_dense(spark, sf) if panel else cm.total_daily(spark, sf).drop("series_id")
     feats = co.feature_matrix(dense.select("date").distinct())
     return co.attach_features(dense, feats)

@@ -73,7 +73,7 @@ FROM (SELECT c.age_group, avg(coalesce(o.order_count, 0)) AS avg_orders
       GROUP BY c.age_group) a""")
 def q06(spark, sf):
     s = S(spark, sf)
-    return cm.q06_orders_per_customer_by_age(b.customers(s), b.orders(s))
+    return cm.q06_orders_per_customer_by_age(b.customers(s), b.orders(s, "delivered"))
 
 
 @register("q07_region_revenue", rounding={"revenue": 2}, sql=f"""
@@ -86,7 +86,7 @@ FROM (SELECT g.region, sum(i.quantity * i.unit_price) AS revenue
       GROUP BY g.region) a""")
 def q07(spark, sf):
     s = S(spark, sf)
-    return cm.q07_region_revenue(b.geography(s), b.orders_with_zip(s), b.order_items(s))
+    return cm.q07_region_revenue(b.geography(s), b.orders_with_zip(s, "delivered"), b.order_items(s))
 
 
 @register("q08_cancelled_by_payment", sql=f"""
@@ -95,7 +95,7 @@ FROM (SELECT payment_method, count(*) AS n_cancelled FROM fx_orders
       WHERE order_status = 'cancelled' AND payment_method IS NOT NULL
       GROUP BY payment_method) a""")
 def q08(spark, sf):
-    return cm.q08_cancelled_by_payment(b.orders(S(spark, sf)))
+    return cm.q08_cancelled_by_payment(b.orders(S(spark, sf), "cancelled"))
 
 
 @register("q09_return_rate_by_size", rounding={"return_rate": 6}, sql=f"""

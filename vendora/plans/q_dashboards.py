@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from vendora.operators import dashboards as db
+from vendora.plans import common as cm
 from vendora.plans.registry import register
 from vendora.sources import bindings as b
 
@@ -16,7 +17,7 @@ SELECT year, revenue, cogs, revenue / nullif(lag(revenue) OVER (ORDER BY year),
 FROM (SELECT CAST(year(date) AS INTEGER) AS year, sum(revenue) AS revenue, sum(cogs) AS cogs
       FROM fx_sales GROUP BY 1) a""")
 def q_yoy(spark, sf):
-    return db.revenue_yoy(b.sales(S(spark, sf)))
+    return db.revenue_yoy(cm.sales_daily(spark, sf))
 
 
 @register("bi_revenue_cagr", rounding={"cagr": 9}, sql="""
@@ -26,7 +27,7 @@ FROM (SELECT CAST(year(date) AS INTEGER) AS year, sum(revenue) AS revenue FROM f
      (SELECT min(date) AS s, max(date) AS e FROM fx_sales) sp
 WHERE make_date(year, 1, 1) >= sp.s AND make_date(year, 12, 31) <= sp.e""")
 def q_cagr(spark, sf):
-    return db.revenue_cagr(b.sales(S(spark, sf)))
+    return db.revenue_cagr(cm.sales_daily(spark, sf))
 
 
 @register("bi_margin_trend", rounding={"revenue": 2, "cogs": 2, "margin": 9, "margin_3m": 9}, sql="""
@@ -37,7 +38,7 @@ FROM (SELECT series_id, month, revenue, cogs, (revenue - cogs) / nullif(revenue,
                    sum(cogs) AS cogs
             FROM fx_sales_panel GROUP BY 1, 2) a) m""")
 def q_margin(spark, sf):
-    return db.margin_trend(b.sales_panel(S(spark, sf)))
+    return db.margin_trend(cm.panel_daily(spark, sf))
 
 
 @register("bi_category_mix", rounding={"revenue": 2, "share": 9, "margin": 9}, sql="""
@@ -59,7 +60,7 @@ FULL OUTER JOIN (SELECT CAST(year(order_date) AS INTEGER) AS year, CAST(month(or
 GROUP BY 1""")
 def q_season(spark, sf):
     s = S(spark, sf)
-    return db.seasonality(b.sales(s), b.orders(s))
+    return db.seasonality(cm.sales_daily(spark, sf), b.orders(s))
 
 
 @register("bi_rfm_segments", sql="""
@@ -79,7 +80,7 @@ FROM fx_customers c LEFT JOIN (
 GROUP BY 1""")
 def q_rfm(spark, sf):
     s = S(spark, sf)
-    return db.rfm_segments(b.customers(s), b.orders(s))
+    return db.rfm_segments(b.customers(s), b.orders(s), b.orders(s, "delivered"))
 
 
 @register("bi_cohort_retention", rounding={"rate": 9}, sql="""

@@ -16,6 +16,7 @@ from vendora.operators import backtest as bt
 from vendora.operators import diagnostics as dg
 from vendora.operators import relational as rel
 from vendora.plans import q_baseline as qb
+from vendora.plans import common as cm
 from vendora.plans.registry import register
 from vendora.sources import bindings as b
 
@@ -333,12 +334,12 @@ def q_group_mean(spark, sf):
 @register("sort_top_k", rounding={"revenue": 2}, sql=f"""
 SELECT date, revenue FROM fx_sales ORDER BY revenue DESC, date LIMIT {TOP_K}""")
 def q_top_k(spark, sf):
-    return rel.sort_top_k(b.sales(b.Sources(spark, sf)).select("date", "revenue"), "revenue", TOP_K, "date")
+    return rel.sort_top_k(cm.sales_daily(spark, sf).select("date", "revenue"), "revenue", TOP_K, "date")
 
 
 @register("argmax_group", rounding={"revenue": 2}, sql="""
 SELECT series_id, sum(revenue) AS revenue FROM fx_sales_panel GROUP BY series_id
 ORDER BY revenue DESC, series_id LIMIT 1""")
 def q_argmax(spark, sf):
-    tot = b.sales_panel(b.Sources(spark, sf)).groupBy("series_id").agg(F.sum("revenue").alias("revenue"))
+    tot = cm.panel_daily(spark, sf).groupBy("series_id").agg(F.sum("revenue").alias("revenue"))
     return rel.argmax_group(tot, "series_id", "revenue")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from vendora.functions import exprs as ex
 from vendora.operators import relational as rel
 from vendora.plans import q_baseline as qb
+from vendora.plans import common as cm
 from vendora.plans.registry import register
 from vendora.sources import bindings as b
 
@@ -28,14 +29,14 @@ def q_not_null(spark, sf):
 @register("filter_equals", sql="""
 SELECT order_id, customer_id, order_date FROM fx_orders WHERE order_status = 'delivered'""")
 def q_equals(spark, sf):
-    o = b.orders(S(spark, sf))
+    o = b.orders(S(spark, sf), "delivered")
     return rel.filter_equals(o, "order_status", "delivered").select("order_id", "customer_id", "order_date")
 
 
 @register("filter_in_set", rounding={"revenue": 2, "cogs": 2}, sql=f"""
 SELECT date, revenue, cogs FROM fx_sales WHERE year(date) IN {IN_SET_YEARS}""")
 def q_in_set(spark, sf):
-    s = b.sales(S(spark, sf))
+    s = cm.sales_daily(spark, sf)
     return s.filter(F.year("date").isin(list(IN_SET_YEARS))).select("date", "revenue", "cogs")
 
 
@@ -73,7 +74,7 @@ def q_log(spark, sf):
 @register("clip_floor", rounding={"gross_profit": 2}, sql="""
 SELECT series_id, date, greatest(revenue - cogs, 0) AS gross_profit FROM fx_sales_panel""")
 def q_clip(spark, sf):
-    p = b.sales_panel(S(spark, sf))
+    p = cm.panel_daily(spark, sf)
     return p.select("series_id", "date", ex.clip_floor(F.col("revenue") - F.col("cogs")).alias("gross_profit"))
 
 
@@ -106,7 +107,7 @@ FROM fx_customers c LEFT JOIN (SELECT customer_id, count(*) AS order_count FROM
                                WHERE order_status = 'delivered' GROUP BY 1) o USING (customer_id)""")
 def q_left_fill(spark, sf):
     s = S(spark, sf)
-    counts = (b.orders(s).filter(F.col("order_status") == "delivered")
+    counts = (b.orders(s, "delivered").filter(F.col("order_status") == "delivered")
                          .groupBy("customer_id").agg(F.count(F.lit(1)).alias("order_count")))
     return rel.join_left_fill(b.customers(s).select("customer_id", "age_group"), counts, "customer_id",
                               {"order_count": 0})
@@ -118,7 +119,7 @@ FROM fx_geography g JOIN fx_orders_zip o ON g.zip = o.zip JOIN fx_order_items i
 WHERE o.order_status = 'delivered'""")
 def q_multiway(spark, sf):
     s = S(spark, sf)
-    o = b.orders_with_zip(s).filter(F.col("order_status") == "delivered").select("order_id", "zip")
+    o = b.orders_with_zip(s, "delivered").filter(F.col("order_status") == "delivered").select("order_id", "zip")
     go = o.join(b.geography(s), "zip")
     i = b.order_items(s).select("order_id", "product_id", "line_number",
                                 (F.col("quantity") * F.col("unit_price")).alias("line_revenue"))

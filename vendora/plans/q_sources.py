@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from vendora.plans import q_baseline as qb
+from vendora.plans import common as cm
 from vendora.plans.registry import register
 from vendora.session import scratch_path
 from vendora.sources import bindings as b
@@ -25,7 +26,7 @@ def S(spark, sf):
 
 
 def sales_csv(spark, sf) -> str:
-    s = b.sales(S(spark, sf)).select("date", F.col("revenue").cast("decimal(18,2)"),
+    s = cm.sales_daily(spark, sf).select("date", F.col("revenue").cast("decimal(18,2)"),
                                      F.col("cogs").cast("decimal(18,2)"))
     return io.write_csv(s, scratch_path(spark, "sales"), SALES_HEADER)
 
@@ -100,7 +101,7 @@ UNION ALL SELECT 'orders', count(*), min(order_date), max(order_date) FROM fx_or
 UNION ALL SELECT 'web_traffic', count(*), min(date), max(date) FROM fx_web_traffic""")
 def q_profile(spark, sf):
     s = S(spark, sf)
-    parts = [(b.sales(s), "sales", "date"), (b.orders(s), "orders", "order_date"),
+    parts = [(cm.sales_daily(spark, sf), "sales", "date"), (b.orders(s), "orders", "order_date"),
              (b.web_traffic(s), "web_traffic", "date")]
     out = None
     for df, name, d in parts:
