@@ -70,6 +70,35 @@ def test_global_prefix_matches_a_sort(spark):
     assert [r.cum for r in got] == pytest.approx(np.cumsum(vals[order]).tolist())
 
 
+def test_global_prefix_splits_a_hot_value_and_keeps_nulls(spark):
+    # a third of the rows share one first-column value; some first values are null
+    rng = np.random.default_rng(11)
+    n = 3000
+    vals = [None if i % 97 == 0 else (5.0 if i % 3 == 0 else float(rng.integers(0, 400))) for i in range(n)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
+    got = global_prefix(df, ["v", "id"], buckets=16).orderBy("rank").collect()
+    order = sorted(range(n), key=lambda i: (vals[i] is not None, vals[i] or 0.0, i))
+    assert [r.id for r in got] == order
+    assert [r.rank for r in got] == list(range(1, n + 1))
+    # the hot value is spread over several window partitions
+    cuts = df.agg(F.percentile_approx("v", [i / 16 for i in range(1, 16)], 10000).alias("c")).first().c
+    assert cuts.count(5.0) >= 3
+
+
+def test_lag_diff_matches_plain_window(spark):
+    from pyspark.sql import Window
+    from vendora.operators.relational import lag_diff
+    rows = [(i, (0 if i % 3 == 0 else i % 7), None if i % 53 == 0 else f"2020-01-{1 + (i * 7) % 28:02d}")
+            for i in range(400)]
+    df = (spark.createDataFrame(rows, "order_id long, customer_id long, d string")
+               .select("order_id", "customer_id", F.to_date("d").alias("order_date")))
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    want = {r.order_id: r.g for r in df.select("order_id", F.datediff("order_date", F.lag("order_date").over(w))
+                                               .alias("g")).collect()}
+    got = {r.order_id: r.g for r in lag_diff(df, ["customer_id"], "order_date", "order_id", out="g").collect()}
+    assert got == want
+
+
 def test_ntile_formula_matches_sql_ntile(spark):
     for n in (1, 4, 5, 7, 23, 100):
         df = spark.range(1, n + 1).select(F.col("id").alias("r"))

@@ -9,6 +9,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def filter_not_null(df: DataFrame, col: str) -> DataFrame:
@@ -77,9 +78,31 @@ def union_all(frames: list[DataFrame]) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), frames)
 
 
-def lag_diff(df: DataFrame, partition: list[str], order: str, col: str, out: str = "diff") -> DataFrame:
+def lag_diff(df: DataFrame, partition: list[str], order: str, tie: str, out: str = "diff",
+             days: bool = True) -> DataFrame:
+    """``order - lag(order)`` within ``partition`` in (order, tie) order, for an
+    ``order`` column of bounded domain per group (a date).
+
+    Skew-safe form of the plain window: a group holding a third of all rows
+    would put all of them in one window task.  Instead rows are reduced to
+    (group, order value, first tie key); the window runs over those distinct
+    values only (at most one row per calendar day per group), and the result
+    is joined back on (group, order value), a join AQE can split when one
+    (group, day) is hot.  Every row but the first of its (group, value) has
+    the same order value as its predecessor, so its difference is zero.
+    ``tie`` must be a non-null unique key (the primary key).
+    """
+    keys = [*partition, order]
+    first = df.groupBy(*keys).agg(F.min(tie).alias("_first"))
     w = Window.partitionBy(*partition).orderBy(order)
-    return df.withColumn(out, F.col(col) - F.lag(col).over(w))
+    first = first.withColumn("_prev", F.lag(order).over(w))
+    cond = [df[k].eqNullSafe(first[k]) for k in keys]
+    j = df.join(first, cond).select(df["*"], first["_first"], first["_prev"])
+    o = F.col(order)
+    diff = (lambda a, b: F.datediff(a, b)) if days else (lambda a, b: a - b)
+    return j.select(*[F.col(c) for c in df.columns],
+                    F.when(F.col(tie) == F.col("_first"), diff(o, F.col("_prev")))
+                     .otherwise(diff(o, o)).alias(out))
 
 
 def exact_quantile_from_counts(hist: DataFrame, value: str, weight: str, q: float,
@@ -127,34 +150,56 @@ def money(c: Column, digits: int = 2) -> Column:
     return F.round(c.cast("double"), digits)
 
 
+def _range_bucket(cuts: Column, x: Column) -> Column:
+    """Number of cut points strictly below ``x`` (-1 for a null ``x``, which
+    sorts first); equal values always get the same bucket."""
+    pos = F.array_position(F.sort_array(F.concat(cuts, F.array(x))), x) - 1
+    return F.coalesce(pos, F.lit(-1)).cast("int")
+
+
 def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None, rank_out: str = "rank",
                   cum_out: str = "cum", buckets: int = 64) -> DataFrame:
     """Global 1-based row number (and running sum of ``value``) in the order
-    of ``order_cols`` (all ascending), without a single-partition window.
+    of ``order_cols`` (all ascending, nulls first), without a single-partition
+    window.
 
     Rows are split into ranges of the first order column at approximate
-    quantiles (one scalar subquery); per-range counts and sums become offsets
-    (a table of ``buckets`` rows, prefix-summed), and the row number / running
-    sum inside each range is added to its offset.  Equal first-column values
-    always land in the same range, so ties are ordered by the remaining
-    columns exactly as a global sort would order them.
+    quantiles (one scalar subquery).  A first-column value holding many rows
+    (a third of a table tied on the same frequency, say) fills a range on its
+    own; such single-valued ranges are split again at approximate quantiles of
+    the second order column, so no window task holds more than about
+    1/``buckets`` of a range.  Per-range counts and sums become offsets (a
+    table of at most ``buckets``² rows, prefix-summed), and the row number /
+    running sum inside each range is added to its offset.  Equal values of the
+    splitting column always share a range, so ties are ordered by the
+    remaining columns exactly as a global sort would order them.
     """
     first = order_cols[0]
     probs = [i / buckets for i in range(1, buckets)]
     cuts = df.agg(F.percentile_approx(first, probs, 10000).alias("c")).select("c").scalar()
-    x = F.col(first)
-    # cuts strictly below x = first position of x in sorted(cuts + [x]) - 1
-    b = df.withColumn("_b", F.array_position(F.sort_array(F.concat(cuts, F.array(x))), x) - 1)
+    b = df.withColumn("_b", _range_bucket(cuts, F.col(first)))
+    second = order_cols[1] if len(order_cols) > 1 else None
+    if second is not None and isinstance(df.schema[second].dataType, (T.NumericType, T.DateType,
+                                                                        T.TimestampType)):
+        one_value = F.min(first) == F.max(first)
+        sub = (b.groupBy("_b")
+                .agg(F.when(one_value, F.percentile_approx(second, probs, 10000))
+                      .otherwise(F.array().cast(T.ArrayType(df.schema[second].dataType))).alias("_c2")))
+        b = (b.join(F.broadcast(sub), "_b")        # at most ``buckets`` rows
+              .withColumn("_b2", _range_bucket(F.col("_c2"), F.col(second))).drop("_c2"))
+    else:
+        b = b.withColumn("_b2", F.lit(0))
     val = F.col(value) if value else F.lit(0)
-    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
-    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+    sizes = b.groupBy("_b", "_b2").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
+    # at most buckets x buckets rows: the one place an unpartitioned window is fine
+    before = Window.orderBy("_b", "_b2").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_b", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
                         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"))
-    w = Window.partitionBy("_b").orderBy(*order_cols)
-    r = b.join(F.broadcast(offs), "_b").withColumn(rank_out, F.col("_off_n") + F.row_number().over(w))
+    w = Window.partitionBy("_b", "_b2").orderBy(*order_cols)
+    r = b.join(F.broadcast(offs), ["_b", "_b2"]).withColumn(rank_out, F.col("_off_n") + F.row_number().over(w))
     if value:
         r = r.withColumn(cum_out, F.col("_off_s") + F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.drop("_b", "_off_n", "_off_s")
+    return r.drop("_b", "_b2", "_off_n", "_off_s")
 
 
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:

@@ -305,8 +305,7 @@ SELECT customer_id, order_id, order_date,
 FROM fx_orders""")
 def q_lag_diff(spark, sf):
     o = b.orders(b.Sources(spark, sf)).select("customer_id", "order_id", "order_date")
-    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
-    return o.withColumn("gap_days", F.datediff("order_date", F.lag("order_date").over(w)))
+    return rel.lag_diff(o, ["customer_id"], "order_date", "order_id", out="gap_days")
 
 
 @register("pct_change", rounding={"revenue": 2, "yoy_pct": 9}, extra_ctes=[qb.SPINE_CTE, qb.DENSE_CTE], sql="""
