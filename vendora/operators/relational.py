@@ -157,6 +157,11 @@ def _range_bucket(cuts: Column, x: Column) -> Column:
     return F.coalesce(pos, F.lit(-1)).cast("int")
 
 
+def _sketch_cuts(df: DataFrame, col: str, probs: list[float]) -> list:
+    """Approximate quantiles of ``col`` (a fixed-size sketch, len(probs) values)."""
+    return df.agg(F.percentile_approx(col, probs, 10000).alias("c")).first()["c"] or []
+
+
 def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None, rank_out: str = "rank",
                   cum_out: str = "cum", buckets: int = 64) -> DataFrame:
     """Global 1-based row number (and running sum of ``value``) in the order
@@ -164,31 +169,34 @@ def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None
     window.
 
     Rows are split into ranges of the first order column at approximate
-    quantiles (one scalar subquery).  A first-column value holding many rows
-    (a third of a table tied on the same frequency, say) fills a range on its
-    own; such single-valued ranges are split again at approximate quantiles of
-    the second order column, so no window task holds more than about
-    1/``buckets`` of a range.  Per-range counts and sums become offsets (a
-    table of at most ``buckets``² rows, prefix-summed), and the row number /
-    running sum inside each range is added to its offset.  Equal values of the
-    splitting column always share a range, so ties are ordered by the
-    remaining columns exactly as a global sort would order them.
+    quantiles (a fixed-size sketch of ``buckets`` - 1 values).  A value that
+    fills more than one range (a third of a table tied on the same frequency,
+    say) shows up repeatedly among the cuts; its rows are split again at
+    approximate quantiles of the second order column, so no window task holds
+    much more than 1/``buckets`` of the rows.  Per-range counts and sums become
+    offsets (a table of at most ``buckets``² rows, prefix-summed), and the row
+    number / running sum inside each range is added to its offset.  Equal
+    values of a splitting column always share a range, so ties are ordered by
+    the remaining columns exactly as a global sort would order them.
     """
     first = order_cols[0]
     probs = [i / buckets for i in range(1, buckets)]
-    cuts = df.agg(F.percentile_approx(first, probs, 10000).alias("c")).select("c").scalar()
-    b = df.withColumn("_b", _range_bucket(cuts, F.col(first)))
+    cuts = _sketch_cuts(df, first, probs)
+    x = F.col(first)
+    b = df.withColumn("_b", _range_bucket(F.array(*[F.lit(c) for c in cuts]), x))
+    heavy = sorted({c for c in cuts if c is not None and cuts.count(c) > 1})
     second = order_cols[1] if len(order_cols) > 1 else None
-    if second is not None and isinstance(df.schema[second].dataType, (T.NumericType, T.DateType,
-                                                                        T.TimestampType)):
-        one_value = F.min(first) == F.max(first)
-        sub = (b.groupBy("_b")
-                .agg(F.when(one_value, F.percentile_approx(second, probs, 10000))
-                      .otherwise(F.array().cast(T.ArrayType(df.schema[second].dataType))).alias("_c2")))
-        b = (b.join(F.broadcast(sub), "_b")        # at most ``buckets`` rows
-              .withColumn("_b2", _range_bucket(F.col("_c2"), F.col(second))).drop("_c2"))
-    else:
-        b = b.withColumn("_b2", F.lit(0))
+    b2 = F.lit(0)
+    if heavy and second is not None and isinstance(
+            df.schema[second].dataType, (T.NumericType, T.DateType, T.TimestampType)):
+        # rows of each hot value, ordered by the second column, get ranges 1..;
+        # the other values sharing that range keep 0 (they sort before it)
+        sub = (df.filter(x.isin(heavy)).groupBy(first)
+                 .agg(F.percentile_approx(second, probs, 10000).alias("c")).collect())   # <= buckets rows
+        for r in sub:
+            inner = _range_bucket(F.array(*[F.lit(c) for c in r["c"]]), F.col(second)) + 1
+            b2 = F.when(x == F.lit(r[first]), inner).otherwise(b2)
+    b = b.withColumn("_b2", b2)
     val = F.col(value) if value else F.lit(0)
     sizes = b.groupBy("_b", "_b2").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
     # at most buckets x buckets rows: the one place an unpartitioned window is fine
