@@ -25,11 +25,14 @@ def q01_median_order_gap(orders: DataFrame) -> DataFrame:
     per_day = (orders.filter(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
                      .groupBy("customer_id", "order_date").agg(F.count(F.lit(1)).alias("n")))
     w = Window.partitionBy("customer_id").orderBy("order_date")
-    gaps = per_day.withColumn("gap", F.datediff("order_date", F.lag("order_date").over(w)))
-    hist = (gaps.filter(F.col("gap").isNotNull()).groupBy("gap").agg(F.count(F.lit(1)).alias("w"))
-                .unionByName(per_day.filter(F.col("n") > 1)
-                                    .select(F.lit(0).alias("gap"), (F.col("n") - 1).alias("w")))
-                .groupBy("gap").agg(F.sum("w").alias("w")))
+    gap = F.datediff("order_date", F.lag("order_date").over(w))
+    # one pass over the per-day rows: each emits its gap to the previous order
+    # day (weight 1) and its same-day repeats (gap 0, weight n - 1)
+    pairs = per_day.withColumn("_gap", gap).select(F.explode(F.array(
+        F.struct(F.col("_gap").alias("gap"), F.lit(1).cast("long").alias("w")),
+        F.struct(F.lit(0).alias("gap"), (F.col("n") - 1).alias("w")))).alias("p"))
+    hist = (pairs.select("p.gap", "p.w").filter(F.col("gap").isNotNull() & (F.col("w") > 0))
+                 .groupBy("gap").agg(F.sum("w").alias("w")))
     return exact_quantile_from_counts(hist, "gap", "w", 0.5, out="median_gap_days", n_out="n_gaps")
 
 
