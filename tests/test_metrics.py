@@ -124,3 +124,35 @@ def test_qq_points_against_normal_quantiles(spark):
         i = row["rank"]
         m = 0.5 ** (1 / n) if i == n else (1 - 0.5 ** (1 / n) if i == 1 else (i - 0.3175) / (n + 0.365))
         assert row.theoretical == pytest.approx(NormalDist().inv_cdf(m), abs=1e-8)
+
+
+from hypothesis import HealthCheck, given, settings, strategies as st  # noqa: E402
+
+
+@settings(max_examples=15, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.one_of(st.none(), st.integers(0, 6), st.just(3)), min_size=1, max_size=300),
+       st.sampled_from([4, 8, 16]))
+def test_global_prefix_property(spark, vals, buckets):
+    """Row numbers and running sums equal a full sort for any mix of hot ties and nulls."""
+    df = spark.createDataFrame([(i, None if v is None else float(v)) for i, v in enumerate(vals)],
+                               "id long, v double")
+    got = global_prefix(df, ["v", "id"], "id", buckets=buckets).orderBy("rank").collect()
+    order = sorted(range(len(vals)), key=lambda i: (vals[i] is not None, vals[i] or 0, i))
+    assert [r.id for r in got] == order
+    assert [r.cum for r in got] == np.cumsum(order).tolist()
+
+
+@settings(max_examples=10, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(st.lists(st.tuples(st.integers(0, 3), st.integers(0, 20)), min_size=1, max_size=200))
+def test_lag_diff_property(spark, rows):
+    """Skew-safe lag equals the plain per-customer window (customer 0 is often hot)."""
+    from pyspark.sql import Window
+    from vendora.operators.relational import lag_diff
+    df = (spark.createDataFrame([(i, c, d) for i, (c, d) in enumerate(rows)], "order_id long, customer_id long, d int")
+               .select("order_id", "customer_id", F.date_add(F.lit("2020-01-01").cast("date"), F.col("d"))
+                       .alias("order_date")))
+    w = Window.partitionBy("customer_id").orderBy("order_date", "order_id")
+    want = {r.order_id: r.g for r in df.select("order_id", F.datediff("order_date", F.lag("order_date").over(w))
+                                               .alias("g")).collect()}
+    got = {r.order_id: r.g for r in lag_diff(df, ["customer_id"], "order_date", "order_id", out="g").collect()}
+    assert got == want
