@@ -19,7 +19,8 @@ import math
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field, replace
 
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
+from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.ml.regression import GBTRegressor, LinearRegression
@@ -129,8 +130,19 @@ def fit_ridge(train: DataFrame, features: list[str], label: str, alpha: float) -
 
 
 def predict_ridge(model, stats, df: DataFrame, features: list[str], out: str) -> DataFrame:
-    z = standardized_vector(df, features, stats)
-    return model.setPredictionCol("_p").transform(z).withColumn(out, F.exp("_p")).drop("_p", "zfeatures")
+    """exp of the ridge prediction on z-scored features.
+
+    w.((x - mu) / sigma) + b is scored as w.(x / sigma) + b - sum(w mu / sigma):
+    one element-wise scaling of the assembled ``features`` vector instead of
+    one z column per feature (the shift only moves the constant)."""
+    had_vec = "features" in df.columns
+    v = df if had_vec else _assemble(df, features)
+    scale = ElementwiseProduct(scalingVec=Vectors.dense([1.0 / stats[f][1] for f in features]),
+                               inputCol="features", outputCol="zfeatures")
+    shift = float(sum(w * stats[f][0] / stats[f][1] for w, f in zip(model.coefficients.toArray(), features)))
+    p = model.setFeaturesCol("zfeatures").setPredictionCol("_p").transform(scale.transform(v))
+    p = p.withColumn(out, F.exp(F.col("_p") - F.lit(shift))).drop("_p", "zfeatures")
+    return p if had_vec else p.drop("features")
 
 
 # ------------------------------------------------------------------ trees
