@@ -156,3 +156,18 @@ def test_lag_diff_property(spark, rows):
                                                .alias("g")).collect()}
     got = {r.order_id: r.g for r in lag_diff(df, ["customer_id"], "order_date", "order_id", out="g").collect()}
     assert got == want
+
+
+def test_global_prefix_range_count_follows_rows(spark, monkeypatch):
+    """With few rows per range the second sketch pass runs (more ranges than the minimum)."""
+    from vendora.operators import relational as rel
+    monkeypatch.setattr(rel, "ROWS_PER_RANGE", 20)
+    monkeypatch.setattr(rel, "MIN_RANGES", 4)
+    assert rel._ranges_for(3000) == 150
+    rng = np.random.default_rng(5)
+    vals = [7.0 if i % 3 == 0 else float(rng.integers(0, 1000)) for i in range(3000)]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(vals)], "id long, v double")
+    got = rel.global_prefix(df, ["v", "id"], "v").orderBy("rank").collect()
+    order = sorted(range(len(vals)), key=lambda i: (vals[i], i))
+    assert [r.id for r in got] == order
+    assert [r.cum for r in got] == pytest.approx(np.cumsum([vals[i] for i in order]).tolist())

@@ -112,7 +112,7 @@ def residual_histogram(res: DataFrame, col: str = "residual", bins: int = HIST_B
                     (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 
 
-def global_row_number(df: DataFrame, order_col: str, out: str = "rank", buckets: int = 64) -> DataFrame:
+def global_row_number(df: DataFrame, order_col: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
     """1-based position in ``order_col`` order without a single-partition window."""
     return global_prefix(df, [order_col], None, rank_out=out, buckets=buckets)
 

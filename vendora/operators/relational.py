@@ -157,49 +157,83 @@ def _range_bucket(cuts: Column, x: Column) -> Column:
     return F.coalesce(pos, F.lit(-1)).cast("int")
 
 
-def _sketch_cuts(df: DataFrame, col: str, probs: list[float]) -> list:
-    """Approximate quantiles of ``col`` (a fixed-size sketch, len(probs) values)."""
-    return df.agg(F.percentile_approx(col, probs, 10000).alias("c")).first()["c"] or []
+# Range counts for global_prefix: about ROWS_PER_RANGE rows per window task,
+# at least MIN_RANGES, at most MAX_RANGES.
+ROWS_PER_RANGE = 1_000_000
+MIN_RANGES = 64
+MAX_RANGES = 4096
+
+
+def _grid(k: int) -> list[float]:
+    return [i / k for i in range(1, k)]
+
+
+def _accuracy(k: int) -> int:
+    """Sketch accuracy: the rank error of a cut (rows / accuracy) stays a small
+    fraction of a range (rows / k)."""
+    return max(10_000, 25 * k)
+
+
+def _pick(grid_cuts: list, grid_k: int, k: int) -> list:
+    """The k-quantile cuts (k - 1 values) out of a finer grid of grid_k-quantiles."""
+    if not grid_cuts or k <= 1:
+        return []
+    return [grid_cuts[(i * grid_k) // k - 1] for i in range(1, k)]
+
+
+def _ranges_for(rows: int) -> int:
+    return min(MAX_RANGES, max(MIN_RANGES, -(-rows // ROWS_PER_RANGE)))
 
 
 def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None, rank_out: str = "rank",
-                  cum_out: str = "cum", buckets: int = 64) -> DataFrame:
+                  cum_out: str = "cum", buckets: int | None = None) -> DataFrame:
     """Global 1-based row number (and running sum of ``value``) in the order
     of ``order_cols`` (all ascending, nulls first), without a single-partition
     window.
 
     Rows are split into ranges of the first order column at approximate
-    quantiles (a fixed-size sketch of ``buckets`` - 1 values).  A value that
-    fills more than one range (a third of a table tied on the same frequency,
-    say) shows up repeatedly among the cuts; its rows are split again at
-    approximate quantiles of the second order column, so no window task holds
-    much more than 1/``buckets`` of the rows.  Per-range counts and sums become
-    offsets (a table of at most ``buckets``² rows, prefix-summed), and the row
-    number / running sum inside each range is added to its offset.  Equal
-    values of a splitting column always share a range, so ties are ordered by
-    the remaining columns exactly as a global sort would order them.
+    quantiles.  The number of ranges follows the row count (about
+    ``ROWS_PER_RANGE`` rows each, between ``MIN_RANGES`` and ``MAX_RANGES``;
+    ``buckets`` fixes it): one pass takes the count and a quantile sketch at
+    the minimum range count, and a table large enough to need more ranges gets
+    a second sketch pass.  A value that fills more than one range (a third of
+    a table tied on the same frequency, say) shows up repeatedly among the
+    cuts; its rows are split again at quantiles of the second order column
+    into as many ranges as it spans, so no window task holds much more than
+    one range.  Per-range counts and sums become offsets (one row per range,
+    prefix-summed), and the row number / running sum inside each range is
+    added to its offset.  Equal values of a splitting column always share a
+    range, so ties are ordered by the remaining columns exactly as a global
+    sort would order them.
     """
     first = order_cols[0]
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = _sketch_cuts(df, first, probs)
+    k = buckets or MIN_RANGES
+    head = df.agg(F.count(F.lit(1)).alias("n"),
+                  F.percentile_approx(first, _grid(k), _accuracy(k)).alias("c")).first()
+    cuts = head["c"] or []
+    if buckets is None and _ranges_for(head["n"]) > k:
+        k = _ranges_for(head["n"])
+        cuts = df.agg(F.percentile_approx(first, _grid(k), _accuracy(k)).alias("c")).first()["c"] or []
     x = F.col(first)
     b = df.withColumn("_b", _range_bucket(F.array(*[F.lit(c) for c in cuts]), x))
-    heavy = sorted({c for c in cuts if c is not None and cuts.count(c) > 1})
+    spans = {c: cuts.count(c) for c in cuts if c is not None and cuts.count(c) > 1}   # hot value -> ranges
     second = order_cols[1] if len(order_cols) > 1 else None
     b2 = F.lit(0)
-    if heavy and second is not None and isinstance(
+    if spans and second is not None and isinstance(
             df.schema[second].dataType, (T.NumericType, T.DateType, T.TimestampType)):
         # rows of each hot value, ordered by the second column, get ranges 1..;
         # the other values sharing that range keep 0 (they sort before it)
-        sub = (df.filter(x.isin(heavy)).groupBy(first)
-                 .agg(F.percentile_approx(second, probs, 10000).alias("c")).collect())   # <= buckets rows
+        k2 = max(spans.values()) + 1
+        sub = (df.filter(x.isin(sorted(spans))).groupBy(first)
+                 .agg(F.percentile_approx(second, _grid(k2), _accuracy(k2)).alias("c")).collect())  # < k rows
         for r in sub:
-            inner = _range_bucket(F.array(*[F.lit(c) for c in r["c"]]), F.col(second)) + 1
+            inner_cuts = _pick(r["c"], k2, spans[r[first]] + 1)
+            inner = _range_bucket(F.array(*[F.lit(c) for c in inner_cuts]), F.col(second)) + 1
             b2 = F.when(x == F.lit(r[first]), inner).otherwise(b2)
     b = b.withColumn("_b2", b2)
     val = F.col(value) if value else F.lit(0)
     sizes = b.groupBy("_b", "_b2").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
-    # at most buckets x buckets rows: the one place an unpartitioned window is fine
+    # one row per range (at most a few thousand): an unpartitioned window is fine here
     before = Window.orderBy("_b", "_b2").rowsBetween(Window.unboundedPreceding, -1)
     offs = sizes.select("_b", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
                         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"))
