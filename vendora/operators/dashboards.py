@@ -52,9 +52,14 @@ def margin_trend(panel: DataFrame) -> DataFrame:
 
 
 def category_mix(items: DataFrame, dims: DataFrame) -> DataFrame:
-    j = items.join(dims.select("product_id", "category", F.col("cogs").alias("unit_cogs")), "product_id")
-    a = j.groupBy("category").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"),
-                                  F.sum(F.col("quantity") * F.col("unit_cogs")).alias("cost"))
+    """Lines are summed per product before the join (unit cost is a product
+    attribute, so cost = units x unit cost), so the join sees one row per
+    product and a hot product is collapsed map-side."""
+    per = items.groupBy("product_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("rev"),
+                                          F.sum("quantity").alias("units"))
+    j = per.join(dims.select("product_id", "category", F.col("cogs").alias("unit_cogs")), "product_id")
+    a = j.groupBy("category").agg(F.sum("rev").alias("revenue"),
+                                  F.sum(F.col("units") * F.col("unit_cogs")).alias("cost"))
     w = Window.partitionBy()   # one row per category
     return a.select("category", "revenue", (F.col("revenue") / F.sum("revenue").over(w)).alias("share"),
                     F.try_divide(F.col("revenue") - F.col("cost"), F.col("revenue")).alias("margin"))
@@ -128,18 +133,22 @@ def promo_aov(items: DataFrame, dims: DataFrame) -> DataFrame:
 
 
 def promo_vs_full_price(items: DataFrame, orders: DataFrame) -> DataFrame:
-    j = items.join(orders.select("order_id", "order_date"), "order_id")
-    x = j.select(F.month("order_date").alias("month_no"),
-                 F.col("promo_id").isNotNull().cast("int").alias("promo"),
-                 (F.col("quantity") * F.col("unit_price")).alias("rev"))
+    """Lines are summed per (order, promo flag) first: at most two rows per
+    order reach the join with orders."""
+    per = items.groupBy("order_id", F.col("promo_id").isNotNull().cast("int").alias("promo")).agg(
+        F.sum(F.col("quantity") * F.col("unit_price")).alias("rev"))
+    j = per.join(orders.select("order_id", "order_date"), "order_id")
+    x = j.select(F.month("order_date").alias("month_no"), "promo", "rev")
     p = x.groupBy("month_no").pivot("promo", [1, 0]).agg(F.sum("rev"))
     return p.select("month_no", F.col("1").alias("promo_rev"), F.col("0").alias("full_rev"))
 
 
 def channel_mix(items: DataFrame, orders: DataFrame) -> DataFrame:
-    j = items.join(orders.select("order_id", "order_date", "payment_method"), "order_id")
+    """Lines are summed per order before the join with orders."""
+    per = items.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("v"))
+    j = per.join(orders.select("order_id", "order_date", "payment_method"), "order_id")
     a = j.groupBy(F.year("order_date").alias("year"), F.col("payment_method").alias("channel")).agg(
-        F.sum(F.col("quantity") * F.col("unit_price")).alias("revenue"))
+        F.sum("v").alias("revenue"))
     return a.withColumn("share", F.col("revenue") / F.sum("revenue").over(Window.partitionBy("year")))
 
 
