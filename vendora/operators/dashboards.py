@@ -12,7 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendora.operators.relational import exact_quantile_from_counts, global_prefix, materialize, ntile_from_rank
+from vendora.operators.relational import (exact_quantile_from_counts, global_prefix, materialize,
+                                          ntile_from_rank, range_sketch)
 
 # Fixed values of the pinned definitions
 MARGIN_WINDOW_MONTHS = 3
@@ -84,12 +85,14 @@ def rfm_segments(customers: DataFrame, orders: DataFrame, delivered: DataFrame |
     # the per-customer table feeds three rankings (each reads it three times):
     # materialize it once instead of re-aggregating the orders nine times
     per = materialize(per.withColumn("_neg_recency", -F.datediff(F.lit(as_of), F.col("last"))))
-    n = per.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    # one pass sketches all three ranking columns (and counts the customers)
+    n, cuts = range_sketch(per, ["_neg_recency", "freq", "monetary"])
     # three independent rankings of the same per-customer table, joined by key
     # (nesting them would copy each ranking's subqueries into the next)
     def score(order_col: str, name: str) -> DataFrame:
-        r = global_prefix(per.select("customer_id", order_col), [order_col, "customer_id"], rank_out="_r")
-        return r.select("customer_id", ntile_from_rank(F.col("_r"), n, RFM_BUCKETS).alias(name))
+        r = global_prefix(per.select("customer_id", order_col), [order_col, "customer_id"], rank_out="_r",
+                          cuts=cuts[order_col])
+        return r.select("customer_id", ntile_from_rank(F.col("_r"), F.lit(n), RFM_BUCKETS).alias(name))
     scores = score("_neg_recency", "R").join(score("freq", "F"), "customer_id").join(score("monetary", "M"),
                                                                                    "customer_id")
     c = customers.select("customer_id").join(scores, "customer_id", "left")

@@ -185,8 +185,24 @@ def _ranges_for(rows: int) -> int:
     return min(MAX_RANGES, max(MIN_RANGES, -(-rows // ROWS_PER_RANGE)))
 
 
+def range_sketch(df: DataFrame, cols: list[str], buckets: int | None = None) -> tuple[int, dict]:
+    """Row count and ``global_prefix`` cut points for several columns of one
+    table in a single pass (one more pass only for tables above
+    MIN_RANGES x ROWS_PER_RANGE rows): ``(rows, {column: cuts})``."""
+    k = buckets or MIN_RANGES
+    head = df.agg(F.count(F.lit(1)).alias("_n"),
+                  *[F.percentile_approx(c, _grid(k), _accuracy(k)).alias(c) for c in cols]).first()
+    n = head["_n"]
+    cuts = {c: head[c] or [] for c in cols}
+    if buckets is None and _ranges_for(n) > k:
+        k = _ranges_for(n)
+        again = df.agg(*[F.percentile_approx(c, _grid(k), _accuracy(k)).alias(c) for c in cols]).first()
+        cuts = {c: again[c] or [] for c in cols}
+    return n, cuts
+
+
 def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None, rank_out: str = "rank",
-                  cum_out: str = "cum", buckets: int | None = None) -> DataFrame:
+                  cum_out: str = "cum", buckets: int | None = None, cuts: list | None = None) -> DataFrame:
     """Global 1-based row number (and running sum of ``value``) in the order
     of ``order_cols`` (all ascending, nulls first), without a single-partition
     window.
@@ -196,7 +212,8 @@ def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None
     ``ROWS_PER_RANGE`` rows each, between ``MIN_RANGES`` and ``MAX_RANGES``;
     ``buckets`` fixes it): one pass takes the count and a quantile sketch at
     the minimum range count, and a table large enough to need more ranges gets
-    a second sketch pass.  A value that fills more than one range (a third of
+    a second sketch pass (``cuts`` passes cut points already computed by
+    ``range_sketch``, which sketches several columns of one table at once).  A value that fills more than one range (a third of
     a table tied on the same frequency, say) shows up repeatedly among the
     cuts; its rows are split again at quantiles of the second order column
     into as many ranges as it spans, so no window task holds much more than
@@ -207,13 +224,8 @@ def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None
     sort would order them.
     """
     first = order_cols[0]
-    k = buckets or MIN_RANGES
-    head = df.agg(F.count(F.lit(1)).alias("n"),
-                  F.percentile_approx(first, _grid(k), _accuracy(k)).alias("c")).first()
-    cuts = head["c"] or []
-    if buckets is None and _ranges_for(head["n"]) > k:
-        k = _ranges_for(head["n"])
-        cuts = df.agg(F.percentile_approx(first, _grid(k), _accuracy(k)).alias("c")).first()["c"] or []
+    if cuts is None:
+        cuts = range_sketch(df, [first], buckets)[1][first]
     x = F.col(first)
     b = df.withColumn("_b", _range_bucket(F.array(*[F.lit(c) for c in cuts]), x))
     spans = {c: cuts.count(c) for c in cuts if c is not None and cuts.count(c) > 1}   # hot value -> ranges
