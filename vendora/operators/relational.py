@@ -5,6 +5,7 @@ All take DataFrames and column names, so they run on any table.
 
 from __future__ import annotations
 
+from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -213,11 +214,11 @@ def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None
     ``buckets`` fixes it): one pass takes the count and a quantile sketch at
     the minimum range count, and a table large enough to need more ranges gets
     a second sketch pass (``cuts`` passes cut points already computed by
-    ``range_sketch``, which sketches several columns of one table at once).  A value that fills more than one range (a third of
-    a table tied on the same frequency, say) shows up repeatedly among the
-    cuts; its rows are split again at quantiles of the second order column
-    into as many ranges as it spans, so no window task holds much more than
-    one range.  Per-range counts and sums become offsets (one row per range,
+    ``range_sketch``, which sketches several columns of one table at once).
+    A value that fills more than one range (a third of a table tied on the
+    same frequency, say) shows up repeatedly among the cuts; its rows are
+    split again at quantiles of the second order column into as many ranges
+    as it spans, so no window task holds much more than one range.  Per-range counts and sums become offsets (one row per range,
     prefix-summed), and the row number / running sum inside each range is
     added to its offset.  Equal values of a splitting column always share a
     range, so ties are ordered by the remaining columns exactly as a global
@@ -228,7 +229,7 @@ def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None
         cuts = range_sketch(df, [first], buckets)[1][first]
     x = F.col(first)
     b = df.withColumn("_b", _range_bucket(F.array(*[F.lit(c) for c in cuts]), x))
-    spans = {c: cuts.count(c) for c in cuts if c is not None and cuts.count(c) > 1}   # hot value -> ranges
+    spans = {c: m for c, m in Counter(cuts).items() if c is not None and m > 1}   # hot value -> ranges
     second = order_cols[1] if len(order_cols) > 1 else None
     b2 = F.lit(0)
     if spans and second is not None and isinstance(
