@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vendora.session import ship_package
+from vendora.session import ensure_checkpoint_dir, scratch_path, ship_package
 
 QUERIES: dict = {}
 ORACLES: dict = {}
@@ -22,3 +22,17 @@ def query(name: str, sql: str | None = None):
 
 def table(spark, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut(df):
+    """The rows written to the shared checkpoint folder and read from there."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def written(df, name: str):
+    """The same as a Parquet table under the shared checkpoint folder (smaller than
+    ``cut``, and read by columns)."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
