@@ -7,9 +7,10 @@ prefix L characters shorter and the candidate are compatible, that is, the
 merge procedure leaves that pair of tokens as it is.  Reading the table from
 the end gives the ids backwards.
 
-Chunks: no piece of the model has the space mark after another character, so no
-merge crosses from a character to a following space mark.  The text is cut
-there and each distinct chunk of a task is encoded once.
+Chunks: no piece of the model has the space mark after another character or a
+line break beside one, so no merge crosses from a character to a following space
+mark or over a line break.  The text is cut there and each distinct chunk is
+encoded once in a worker.
 
 Cases: null text is empty and gives the end id alone, decoded to the empty
 string; characters outside the vocabulary give their UTF-8 bytes as byte ids.
@@ -28,8 +29,8 @@ from pyspark.sql import functions as F
 from vendora.llm.registry import query, table
 
 MARK = "▁"
-CHUNK = re.compile(f"{MARK}*[^{MARK}]*")
-CACHE = 400_000            # distinct chunks kept in a task before the table is started anew
+CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
+CACHE = 600_000            # distinct chunks kept in a worker before the table is started anew
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6     # piece kinds of the model file
 
 
@@ -53,6 +54,8 @@ class PieceModel:
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses from a character to a space mark")
+        if any("\n" in p and p != "\n" for p in self.ids):
+            raise ValueError("a piece crosses a line break")
         if any(k not in (NORMAL, UNKNOWN, CONTROL, BYTE) for k in self.kinds):
             raise ValueError("user-defined pieces are not supported")
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(model.pieces) if p.type == BYTE}
@@ -63,8 +66,9 @@ class PieceModel:
         self.automaton = ahocorasick.Automaton()
         for piece in self.ids:
             if len(piece) == 1 or self.merged(piece) == (piece,):    # reachable pieces only
-                self.automaton.add_word(piece, piece)
+                self.automaton.add_word(piece, (len(piece), self.ids[piece]))
         self.automaton.make_automaton()
+        self.letters = {p for p in self.ids if len(p) == 1}
 
     def merged(self, text: str) -> tuple:
         """The merge procedure itself: join the best-ranked neighbours first,
@@ -93,47 +97,56 @@ class PieceModel:
             offer(i)
         return tuple(s for s in sym if s is not None)
 
-    def compatible(self, a: str, b: str) -> bool:
-        key = (a, b)
-        hit = self.pair_cache.get(key)
-        if hit is None:
-            if len(self.pair_cache) > 1_000_000:
-                self.pair_cache.clear()
-            hit = self.pair_cache[key] = self.merged(a + b) == key
+    def compatible(self, a: int, b: int) -> bool:
+        """Does the merge procedure leave piece a before piece b as they are?"""
+        if len(self.pair_cache) > 1_000_000:
+            self.pair_cache.clear()
+        x, y = self.pieces[a], self.pieces[b]
+        hit = self.pair_cache[a << 32 | b] = self.merged(x + y) == (x, y)
         return hit
 
     def encode_chunk(self, chunk: str) -> list[int]:
-        """Ids of one chunk from its prefix table."""
-        n = len(chunk)
-        last: list = [None] * (n + 1)               # last token of each prefix
-        ends: list = [[] for _ in range(n)] if n else []
-        for end, piece in self.automaton.iter(chunk):
-            ends[end].append(piece)
-        for i in range(n):
-            for piece in ends[i]:
-                before = i + 1 - len(piece)
-                prev = last[before]
-                if before == 0 or (prev is not None and (prev not in self.ids or self.compatible(prev, piece))):
-                    last[i + 1] = piece
-                    break
-            if last[i + 1] is None:
-                last[i + 1] = chunk[i]               # unknown character: its bytes
+        """Ids of one chunk; characters outside the vocabulary split it, since no merge crosses them."""
+        if self.letters.issuperset(chunk):
+            return self.encode_known(chunk)
         out: list[int] = []
-        i = n
+        start = 0
+        for i, c in enumerate(chunk):
+            if c not in self.letters:
+                out += self.encode_known(chunk[start:i])
+                out += [self.bytes[b] for b in c.encode("utf-8", "surrogatepass")]
+                start = i + 1
+        return out + self.encode_known(chunk[start:])
+
+    def encode_known(self, chunk: str) -> list[int]:
+        """Ids of characters that are all in the vocabulary, from the prefix table."""
+        last = [-1] * (len(chunk) + 1)              # last token of each prefix
+        pairs = self.pair_cache
+        for end, (size, k) in self.automaton.iter(chunk):
+            if last[end + 1] >= 0:
+                continue
+            before = end + 1 - size
+            if before:
+                p = last[before]
+                ok = pairs.get(p << 32 | k)
+                if ok is None:
+                    ok = self.compatible(p, k)
+                if not ok:
+                    continue
+            last[end + 1] = k
+        out: list[int] = []
+        i = len(chunk)
         while i > 0:
-            piece = last[i]
-            if (k := self.ids.get(piece)) is not None:
-                out.append(k)
-            else:
-                out.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "surrogatepass")))
-            i -= len(piece)
+            k = last[i]
+            out.append(k)
+            i -= len(self.pieces[k])
         out.reverse()
         return out
 
     def chunks(self, text: str) -> list[str]:
         if not text:
             return []
-        return [c for c in CHUNK.findall(self.prefix + text.replace(" ", MARK)) if c]
+        return CHUNK.findall(self.prefix + text.replace(" ", MARK))
 
     def encode(self, text: str) -> list[int]:
         """Ids of a text, the end id last."""
@@ -194,46 +207,66 @@ def default_path() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encoder(path: str | None = None, with_text: bool = True):
-    """Arrow batches with a text column in, the same rows with ids, n_tokens,
-    ids_sha256, decoded and decoded_sha256 out."""
+class ChunkTable(dict):
+    """Chunk -> its ids as text.  ``odd`` holds the text of the chunks whose ids
+    don't decode to the chunk itself."""
+
+    def __init__(self, model: PieceModel):
+        super().__init__()
+        self.model, self.odd = model, {}
+
+    def __missing__(self, chunk: str) -> str:
+        if len(self) >= CACHE:
+            self.clear()
+            self.odd.clear()
+        ids = self.model.encode_chunk(chunk)
+        if not self.model.letters.issuperset(chunk):     # else the ids are pieces that spell the chunk
+            back = self.model.pieces_text(ids, False)
+            if back != chunk.replace(MARK, " "):
+                self.odd[chunk] = back
+        out = self[chunk] = " ".join(map(str, ids))
+        return out
+
+
+_TABLES: dict = {}
 
-    def run(batches):
-        model = model_of(path or default_path())
-        table_: dict = {}                           # chunk -> (ids as text, count, decoded text)
 
-        def entry(c):
-            ids = model.encode_chunk(c)
-            return " ".join(map(str, ids)), len(ids), model.pieces_text(ids, False)
+def table_of(path: str) -> ChunkTable:
+    """One table in each Python worker."""
+    if path not in _TABLES:
+        _TABLES[path] = ChunkTable(model_of(path))
+    return _TABLES[path]
 
+
+def encode_text(known: ChunkTable, text: str) -> tuple[str, str]:
+    """(decimal ids joined by one space, decoded text)."""
+    model = known.model
+    chunks = model.chunks(text)
+    ids = " ".join([*[known[c] for c in chunks], str(model.eos)])
+    back = "".join(chunks).replace(MARK, " ")
+    if known.odd and not known.odd.keys().isdisjoint(chunks):
+        back = "".join([known.odd[c] if c in known.odd else c.replace(MARK, " ") for c in chunks])
+    # the mark that encoding put before the text is the first character of the first chunk
+    return ids, back[1:] if model.prefix and back.startswith(" ") else back
+
+
+def encoder(path: str | None = None, with_text: bool = True):
+    """Arrow batches with a text column in, the other columns with n_tokens,
+    ids_sha256 and decoded, ids (or decoded_sha256) out."""
+
+    def run(batches):
+        known = table_of(path or default_path())
         for batch in batches:
-            n_tokens, shas, outs, ids_col = [], [], [], []
-            for text in batch.column(batch.schema.get_field_index("text")).to_pylist():
-                parts = []
-                for c in model.chunks(text or ""):
-                    e = table_.get(c)
-                    if e is None:
-                        if len(table_) >= CACHE:
-                            table_.clear()
-                        e = table_[c] = entry(c)
-                    parts.append(e)
-                ids = " ".join([*[p[0] for p in parts], str(model.eos)])
-                back = "".join([p[2] for p in parts])
-                # the mark that encoding put before the text is the first character of the first chunk
-                back = back[1:] if model.prefix and back.startswith(" ") else back
-                n_tokens.append(sum(p[1] for p in parts) + 1)
-                shas.append(hashlib.sha256(ids.encode()).hexdigest())
-                outs.append(back if with_text else hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest())
-                if with_text:
-                    ids_col.append(ids)
-            keep = [k for k, f in enumerate(batch.schema) if f.name != "text" or not with_text]
-            keep = [k for k in keep if batch.schema[k].name != "text"]
-            arrays = [batch.column(k) for k in keep] + [pa.array(n_tokens, pa.int64()), pa.array(shas, pa.string()), pa.array(outs, pa.string())]
-            names = [batch.schema[k].name for k in keep] + ["n_tokens", "ids_sha256", "decoded" if with_text else "decoded_sha256"]
+            rows = [encode_text(known, t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
+            cols = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if f.name != "text"}
+            cols["n_tokens"] = pa.array([ids.count(" ") + 1 for ids, _ in rows], pa.int64())
+            cols["ids_sha256"] = pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string())
             if with_text:
-                arrays.append(pa.array(ids_col, pa.string()))
-                names.append("ids")
-            yield pa.RecordBatch.from_arrays(arrays, names=names)
+                cols["decoded"] = pa.array([back for _, back in rows], pa.string())
+                cols["ids"] = pa.array([ids for ids, _ in rows], pa.string())
+            else:
+                cols["decoded_sha256"] = pa.array([hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows], pa.string())
+            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
     return run
 
 
