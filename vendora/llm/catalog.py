@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from vendora.llm import html_template, jaccard_trie, ppm, quality_lines, sentencepiece_bpe, toxicity  # noqa: F401  (they register their queries)
+from vendora.llm import html_template, jaccard_trie, line_dedup, ppm, quality_lines, sentencepiece_bpe, toxicity  # noqa: F401  (they register their queries)
 from vendora.llm.registry import ORACLES, QUERIES
 
 
