@@ -22,6 +22,7 @@ import hashlib
 import heapq
 import re
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -263,7 +264,9 @@ def encoder(path: str | None = None, with_text: bool = True):
             cols["ids_sha256"] = pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string())
             if with_text:
                 cols["decoded"] = pa.array([back for _, back in rows], pa.string())
-                cols["ids"] = pa.array([ids for ids, _ in rows], pa.string())
+                each = [np.array(ids.split(" "), np.int32) for ids, _ in rows]
+                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
             else:
                 cols["decoded_sha256"] = pa.array([hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows], pa.string())
             yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
@@ -272,12 +275,12 @@ def encoder(path: str | None = None, with_text: bool = True):
 
 def encode_documents(docs: DataFrame, key: str = "doc_id", text: str = "text",
                      path: str | None = None, with_text: bool = True) -> DataFrame:
-    """Encode and decode each text.  With ``with_text``: decimal ids (joined by one
-    space) and the decoded text; without: their digests only.  One row per input
+    """Encode and decode each text.  With ``with_text``: the ids and the decoded
+    text; without: their digests only.  One row per input
     row, repeats included; other columns are left out, so none can clash."""
     src = docs.select(F.col(key).alias("key"), F.col(text).cast("string").alias("text"))
     kind = src.schema["key"].dataType.simpleString()
-    tail = "decoded string, ids string" if with_text else "decoded_sha256 string"
+    tail = "decoded string, ids array<int>" if with_text else "decoded_sha256 string"
     out = src.mapInArrow(encoder(path, with_text), f"key {kind}, n_tokens long, ids_sha256 string, {tail}")
     return out.withColumnRenamed("key", key)
 
