@@ -29,9 +29,10 @@ def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
-def runs_of_many(key: str, member: str, names: list):
+def runs_of_many(key: str, member: str, names: list, odd: str | None = None):
     """Batches of a partition sorted by ``key`` in; the rows whose key stands with
-    two different members or more out.  Holds one run at a time."""
+    two different members or more out, and those whose ``odd`` is odd.  Holds one run
+    at a time."""
     import pyarrow as pa
 
     def run(batches):
@@ -43,6 +44,8 @@ def runs_of_many(key: str, member: str, names: list):
             start = np.flatnonzero(first)
             many = np.maximum.reduceat(x[member], start) != np.minimum.reduceat(x[member], start)
             keep = many[np.cumsum(first) - 1]
+            if odd:
+                keep |= x[odd] & 1 == 1
             return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names], names=names)
 
         for batch in batches:

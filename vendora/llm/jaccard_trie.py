@@ -4,8 +4,8 @@ A document's set holds its distinct 3-word shingles (hashed); two documents link
 when 100 * intersection >= 90 * union.  Sets are written in one global order and
 
 1. equal sets become one node (copies are never expanded into pairs);
-2. a linking pair must share one of the first n - ceil(0.9 n) + 1 shingles of
-   either set, so nodes meet by these shingles.  The order puts shingles that
+2. a linking pair must share ``SHARED`` (or all it can) of the first
+   n - ceil(0.9 n) + ``SHARED`` shingles of either set, so nodes meet by these.  The order puts shingles that
    many texts hold last, so that shared passages seldom decide where nodes meet;
 3. where nodes meet, each is first held against one of them, the hub (the one
    with the fewest rare shingles, so the original of a family of near copies).
@@ -37,6 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm import textgrid as tg
+from vendora.llm.bits import runs_of_many
 from vendora.llm.graph import components
 from vendora.llm.registry import query, table, written
 
@@ -44,6 +45,7 @@ K = 3
 PER_100 = 90
 HEAVY = 1 << 18            # common shingles that the order knows
 BLOCK = 4 << 20            # shingles counted together when looking for common ones
+SHARED = 4                 # shingles of the two beginnings that a linking pair shares
 COMMON = 8                 # texts of a block that hold a common shingle
 CHUNK = 256                # probes of a hub in one tree
 PROBES = 1500              # probes in a comparison task's group
@@ -136,7 +138,7 @@ def prefixes(k: int, per_100: int, seed: int, heavy):
                     seen.add(node)
                     s = sets[i]
                     place = order_of(s, known, rank)
-                    first = np.lexsort((s, place))[:len(s) - -(-per_100 * len(s) // 100) + 1]
+                    first = np.lexsort((s, place))[:len(s) - -(-per_100 * len(s) // 100) + SHARED]
                     t, p = s[first], place[first]
                     spread = np.where(p > 0, tg.mix(t ^ np.uint64(node & tg.M64)), t)
                     m = len(t)
@@ -152,43 +154,25 @@ def prefixes(k: int, per_100: int, seed: int, heavy):
 PREFIX = "part long, token long, node long, rare2 long, n long, pos long"
 
 
-def drop_single(batches):
-    """Rows in token order; rare shingles that only one node holds go."""
-    names = ["token", "node", "rare2", "n", "pos"]
-    rest = None
-
-    def whole(x):
-        heavy = (x["rare2"] & 1) == 1
-        t = x["token"]
-        first = np.append(True, t[1:] != t[:-1])
-        run = np.cumsum(first) - 1
-        start = np.flatnonzero(first)
-        many = np.maximum.reduceat(x["node"], start) != np.minimum.reduceat(x["node"], start)
-        keep = heavy | many[run]
-        return pa.RecordBatch.from_arrays([pa.array(x[c][keep]) for c in names], names=names)
-
-    for batch in batches:
-        x = {c: np.asarray(batch.column(batch.schema.get_field_index(c))) for c in names}
-        if rest is not None:
-            x = {c: np.concatenate([rest[c], x[c]]) for c in names}
-        if not len(x["token"]):
-            continue
-        other = np.flatnonzero(x["token"] != x["token"][-1])
-        last = int(other[-1]) + 1 if len(other) else 0          # the last run may go on in the next batch
-        rest = {c: x[c][last:] for c in names}
-        if last:
-            yield whole({c: x[c][:last] for c in names})
-    if rest is not None and len(rest["token"]):
-        yield whole(rest)
+MET = "token long, node long, rare2 long, n long, pos long"
 
 
-MET = "token long, node long, rare2 long, n long, pos long"
+def _need(per_100: int, n1, n2):
+    """Least overlap of linking sets of sizes n1 and n2."""
+    return F.ceil(F.lit(per_100) * (n1 + n2) / F.lit(100 + per_100))
+
 
+def like_sizes(per_100: int, n1, n2):
+    return 100 * F.least(n1, n2) >= per_100 * F.greatest(n1, n2)
 
-def possible(per_100: int, n1, p1, n2, p2):
-    """Can sets of sizes n1, n2 link if their first common shingle stands at p1 and p2?"""
-    need = F.ceil(F.lit(per_100) * (n1 + n2) / F.lit(100 + per_100))
-    return (100 * F.least(n1, n2) >= per_100 * F.greatest(n1, n2)) & (F.least(n1 - p1, n2 - p2) >= need)
+
+def promising(rows: DataFrame, per_100: int) -> DataFrame:
+    """(u, v) of ``rows`` (u, v and, for each shingle that their beginnings share, its
+    place in both) that can link: enough shared shingles, and enough left after the first."""
+    pairs = rows.groupBy("u", "v").agg(F.count("*").alias("shared"), F.min("pos_u").alias("p1"), F.min("pos_v").alias("p2"),
+                                       F.first("n_u").alias("n1"), F.first("n_v").alias("n2"))
+    need = _need(per_100, F.col("n1"), F.col("n2"))
+    return pairs.filter((F.col("shared") >= F.least(F.lit(SHARED), need)) & (F.least(F.col("n1") - F.col("p1"), F.col("n2") - F.col("p2")) >= need)).select("u", "v")
 
 
 def walk(query, n_q: int, sets: list, shared: np.ndarray, known: np.ndarray, per_100: int) -> list:
@@ -303,11 +287,12 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     heavy = spark.sparkContext.broadcast((token[at], rank[at]))
 
     met = written(src.mapInArrow(prefixes(k, per_100, seed, heavy), PREFIX)
-                  .repartition("part").sortWithinPartitions("token").mapInArrow(drop_single, MET), "jaccard-met")
+                  .repartition("part").sortWithinPartitions("token").mapInArrow(runs_of_many("token", "node", ["token", "node", "rare2", "n", "pos"], "rare2"), MET), "jaccard-met")
     hub = met.groupBy("token").agg(F.min(F.struct(F.shiftright("rare2", 1).alias("rare"), "node", "n", "pos")).alias("h"))
-    first = (met.join(hub, "token").filter(F.col("node") != F.col("h.node"))
-             .filter(possible(per_100, F.col("n"), F.col("pos"), F.col("h.n"), F.col("h.pos")))
-             .select(F.col("node").alias("u"), F.col("h.node").alias("v")).distinct())
+    once = met.dropDuplicates(["token", "node"])        # a node may come from several tasks
+    first = promising(once.join(hub, "token").filter((F.col("node") != F.col("h.node")) & like_sizes(per_100, F.col("n"), F.col("h.n")))
+                      .select(F.col("node").alias("u"), F.col("h.node").alias("v"), F.col("n").alias("n_u"), F.col("h.n").alias("n_v"),
+                              F.col("pos").alias("pos_u"), F.col("h.pos").alias("pos_v")), per_100)
     first = written(first, "jaccard-pairs")
     asked = met.select("node").distinct().join(nodes, "node")
     texts = written(src.join(asked, F.col("doc").eqNullSafe(F.col("rep"))).select("node", "text")
@@ -315,13 +300,14 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     links = written(linked(first, texts, k, per_100, heavy), "jaccard-links")
 
     label = components(links)
-    there = met.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    there = once.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = there.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("token")
     left = written(there.join(apart, "token").select("token", "node", "n", "pos", "component"), "jaccard-left")
     x, y = left.alias("x"), left.alias("y")
-    second = (x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
-                     & possible(per_100, F.col("x.n"), F.col("x.pos"), F.col("y.n"), F.col("y.pos")))
-              .select(F.col("x.node").alias("u"), F.col("y.node").alias("v")).distinct())
+    second = promising(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
+                              & like_sizes(per_100, F.col("x.n"), F.col("y.n")))
+                       .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("n_u"), F.col("y.n").alias("n_v"),
+                               F.col("x.pos").alias("pos_u"), F.col("y.pos").alias("pos_v")), per_100)
     tested = first.select("u", "v").union(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
     second = written(second.join(tested, ["u", "v"], "left_anti"), "jaccard-rest")
     if second.limit(1).count():
@@ -339,3 +325,16 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
 @query("op10_jaccard_trie")
 def op10(spark, sf_dir: str) -> DataFrame:
     return join(table(spark, sf_dir, "documents"))
+
+
+def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
+    """The rows of ``docs`` less all but the smallest id of each component, all their
+    columns kept.  Of rows with one id one stays."""
+    found = written(join(docs, key, text, **how), "jaccard-components")
+    stay = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key"))
+    repeated = stay.groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1 AND __key IS NOT NULL").select("__key")
+    out = docs.join(stay.distinct(), docs[key].eqNullSafe(F.col("__key")), "left_semi")
+    if repeated.limit(1).count():
+        again = out.join(repeated, out[key] == F.col("__key"), "left_semi").dropDuplicates([key])
+        out = out.join(repeated, out[key] == F.col("__key"), "left_anti").unionByName(again)
+    return out
