@@ -207,23 +207,24 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
                                            F.size(F.collect_set(F.when(F.col("near"), F.col("place")))).alias("n_near"))
 
 
-def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS) -> DataFrame:
+def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words: int = MIN_WORDS, prefix: str = "") -> DataFrame:
     """The rows of ``docs`` with ``text`` without the lines that went, and n_lines,
-    n_removed, n_near, all_removed.  New columns of these names replace old ones."""
+    n_removed, n_near, all_removed (with ``prefix`` before their names).  New columns
+    replace old ones of the same name."""
     gone = removals(docs, key, text, min_words).select(F.col("doc").alias("__doc"), F.col("digest").alias("__digest"), F.col("places").alias("__places"), F.col("n_near").alias("__near"))
     body = F.col(text).cast("string")
-    new = ["n_lines", "n_removed", "n_near", "all_removed"]
-    out = docs.drop(*[c for c in new if c != text and c != key])
+    new = [prefix + c for c in ("n_lines", "n_removed", "n_near", "all_removed")]
+    out = docs.drop(*[c for c in new if c not in (text, key)])
     digest = F.xxhash64(F.coalesce(body, F.lit("")))
     out = out.join(gone, out[key].eqNullSafe(gone["__doc"]) & (digest == gone["__digest"]), "left")
     lines = F.split(body, "\n")
     kept = F.filter(lines, lambda x, i: ~F.array_contains(F.col("__places"), i))
     out = out.withColumns({
-        "n_lines": F.when(body.isNull() | (body == ""), 0).otherwise(F.size(lines)).cast("long"),
-        "n_removed": F.coalesce(F.size("__places"), F.lit(0)).cast("long"),
-        "n_near": F.coalesce("__near", F.lit(0)).cast("long"),
+        new[0]: F.when(body.isNull() | (body == ""), 0).otherwise(F.size(lines)).cast("long"),
+        new[1]: F.coalesce(F.size("__places"), F.lit(0)).cast("long"),
+        new[2]: F.coalesce("__near", F.lit(0)).cast("long"),
         "__text": F.when(F.col("__places").isNull(), body).otherwise(F.array_join(kept, "\n"))})
-    out = out.withColumn("all_removed", (F.col("n_removed") > 0) & (F.trim(F.regexp_replace(F.col("__text"), r"\s+", "")) == ""))
+    out = out.withColumn(new[3], (F.col(new[1]) > 0) & (F.regexp_replace(F.col("__text"), r"\s+", "") == ""))
     return out.withColumn(text, F.col("__text")).drop("__text", "__doc", "__digest", "__places", "__near")
 
 
