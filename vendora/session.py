@@ -50,15 +50,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     shared storage.  Only when it is unset (local tests) do we pick one.
     """
     sc = spark.sparkContext
-    current = sc.getCheckpointDir() if hasattr(sc, "getCheckpointDir") else None
-    if not current:
-        current = sc.getConf().get("spark.checkpoint.dir", None)
-    if not current:
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    current = sc.getCheckpointDir()
+    if current:
+        # setting it again would nest one folder in the other
+        return named or current
+    if not named:
         if not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        current = tempfile.mkdtemp(prefix="vendora-ckpt-")
-    sc.setCheckpointDir(current)
-    return current
+        named = tempfile.mkdtemp(prefix="vendora-ckpt-")
+    sc.setCheckpointDir(named)
+    return named
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
