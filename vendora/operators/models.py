@@ -1,38 +1,37 @@
-"""Forecast models on ``pyspark.ml``: ridge, boosted trees (base + quarter
-specialists), a trend-season regression, and the blending layers.
-
-One global model per role is fitted over the whole panel (series keys can be
-one-hot encoded into the features), so the work is distributed by rows, not
-by a driver loop over series.  The fits that are independent (revenue vs
-cogs, the four specialists) are submitted concurrently from a thread pool:
-Spark runs their jobs side by side on the cluster.  The assembled training
-frame is persisted once and released at the end.
-
-What reaches the driver is model parameters only: per-feature mean/std (two
-numbers per feature), label std and row count, and the per-iteration holdout
-error of the boosted trees.
+"""Forecast models: ridge, boosted trees (base + quarter specialists), a trend-season
+regression, and the blending layers.
+
+Every (series, fold, target, component) is one group: its days, a calendar's worth of
+rows, are fitted in one task by the small helpers of ``local_fit``, and all groups
+run side by side, for one series or a panel of any width.  Date features are the same
+for all series: one row per calendar day (bounded by the span), sent to the tasks
+once, so that a group ships only its dates and values.
+
+``fit_ridge`` is the distributed form of the ridge, for one model over a whole panel.
 """
 
 from __future__ import annotations
 
-import math
-from concurrent.futures import ThreadPoolExecutor
-from dataclasses import dataclass, field, replace
+from dataclasses import dataclass
 
+import numpy as np
+import pandas as pd
 from pyspark.ml.feature import ElementwiseProduct, VectorAssembler
 from pyspark.ml.linalg import Vectors
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.ml.regression import GBTRegressor, LinearRegression
-from pyspark.sql import Column, DataFrame
+from pyspark.ml.regression import LinearRegression
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions import calendar as cal
-from vendora.functions.exprs import clip_floor, log_target
+from vendora.functions.exprs import clip_floor
+from vendora.operators import local_fit
 
 
 @dataclass(frozen=True)
 class EnsembleConfig:
+    # Blend weights, eras and holdout that must equal the published model's.
     ridge_alpha: float = 3.0
     alpha: float = 0.60          # layer 1: specialist weight
     w_ridge: float = 0.10        # layer 2
@@ -46,23 +45,23 @@ class EnsembleConfig:
     era_first_year: int = 2014
     era_last_year: int = 2018
     holdout_days: int = 180
-    # boosted trees: the reference runs up to 5000 rounds at rate 0.03 with
-    # early stopping; Spark's trees cost one job per level, so the default is
-    # fewer, larger steps (see README).
-    max_iter: int = 20
-    max_depth: int = 5
-    step_size: float = 0.1
+    # boosted trees: rounds go on until ``patience`` of them bring no gain on the holdout
+    max_rounds: int = 1000
+    patience: int = 40
+    depth: int = 5
+    rate: float = 0.05
     subsample: float = 0.85
-    feature_fraction: str = "0.85"
+    feature_share: float = 0.85
     min_leaf: int = 30
+    bins: int = 32
     seed: int = 42
-    trend_start: str = "2020-01-01"
+    zero_days: str = "drop"      # days without a positive value: "drop" or "keep" (as ln 1)
+    trend_start: str | None = "2020-01-01"   # None: all history
     trend_changepoints: int = 10
     trend_yearly_order: int = 10
     trend_weekly_order: int = 3
-    trend_reg: float = 1e-3
-    specialists: bool = True
-    parallelism: int = 4
+    trend_reg: float = 0.1
+    trend_hinge_reg: float = 10.0
     targets: tuple = ("revenue", "cogs")
 
 
@@ -80,7 +79,7 @@ def quarter_weight(year: Column, quarter: Column, target_q: int, cfg: EnsembleCo
 def holdout_flag(df: DataFrame, date_col: str = "date", days: int = 180, keys: list[str] | None = None) -> DataFrame:
     """is_holdout = date > max(date) - days (per series when keys are given)."""
     if keys:
-        mx = F.max(date_col).over(F.Window.partitionBy(*keys))
+        mx = F.max(date_col).over(Window.partitionBy(*keys))
         return df.withColumn("is_holdout", (F.col(date_col) > F.date_sub(mx, days)).cast("int"))
     mx = df.agg(F.max(date_col).alias("m")).select("m").scalar()
     return df.withColumn("is_holdout", (F.col(date_col) > F.date_sub(mx, days)).cast("int"))
@@ -145,159 +144,147 @@ def predict_ridge(model, stats, df: DataFrame, features: list[str], out: str) ->
     return p if had_vec else p.drop("features")
 
 
-# ------------------------------------------------------------------ trees
-
-def _gbt(cfg: EnsembleConfig, label: str, weight: str, max_iter: int) -> GBTRegressor:
-    return GBTRegressor(featuresCol="features", labelCol=label, weightCol=weight, maxIter=max_iter,
-                        maxDepth=cfg.max_depth, stepSize=cfg.step_size, subsamplingRate=cfg.subsample,
-                        featureSubsetStrategy=cfg.feature_fraction, minInstancesPerNode=cfg.min_leaf,
-                        seed=cfg.seed, lossType="squared")
-
-
-def fit_trees_two_phase(data: DataFrame, label: str, weight: str, cfg: EnsembleConfig):
-    """Phase 1: fit on rows before the holdout, pick the round with the lowest
-    holdout MAE (unweighted, as an early-stop set); phase 2: refit on all rows
-    with that many rounds.  ``data`` must carry ``is_holdout``."""
-    fit_part = data.filter(F.col("is_holdout") == 0)
-    val = data.filter(F.col("is_holdout") == 1).withColumn(weight, F.lit(1.0))
-    m1 = _gbt(cfg, label, weight, cfg.max_iter).fit(fit_part)
-    errs = m1.evaluateEachIteration(val, "absolute")
-    best = int(min(range(len(errs)), key=lambda i: errs[i])) + 1 if errs else cfg.max_iter
-    return _gbt(cfg, label, weight, best).fit(data), best
+def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
+    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
 
 
-# ------------------------------------------------------------------ trend + season
+# ------------------------------------------------------------------ grouped fits
 
-def trend_season_columns(d: Column, t0: str, changepoints: list[float], yearly: int, weekly: int) -> list[Column]:
-    """Additive trend with hinges + Fourier seasonality, as columns."""
-    t = F.datediff(d, F.lit(t0).cast("date")) / F.lit(365.25)
-    cols = [t.alias("ts_t")]
-    for i, c in enumerate(changepoints):
-        cols.append(F.greatest(t - F.lit(c), F.lit(0.0)).alias(f"ts_cp{i}"))
-    doy = F.dayofyear(d).cast("double")
-    for k in range(1, yearly + 1):
-        a = F.lit(2 * math.pi * k) * doy / F.lit(365.25)
-        cols += [F.sin(a).alias(f"ts_ys{k}"), F.cos(a).alias(f"ts_yc{k}")]
-    dow = F.weekday(d).cast("double")
-    for k in range(1, weekly + 1):
-        a = F.lit(2 * math.pi * k) * dow / F.lit(7.0)
-        cols += [F.sin(a).alias(f"ts_ws{k}"), F.cos(a).alias(f"ts_wc{k}")]
-    return cols
+COMPONENTS = ("ridge", "trend", "trees", "spec1", "spec2", "spec3", "spec4")
 
 
 def promo_flag_names() -> list[str]:
     return [f"promo_{c.name}" for c in cal.campaigns()]
 
 
-@dataclass
-class FittedEnsemble:
-    cfg: EnsembleConfig
-    features: list
-    ridge: dict = field(default_factory=dict)        # target -> (model, stats)
-    trees: dict = field(default_factory=dict)        # target -> (model, best_iter)
-    specialists: dict = field(default_factory=dict)  # (target, q) -> (model, best_iter)
-    trend: dict = field(default_factory=dict)        # target -> (model, t0, changepoints)
-
-
-def _assemble(df: DataFrame, features: list[str]) -> DataFrame:
-    return VectorAssembler(inputCols=features, outputCol="features", handleInvalid="keep").transform(df)
-
-
-ALL_COMPONENTS = ("ridge", "trees", "trend", "spec")
-
-
-def fit_ensemble(train: DataFrame, features: list[str] | None = None, cfg: EnsembleConfig = EnsembleConfig(),
-                 date_col: str = "date", components=ALL_COMPONENTS) -> FittedEnsemble:
-    """Fit the chosen components on a training frame (date, features..., targets)."""
-    features = features or cal.feature_names()
-    fe = FittedEnsemble(cfg, features)
-    base = train.select(date_col, *features, *[log_target(F.col(t)).alias(f"y_{t}") for t in cfg.targets])
-    base = holdout_flag(base, date_col, cfg.holdout_days)
-    base = base.withColumn("w_era", era_weight(F.year(date_col), cfg))
-    for q in (1, 2, 3, 4):
-        base = base.withColumn(f"w_q{q}", quarter_weight(F.year(date_col), F.quarter(date_col), q, cfg))
-    data = _assemble(base, features).persist()
-    jobs = {}
+def _year_weight(dates: pd.DatetimeIndex, quarter: int | None, cfg: EnsembleConfig) -> np.ndarray:
+    w = np.where((dates.year >= cfg.era_first_year) & (dates.year <= cfg.era_last_year), cfg.era_weight, cfg.off_era_weight)
+    return w if quarter is None else w * np.where(dates.quarter == quarter, cfg.q_boost, 1.0)
+
+
+def _trees(cfg: EnsembleConfig) -> local_fit.Trees:
+    return local_fit.Trees(cfg.depth, cfg.rate, cfg.min_leaf, cfg.max_rounds, cfg.patience, cfg.subsample, cfg.feature_share, cfg.bins, cfg.seed)
+
+
+def _training_rows(dates, y, role, cfg):
+    use = (role == "train") & np.isfinite(y)
+    if cfg.zero_days == "drop":
+        use &= y > 0
+    if not use.any():
+        raise ValueError("a series has no training day with a value")
+    return use, np.log(np.maximum(y[use], 1.0))
+
+
+def fit_component(component: str, dates: pd.DatetimeIndex, x: np.ndarray, flags: np.ndarray, y: np.ndarray, role: np.ndarray, cfg: EnsembleConfig):
+    """(prediction for the rows to score, rounds used or None) of one component."""
+    use, ly = _training_rows(dates, y, role, cfg)
+    score = role == "score"
+    if component == "ridge":
+        return np.exp(local_fit.ridge(x[use], ly, cfg.ridge_alpha)(x[score])), None
+    if component == "trend":
+        if cfg.trend_start is not None:
+            recent = use & (dates >= pd.Timestamp(cfg.trend_start))
+            if not recent.any():
+                raise ValueError(f"no training day after trend_start {cfg.trend_start}; pass trend_start=None for all history")
+            use, ly = recent, np.log(np.maximum(y[recent], 1.0))
+        parts = lambda k: (dates.to_julian_date().to_numpy()[k], dates.dayofyear.to_numpy()[k], dates.dayofweek.to_numpy()[k], flags[k])
+        f = local_fit.trend_season(*parts(use), ly, cfg.trend_changepoints, cfg.trend_yearly_order, cfg.trend_weekly_order, cfg.trend_reg, cfg.trend_hinge_reg)
+        return np.exp(f(*parts(score))), None
+    quarter = None if component == "trees" else int(component[-1])
+    held = dates[use] > dates[use].max() - pd.Timedelta(days=cfg.holdout_days)
+    t = _trees(cfg).fit(x[use], ly, _year_weight(dates[use], quarter, cfg), np.asarray(held))
+    return np.exp(t.predict(x[score])), t.best_round
+
+
+def _grid(features: DataFrame, names: list[str], date_col: str):
+    """Date features as arrays: one row per calendar day."""
+    pdf = features.select(date_col, *names).toPandas()
+    order = np.argsort(pd.to_datetime(pdf[date_col]).to_numpy())
+    return pd.to_datetime(pdf[date_col]).to_numpy()[order], pdf[names].to_numpy(np.float64)[order]
+
+
+def fit_predict(rows: DataFrame, features: DataFrame, keys: list[str], cfg: EnsembleConfig = EnsembleConfig(),
+                date_col: str = "date", components=COMPONENTS, names: list[str] | None = None) -> DataFrame:
+    """Fit on the rows with role 'train', predict those with role 'score'.
+
+    ``rows``: keys, date, role and the targets (null where unknown).  ``features``: one
+    row per date.  Returns keys, target, component, date, pred, best_round, train_end
+    (the last day that was fitted)."""
+    names = names or cal.feature_names()
+    days, x_all = _grid(features, names, date_col)
+    flag_at = [names.index(f) for f in promo_flag_names() if f in names]
+    known = rows.sparkSession.sparkContext.broadcast((days, x_all))
+    key_types = [f"{rows.schema[k].name} {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_d=pd.to_datetime(pdf[date_col])).sort_values("_d")
+        dates = pd.DatetimeIndex(pdf["_d"])
+        days, x_all = known.value
+        x = x_all[np.searchsorted(days, dates.to_numpy())]
+        role, y = pdf["role"].to_numpy(), pdf["y"].to_numpy(np.float64)
+        pred, best = fit_component(pdf["component"].iloc[0], dates, x, x[:, flag_at], y, role, cfg)
+        out = pdf.loc[role == "score", [*keys, "target", "component", date_col]].copy()
+        out["pred"], out["best_round"] = pred, None if best is None else int(best)
+        out["train_end"] = dates[role == "train"].max().date()
+        return out
+
+    long = rows.select(*keys, F.col(date_col).cast("date").alias(date_col), "role",
+                       F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).cast("double").alias("y")) for t in cfg.targets])).alias("v"),
+                       ).select(*keys, date_col, "role", "v.target", "v.y")
+    long = long.withColumn("component", F.explode(F.array(*[F.lit(c) for c in components])))
+    schema = ", ".join([*key_types, "target string", "component string", f"{date_col} date", "pred double", "best_round int", "train_end date"])
+    return long.groupBy(*keys, "target", "component").applyInPandas(run, schema)
+
+
+def compose(components: DataFrame, keys: list[str], cfg: EnsembleConfig = EnsembleConfig(), date_col: str = "date") -> DataFrame:
+    """keys, date and one blended, calibrated column per target from ``fit_predict`` rows."""
+    by = [*keys, date_col, "train_end"]
+    wide = components.groupBy(*by).pivot("target", list(cfg.targets)).agg(
+        *[F.max(F.when(F.col("component") == c, F.col("pred"))).alias(c) for c in COMPONENTS])
+    outs = []
     for t in cfg.targets:
-        if "ridge" in components:
-            jobs[("ridge", t)] = lambda t=t: fit_ridge(data, features, f"y_{t}", cfg.ridge_alpha)
-        if "trees" in components:
-            jobs[("trees", t)] = lambda t=t: fit_trees_two_phase(data, f"y_{t}", "w_era", cfg)
-        if "trend" in components:
-            jobs[("trend", t)] = lambda t=t: fit_trend_season(data, f"y_{t}", cfg, date_col)
-        if cfg.specialists and "spec" in components:
-            for q in (1, 2, 3, 4):
-                jobs[("spec", t, q)] = lambda t=t, q=q: fit_trees_two_phase(data, f"y_{t}", f"w_q{q}", cfg)
-    try:
-        with ThreadPoolExecutor(max_workers=max(1, cfg.parallelism)) as pool:
-            futs = {k: pool.submit(fn) for k, fn in jobs.items()}
-            res = {k: f.result() for k, f in futs.items()}
-    finally:
-        data.unpersist()
-    for k, v in res.items():
-        if k[0] == "ridge":
-            fe.ridge[k[1]] = v
-        elif k[0] == "trees":
-            fe.trees[k[1]] = v
-        elif k[0] == "trend":
-            fe.trend[k[1]] = v
-        else:
-            fe.specialists[(k[1], k[2])] = v
-    return fe
-
-
-def fit_trend_season(data: DataFrame, label: str, cfg: EnsembleConfig, date_col: str = "date"):
-    """Recent-regime window only; log target, so the seasonality is
-    multiplicative on the original scale.  Changepoints are spread uniformly
-    over the first 80% of the window (as the reference's library does)."""
-    recent = data.filter(F.col(date_col) >= F.lit(cfg.trend_start).cast("date"))
-    span = recent.agg(F.min(date_col).alias("a"), F.max(date_col).alias("b")).collect()[0]
-    if span.a is None:
-        recent, span = data, data.agg(F.min(date_col).alias("a"), F.max(date_col).alias("b")).collect()[0]
-    t0 = str(span.a)
-    width = (span.b - span.a).days / 365.25 * 0.8
-    cps = [width * (i + 1) / (cfg.trend_changepoints + 1) for i in range(cfg.trend_changepoints)]
-    x = recent.select(label, *trend_season_columns(F.col(date_col), t0, cps, cfg.trend_yearly_order,
-                                                   cfg.trend_weekly_order), *promo_flag_names())
-    cols = [c for c in x.columns if c != label]
-    v = VectorAssembler(inputCols=cols, outputCol="tfeatures").transform(x)
-    lr = LinearRegression(featuresCol="tfeatures", labelCol=label, regParam=cfg.trend_reg, elasticNetParam=0.5,
-                          standardization=True, maxIter=200)
-    return lr.fit(v), t0, cps
-
-
-def predict_trend(model, t0, cps, df: DataFrame, cfg: EnsembleConfig, out: str, date_col: str = "date"):
-    x = df.select("*", *trend_season_columns(F.col(date_col), t0, cps, cfg.trend_yearly_order, cfg.trend_weekly_order))
-    cols = [c for c in x.columns if c.startswith("ts_")] + promo_flag_names()
-    v = VectorAssembler(inputCols=cols, outputCol="tfeatures").transform(x)
-    return model.setFeaturesCol("tfeatures").setPredictionCol("_p").transform(v) \
-        .withColumn(out, F.exp("_p")).drop("_p", "tfeatures", *[c for c in x.columns if c.startswith("ts_")])
-
-
-def _score_trees(model, df: DataFrame, out: str) -> DataFrame:
-    return model.setPredictionCol("_p").transform(df).withColumn(out, F.exp("_p")).drop("_p")
-
-
-def predict_components(fe: FittedEnsemble, feats: DataFrame, date_col: str = "date") -> DataFrame:
-    """Score every component: p_ridge_<t>, p_trees_<t>, p_trend_<t>, p_spec_<t>."""
-    df = _assemble(feats, fe.features)
-    for t in fe.cfg.targets:
-        if t in fe.ridge:
-            m, stats = fe.ridge[t]
-            df = predict_ridge(m, stats, df, fe.features, f"p_ridge_{t}")
-        if t in fe.trees:
-            df = _score_trees(fe.trees[t][0], df, f"p_trees_{t}")
-        if t in fe.trend:
-            tm, t0, cps = fe.trend[t]
-            df = predict_trend(tm, t0, cps, df, fe.cfg, f"p_trend_{t}", date_col)
-        if fe.specialists:
-            for q in (1, 2, 3, 4):
-                df = _score_trees(fe.specialists[(t, q)][0], df, f"_s{q}_{t}")
-            df = specialist_compose(df, F.quarter(date_col), {q: f"_s{q}_{t}" for q in (1, 2, 3, 4)},
-                                    f"p_spec_{t}").drop(*[f"_s{q}_{t}" for q in (1, 2, 3, 4)])
-        elif t in fe.trees:
-            df = df.withColumn(f"p_spec_{t}", F.col(f"p_trees_{t}"))
-    return df.drop("features")
+        df = {q: F.col(f"{t}_spec{q}") for q in (1, 2, 3, 4)}
+        spec = F.coalesce(*[F.when(F.quarter(date_col) == q, c) for q, c in df.items()])
+        l1 = blend_layer1(F.col(f"{t}_trees"), spec, cfg.alpha)
+        raw = blend_layer2(F.col(f"{t}_ridge"), F.col(f"{t}_trend"), l1, cfg.w_ridge, cfg.w_trend, cfg.w_trees)
+        outs.append(calibrate(raw, cfg.cal_revenue if t == "revenue" else cfg.cal_cogs).alias(t))
+    return wide.select(*by, *outs)
+
+
+def importance(rows: DataFrame, features: DataFrame, keys: list[str], target: str, top: int, cfg: EnsembleConfig = EnsembleConfig(),
+               date_col: str = "date", names: list[str] | None = None) -> DataFrame:
+    """keys, feature, gain_importance, rank, perm_delta_mae of the ``top`` features of
+    each series' base trees: the share of the gain, and how much the absolute error on
+    the log scale grows when the feature's values are dealt out anew."""
+    names = names or cal.feature_names()
+    days, x_all = _grid(features, names, date_col)
+    known = rows.sparkSession.sparkContext.broadcast((days, x_all))
+    key_types = [f"{rows.schema[k].name} {rows.schema[k].dataType.simpleString()}" for k in keys]
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_d=pd.to_datetime(pdf[date_col])).sort_values("_d")
+        dates = pd.DatetimeIndex(pdf["_d"])
+        days, x_all = known.value
+        x = x_all[np.searchsorted(days, dates.to_numpy())]
+        use, ly = _training_rows(dates, pdf["y"].to_numpy(np.float64), np.full(len(pdf), "train"), cfg)
+        held = np.asarray(dates[use] > dates[use].max() - pd.Timedelta(days=cfg.holdout_days))
+        x = x[use]
+        model = _trees(cfg).fit(x, ly, _year_weight(dates[use], None, cfg), held)
+        gain = model.gain / max(model.gain.sum(), 1e-12)
+        base = np.mean(np.abs(ly - model.predict(x)))
+        out = []
+        for rank, j in enumerate(np.argsort(-gain, kind="stable")[:top], start=1):
+            v = x.copy()
+            v[:, j] = np.random.default_rng(cfg.seed + int(j)).permutation(v[:, j])
+            out.append((names[j], float(gain[j]), rank, float(np.mean(np.abs(ly - model.predict(v))) - base)))
+        got = pd.DataFrame(out, columns=["feature", "gain_importance", "rank", "perm_delta_mae"])
+        for k in keys:
+            got.insert(0, k, pdf[k].iloc[0])
+        return got[[*keys, "feature", "gain_importance", "rank", "perm_delta_mae"]]
+
+    src = rows.select(*keys, F.col(date_col).cast("date").alias(date_col), F.col(target).cast("double").alias("y"))
+    schema = ", ".join([*key_types, "feature string, gain_importance double, rank int, perm_delta_mae double"])
+    return src.groupBy(*keys).applyInPandas(run, schema)
 
 
 def specialist_compose(df: DataFrame, quarter: Column, cols: dict, out: str) -> DataFrame:
@@ -325,29 +312,16 @@ def calibrate(x: Column, factor: float) -> Column:
 EXTERNAL_COGS_RATIO = 0.88   # fixed value: cogs share applied to an outside revenue forecast
 
 
-def external_blend(ridge: Column, trend: Column, trees: Column, external: Column, cfg: EnsembleConfig,
-                   w_external: float, cogs: bool = False) -> Column:
-    """Outside forecast takes its weight out of the tree weight; when it is
-    absent (null) its weight is 0 and the tree weight is unchanged."""
-    w_ext = F.when(external.isNotNull(), F.lit(w_external)).otherwise(F.lit(0.0))
-    ext = F.coalesce(external, F.lit(0.0)) * (EXTERNAL_COGS_RATIO if cogs else 1.0)
-    return cfg.w_ridge * ridge + cfg.w_trend * trend + (F.lit(cfg.w_trees) - w_ext) * trees + w_ext * ext
-
-
-def ensemble_predict(fe: FittedEnsemble, feats: DataFrame, date_col: str = "date",
-                     cfg: EnsembleConfig | None = None) -> DataFrame:
-    """(date, revenue, cogs[, keys]) from the fitted components."""
-    cfg = cfg or fe.cfg
-    df = predict_components(fe, feats, date_col)
-    outs = []
-    for t in fe.cfg.targets:
-        l1 = blend_layer1(F.col(f"p_trees_{t}"), F.col(f"p_spec_{t}"), cfg.alpha)
-        raw = blend_layer2(F.col(f"p_ridge_{t}"), F.col(f"p_trend_{t}"), l1, cfg.w_ridge, cfg.w_trend, cfg.w_trees)
-        factor = cfg.cal_revenue if t == "revenue" else cfg.cal_cogs
-        outs.append(calibrate(raw, factor).alias(t))
-    keep = [c for c in feats.columns if c not in fe.features and c not in fe.cfg.targets]
-    return df.select(*keep, *outs)
-
-
-def with_overrides(cfg: EnsembleConfig, **kw) -> EnsembleConfig:
-    return replace(cfg, **kw)
+def external_blend(ridge: Column, trend: Column, trees: Column, external, cfg: EnsembleConfig,
+                   w_external, cogs: bool = False) -> Column:
+    """Outside forecasts (one column or several, each with its weight) take their
+    weights out of the tree weight; an absent one (null) has weight 0 and leaves the
+    tree weight as it is."""
+    external = external if isinstance(external, (list, tuple)) else [external]
+    w_external = w_external if isinstance(w_external, (list, tuple)) else [w_external]
+    ratio = EXTERNAL_COGS_RATIO if cogs else 1.0
+    w_trees, outside = F.lit(cfg.w_trees), F.lit(0.0)
+    for x, w in zip(external, w_external, strict=True):
+        w_ext = F.when(x.isNotNull(), F.lit(w)).otherwise(F.lit(0.0))
+        w_trees, outside = w_trees - w_ext, outside + w_ext * F.coalesce(x, F.lit(0.0)) * ratio
+    return cfg.w_ridge * ridge + cfg.w_trend * trend + w_trees * trees + outside

@@ -173,7 +173,7 @@ def q_folds(spark, sf):
     return bt.fold_summary(bt.assign_folds(total_daily(spark, sf), bt.folds_df(spark)))
 
 
-@register("backtest_run", rounding={"pred_revenue": 2, "pred_cogs": 2}, extra_ctes=FOLD_PRED_CTES,
+@register("baseline_backtest", rounding={"pred_revenue": 2, "pred_cogs": 2}, extra_ctes=FOLD_PRED_CTES,
           sql="SELECT * FROM fold_predictions")
-def q_backtest(spark, sf):
+def q_baseline_backtest(spark, sf):
     return fold_predictions(spark, sf)

@@ -1,7 +1,7 @@
 """Model keys and feature importance (§2.9).
 
 Model fits have no SQL twin (rows-only check, plus the closed-form and
-property tests under tests/).  Weights, splits, z-score statistics and the
+property tests under tests/); which days a backtest predicted is SQL-checked.  Weights, splits, z-score statistics and the
 blending arithmetic are SQL-checked: the blends run on given prediction
 columns (the baseline backtest and its seasonal-naive companion), so their
 arithmetic is verified independently of any fit.
@@ -9,23 +9,23 @@ arithmetic is verified independently of any fit.
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from vendora.functions import calendar as cal
+from vendora.operators import backtest as bt
 from vendora.operators import calendar_ops as co
+from vendora.operators import diagnostics as dg
 from vendora.operators import models as md
+from vendora.plans import common as cm
 from vendora.plans import q_baseline as qb
 from vendora.plans import q_calendar as qc
 from vendora.plans import q_diagnostics as qd
 from vendora.plans.registry import register
 
-# Registered queries use fewer, shallower boosting rounds than the library
-# default so the whole ensemble (20 tree fits) stays interactive.
-QUERY_CFG = md.EnsembleConfig(max_iter=8, max_depth=4, parallelism=8)
+CFG = md.EnsembleConfig()
 CAL_FACTORS = {"revenue": 1.31, "cogs": 1.32}   # fixed values: the final refit's level factors
 QUANTILE_LEVELS = [0.1, 0.5, 0.75, 0.9]          # fixed values: levels of the outside forecast
-EXTERNAL_WEIGHT = 0.10
+EXTERNAL_WEIGHTS = [0.10, 0.05]   # of the two outside forecasts
 
 
 def train_frame(spark, sf):
@@ -82,92 +82,150 @@ def q_holdout(spark, sf):
 
 # ------------------------------------------------------------ model fits (rows)
 
-def _prep(spark, sf):
-    tf = train_frame(spark, sf)
-    base = tf.select("date", *cal.feature_names(),
-                     *[md.log_target(F.col(t)).alias(f"y_{t}") for t in QUERY_CFG.targets])
-    return tf, base
+def role_rows(spark, sf):
+    """Company total: all days to train, the horizon to score."""
+    daily = qb.total_daily(spark, sf)
+    known = daily.select("series_id", "date", F.lit("train").alias("role"), *qb.VALUES)
+    ahead = qb.horizon(spark, daily).select("series_id", "date", F.lit("score").alias("role"),
+                                            *[F.lit(None).cast("double").alias(v) for v in qb.VALUES])
+    return known.unionByName(ahead)
+
+
+def fold_rows(spark, sf):
+    """All folds at once: the training days, and the validation days without their values."""
+    a = bt.assign_folds(qb.total_daily(spark, sf), bt.folds_df(spark))
+    val = F.col("role") == "val"
+    return a.select("fold", "series_id", "date", F.when(val, "score").otherwise("train").alias("role"),
+                    *[F.when(~val, F.col(v).cast("double")).alias(v) for v in qb.VALUES])
+
+
+def all_features(rows):
+    return co.feature_matrix(rows.select("date"))
+
+
+def horizon_components(spark, sf):
+    """Every component's forecast of the horizon, fitted once for all keys that show it."""
+    def build():
+        rows = role_rows(spark, sf)
+        return md.fit_predict(rows, all_features(rows), ["series_id"], CFG).drop("series_id")
+    return cm.materialized(spark, sf, "horizon_components", build)
+
+
+def _wide(spark, sf, components, prefix):
+    c = horizon_components(spark, sf).filter(F.col("component").isin(*components))
+    return c.groupBy("date").agg(*[F.max(F.when(F.col("target") == t, F.col("pred"))).alias(f"{prefix}_{t}") for t in CFG.targets])
 
 
 @register("ridge_forecast")
 def q_ridge(spark, sf):
-    _, base = _prep(spark, sf)
-    base = base.persist()
+    """The distributed ridge: one least-squares job over all rows."""
+    base = train_frame(spark, sf).filter(F.least(*CFG.targets) > 0)
+    base = base.select("date", *cal.feature_names(), *[F.log(F.col(t).cast("double")).alias(f"y_{t}") for t in CFG.targets]).persist()
     try:
-        fits = {t: md.fit_ridge(base, cal.feature_names(), f"y_{t}", QUERY_CFG.ridge_alpha)
-                for t in QUERY_CFG.targets}
+        fits = {t: md.fit_ridge(base, cal.feature_names(), f"y_{t}", CFG.ridge_alpha) for t in CFG.targets}
     finally:
         base.unpersist()
     out = horizon_features(spark, sf).select("date", *cal.feature_names())
     for t, (m, stats) in fits.items():
         out = md.predict_ridge(m, stats, out, cal.feature_names(), f"ridge_{t}")
-    return out.select("date", *[f"ridge_{t}" for t in QUERY_CFG.targets])
-
-
-def _tree_data(spark, sf, cfg=QUERY_CFG):
-    _, base = _prep(spark, sf)
-    base = md.holdout_flag(base, "date", cfg.holdout_days).withColumn("w_era", md.era_weight(F.year("date"), cfg))
-    for q in (1, 2, 3, 4):
-        base = base.withColumn(f"w_q{q}", md.quarter_weight(F.year("date"), F.quarter("date"), q, cfg))
-    return md._assemble(base, cal.feature_names())
+    return out.select("date", *[f"ridge_{t}" for t in CFG.targets])
 
 
 @register("boosted_trees_base")
 def q_trees(spark, sf):
-    data = _tree_data(spark, sf).persist()
-    try:
-        fits = {t: md.fit_trees_two_phase(data, f"y_{t}", "w_era", QUERY_CFG) for t in QUERY_CFG.targets}
-    finally:
-        data.unpersist()
-    df = md._assemble(horizon_features(spark, sf), cal.feature_names())
-    for t, (m, best) in fits.items():
-        df = md._score_trees(m, df, f"trees_{t}").withColumn(f"best_iter_{t}", F.lit(best))
-    return df.select("date", *[c for t in QUERY_CFG.targets for c in (f"trees_{t}", f"best_iter_{t}")])
+    best = horizon_components(spark, sf).filter("component = 'trees'")
+    return best.groupBy("date").agg(*[x for t in CFG.targets for x in (
+        F.max(F.when(F.col("target") == t, F.col("pred"))).alias(f"trees_{t}"),
+        F.max(F.when(F.col("target") == t, F.col("best_round"))).alias(f"best_iter_{t}"))])
 
 
 @register("quarter_specialists")
 def q_specialists(spark, sf):
-    fe = md.fit_ensemble(train_frame(spark, sf), cfg=QUERY_CFG, components=("spec",))
-    rows = [(t, q, int(best)) for (t, q), (_, best) in fe.specialists.items()]
-    return spark.createDataFrame(rows, "target string, quarter int, best_iter int")
-
-
-@register("specialist_compose")
-def q_compose(spark, sf):
-    fe = md.fit_ensemble(train_frame(spark, sf), cfg=QUERY_CFG, components=("spec",))
-    p = md.predict_components(fe, horizon_features(spark, sf))
-    return p.select("date", F.quarter("date").alias("quarter"), *[f"p_spec_{t}" for t in QUERY_CFG.targets])
+    """Each specialist's forecast of every horizon day, with the rounds it used."""
+    c = horizon_components(spark, sf).filter("component LIKE 'spec%'")
+    return c.select("target", F.substring("component", 5, 1).cast("int").alias("quarter"), "date", "pred", F.col("best_round").alias("best_iter"))
 
 
 @register("trend_season_model")
 def q_trend(spark, sf):
-    _, base = _prep(spark, sf)
-    base = base.persist()
-    try:
-        fits = {t: md.fit_trend_season(base, f"y_{t}", QUERY_CFG) for t in QUERY_CFG.targets}
-    finally:
-        base.unpersist()
-    df = horizon_features(spark, sf)
-    for t, (m, t0, cps) in fits.items():
-        df = md.predict_trend(m, t0, cps, df, QUERY_CFG, f"trend_{t}")
-    return df.select("date", *[f"trend_{t}" for t in QUERY_CFG.targets])
+    return _wide(spark, sf, ["trend"], "trend")
 
 
 @register("ensemble_fit_predict")
 def q_ensemble(spark, sf):
-    return ensemble_forecast(spark, sf)
+    return md.compose(horizon_components(spark, sf), [], CFG).drop("train_end")
+
+
+def ensemble_predictions(spark, sf):
+    """Walk-forward predictions of the ensemble, refitted for each fold, calibration 1.0."""
+    def build():
+        rows = fold_rows(spark, sf)
+        parts = md.fit_predict(rows, all_features(rows), ["fold", "series_id"], CFG)
+        p = md.compose(parts, ["fold", "series_id"], CFG).select("fold", "date", "train_end", *[F.col(t).alias(f"pred_{t}") for t in CFG.targets])
+        actual = qb.total_daily(spark, sf).select("date", *[F.col(t).cast("double").alias(f"actual_{t}") for t in CFG.targets])
+        return p.join(actual, "date")
+    return cm.materialized(spark, sf, "ensemble_backtest", build)
+
+
+@register("backtest_run")
+def q_backtest(spark, sf):
+    return ensemble_predictions(spark, sf).select("fold", "date", "actual_revenue", "actual_cogs", "pred_revenue", "pred_cogs")
 
 
-def ensemble_forecast(spark, sf, cfg=QUERY_CFG):
-    fe = md.fit_ensemble(train_frame(spark, sf), cfg=cfg)
-    return md.ensemble_predict(fe, horizon_features(spark, sf))
+@register("backtest_coverage", extra_ctes=[qc.SPINE_CTE, qb.DENSE_CTE, qb.FOLDS_CTE, qb.FOLD_TRAIN_CTE, qb.FOLD_VAL_CTE], sql="""
+SELECT v.fold, count(*) AS n_days, min(v.date) AS first_day, max(v.date) AS last_day, any_value(t.last_train) AS last_train, true AS ordered
+FROM f_val v JOIN (SELECT fold, max(date) AS last_train FROM f_train GROUP BY fold) t USING (fold) GROUP BY v.fold""")
+def q_backtest_coverage(spark, sf):
+    """Which days the ensemble's folds predicted, and the last day each was fitted on."""
+    return ensemble_predictions(spark, sf).groupBy("fold").agg(
+        F.count("*").alias("n_days"), F.min("date").alias("first_day"), F.max("date").alias("last_day"),
+        F.max("train_end").alias("last_train"), (F.max("train_end") < F.min("date")).alias("ordered"))
+
+
+@register("ensemble_fold_metrics")
+def q_ensemble_metrics(spark, sf):
+    return dg.metrics_summary(dg.fold_metrics(ensemble_predictions(spark, sf), ["fold"], qd.PAIRS))
+
+
+@register("ensemble_spike_decomposition")
+def q_ensemble_spikes(spark, sf):
+    return dg.spike_decomposition(ensemble_predictions(spark, sf), ["fold"], "actual_revenue", "pred_revenue")
+
+
+@register("ensemble_residual_stats")
+def q_ensemble_residuals(spark, sf):
+    return dg.residual_stats(ensemble_predictions(spark, sf).select((F.col("actual_revenue") - F.col("pred_revenue")).alias("residual")))
+
+
+# ------------------------------------------------------------ panel
+
+@register("panel_training_rows", sql="""
+SELECT s.series_id, count(*) AS n_days, count(*) FILTER (WHERE coalesce(p.revenue, 0) > 0) AS n_selling_days
+FROM (SELECT DISTINCT series_id FROM fx_sales_panel) s
+CROSS JOIN (SELECT CAST(unnest(generate_series(CAST(lo AS TIMESTAMP), CAST(hi AS TIMESTAMP), INTERVAL 1 DAY)) AS DATE) AS date
+            FROM (SELECT min(date) AS lo, max(date) AS hi FROM fx_sales_panel) b) d
+LEFT JOIN fx_sales_panel p ON p.series_id = s.series_id AND p.date = d.date GROUP BY s.series_id""")
+def q_panel_rows(spark, sf):
+    return qc.training_frame(spark, sf, panel=True).groupBy("series_id").agg(
+        F.count("*").alias("n_days"), F.count(F.when(F.col("revenue") > 0, 1)).alias("n_selling_days"))
+
+
+@register("panel_forecast")
+def q_panel_forecast(spark, sf):
+    """Ridge and trend forecasts of the horizon for every region x category series."""
+    dense = cm.panel_dense(spark, sf)
+    known = dense.select("series_id", "date", F.lit("train").alias("role"), *qb.VALUES)
+    ahead = dense.select("series_id").distinct().crossJoin(qb.horizon(spark, dense).select("date"))     # series x calendar
+    rows = known.unionByName(ahead.select("series_id", "date", F.lit("score").alias("role"), *[F.lit(None).cast("double").alias(v) for v in qb.VALUES]))
+    out = md.fit_predict(rows, all_features(rows), ["series_id"], md.EnsembleConfig(trend_start=None), components=("ridge", "trend"))
+    return out.select("series_id", "target", "component", "date", "pred")
 
 
 # ------------------------------------------------------------ blends on given columns (SQL)
 # Component mapping on the baseline backtest: base/ridge -> pred_revenue,
 # specialist/trend -> naive_revenue (the seasonal-naive outside forecast).
 
-BL1 = f"(1 - {QUERY_CFG.alpha}) * pred_revenue + {QUERY_CFG.alpha} * naive_revenue"
+BL1 = f"(1 - {CFG.alpha}) * pred_revenue + {CFG.alpha} * naive_revenue"
 
 
 @register("blend_layer1", rounding={"layer1": 4}, extra_ctes=qd.FPN, sql=f"""
@@ -175,17 +233,17 @@ SELECT fold, date, {BL1} AS layer1 FROM preds_naive""")
 def q_bl1(spark, sf):
     p = qd.preds_naive(spark, sf)
     return p.select("fold", "date", md.blend_layer1(F.col("pred_revenue"), F.col("naive_revenue"),
-                                                    QUERY_CFG.alpha).alias("layer1"))
+                                                    CFG.alpha).alias("layer1"))
 
 
 @register("blend_layer2", rounding={"layer2": 4}, extra_ctes=qd.FPN, sql=f"""
-SELECT fold, date, {QUERY_CFG.w_ridge} * pred_revenue + {QUERY_CFG.w_trend} * naive_revenue
-                   + {QUERY_CFG.w_trees} * ({BL1}) AS layer2 FROM preds_naive""")
+SELECT fold, date, {CFG.w_ridge} * pred_revenue + {CFG.w_trend} * naive_revenue
+                   + {CFG.w_trees} * ({BL1}) AS layer2 FROM preds_naive""")
 def q_bl2(spark, sf):
     p = qd.preds_naive(spark, sf)
-    l1 = md.blend_layer1(F.col("pred_revenue"), F.col("naive_revenue"), QUERY_CFG.alpha)
-    l2 = md.blend_layer2(F.col("pred_revenue"), F.col("naive_revenue"), l1, QUERY_CFG.w_ridge,
-                         QUERY_CFG.w_trend, QUERY_CFG.w_trees)
+    l1 = md.blend_layer1(F.col("pred_revenue"), F.col("naive_revenue"), CFG.alpha)
+    l2 = md.blend_layer2(F.col("pred_revenue"), F.col("naive_revenue"), l1, CFG.w_ridge,
+                         CFG.w_trend, CFG.w_trees)
     return p.select("fold", "date", l2.alias("layer2"))
 
 
@@ -198,27 +256,49 @@ def q_calibrate(spark, sf):
                     md.calibrate(F.col("pred_cogs"), CAL_FACTORS["cogs"]).alias("cogs"))
 
 
+@register("specialist_compose", rounding={"composed": 4}, extra_ctes=qd.FPN, sql="""
+SELECT fold, date, CAST(quarter(date) AS INTEGER) AS quarter,
+       CASE quarter(date) WHEN 1 THEN pred_revenue WHEN 2 THEN pred_cogs WHEN 3 THEN actual_revenue ELSE actual_cogs END AS composed
+FROM preds_naive""")
+def q_compose(spark, sf):
+    """Composition on given columns: each row takes its own quarter's."""
+    p = qd.preds_naive(spark, sf)
+    q = F.quarter("date")
+    out = md.specialist_compose(p, q, {1: "pred_revenue", 2: "pred_cogs", 3: "actual_revenue", 4: "actual_cogs"}, "composed")
+    return out.select("fold", "date", q.alias("quarter"), "composed")
+
+
+# The second outside forecast: the day two years earlier, joined by (fold, date).
+NAIVE2_CTE = ("preds_outside", """
+    SELECT p.*, d.revenue AS naive2_revenue
+    FROM preds_naive p JOIN folds f USING (fold)
+    LEFT JOIN dense d ON d.date = CAST(p.date - INTERVAL 24 MONTH AS DATE) AND d.date <= f.train_end""")
+
+
 def _ext_sql(cogs: bool) -> str:
-    w = f"(CASE WHEN naive_revenue IS NOT NULL THEN {EXTERNAL_WEIGHT} ELSE 0.0 END)"
-    p = "pred_cogs" if cogs else "pred_revenue"
-    ext = f"coalesce(naive_revenue, 0.0){' * ' + repr(md.EXTERNAL_COGS_RATIO) if cogs else ''}"
-    return (f"{QUERY_CFG.w_ridge} * {p} + {QUERY_CFG.w_trend} * {p} + ({QUERY_CFG.w_trees} - {w}) * {p}"
-            f" + {w} * {ext}")
+    names, p = ["naive_revenue", "naive2_revenue"], "pred_cogs" if cogs else "pred_revenue"
+    ws = [f"(CASE WHEN {n} IS NOT NULL THEN {w} ELSE 0.0 END)" for n, w in zip(names, EXTERNAL_WEIGHTS)]
+    ext = " + ".join(f"{w} * coalesce({n}, 0.0){' * ' + repr(md.EXTERNAL_COGS_RATIO) if cogs else ''}" for n, w in zip(names, ws))
+    return f"{CFG.w_ridge} * {p} + {CFG.w_trend} * {p} + ({CFG.w_trees} - {' - '.join(ws)}) * {p} + {ext}"
 
 
-@register("external_forecast_blend", rounding={"revenue": 2, "cogs": 2}, extra_ctes=qd.FPN, sql=f"""
+@register("external_forecast_blend", rounding={"revenue": 2, "cogs": 2}, extra_ctes=qd.FPN + [NAIVE2_CTE], sql=f"""
 SELECT fold, date, greatest({_ext_sql(False)}, 0) AS revenue, greatest({_ext_sql(True)}, 0) AS cogs
-FROM preds_naive""")
+FROM preds_outside""")
 def q_external(spark, sf):
-    """Outside revenue forecast (seasonal naive) blended into a model whose
-    three components are all the baseline here; cogs take 0.88 of it."""
+    """Two outside revenue forecasts (the same day one and two years earlier), joined by
+    fold and date, blended into a model whose three components are all the baseline
+    here; cogs take 0.88 of them."""
     p = qd.preds_naive(spark, sf)
-    cfg = QUERY_CFG
+    outside = (qb.total_daily(spark, sf).select(F.add_months("date", 24).alias("date"), F.col("date").alias("src"), F.col("revenue").alias("naive2_revenue"))
+               .join(F.broadcast(bt.folds_df(spark).select("fold", "train_end"))).filter(F.col("src") <= F.col("train_end")))
+    # the month end of a leap year has two days mapped to one; the SQL twin takes the day itself
+    outside = outside.filter(F.add_months("date", -24) == F.col("src")).select("fold", "date", "naive2_revenue")
+    p = p.join(outside, ["fold", "date"], "left")
     out = []
     for t, is_cogs in (("revenue", False), ("cogs", True)):
         c = F.col(f"pred_{t}")
-        out.append(md.calibrate(md.external_blend(c, c, c, F.col("naive_revenue"), cfg, EXTERNAL_WEIGHT, is_cogs),
-                                1.0).alias(t))
+        out.append(md.calibrate(md.external_blend(c, c, c, [F.col("naive_revenue"), F.col("naive2_revenue")], CFG, EXTERNAL_WEIGHTS, is_cogs), 1.0).alias(t))
     return p.select("fold", "date", *out)
 
 
@@ -262,7 +342,6 @@ def climatology_quantiles(spark, sf):
     """Outside quantile forecast per (fold, val day): quantiles of the training
     actuals on the same calendar day in earlier years (long format).  Groups
     are bounded by the number of training years."""
-    from vendora.operators import backtest as bt
     a = bt.assign_folds(qb.total_daily(spark, sf), bt.folds_df(spark))
     tr = a.filter(F.col("role") == "train").select("fold", F.month("date").alias("m"), F.dayofmonth("date").alias("d"),
                                                    "revenue")
@@ -270,7 +349,7 @@ def climatology_quantiles(spark, sf):
                                          F.avg("revenue").alias("mean"))
     val = a.filter(F.col("role") == "val").select("fold", "date", F.month("date").alias("m"),
                                                   F.dayofmonth("date").alias("d"))
-    j = val.join(qs, ["fold", "m", "d"])
+    j = val.join(qs, ["fold", "m", "d"], "left")     # a day without history keeps its row, with null quantiles
     levels = F.array(*[F.struct(F.lit(q).alias("level"), F.col("qs")[i].alias("yhat"))
                        for i, q in enumerate(QUANTILE_LEVELS)]
                      + [F.struct(F.lit(None).cast("double").alias("level"), F.col("mean").alias("yhat"))])
@@ -280,43 +359,9 @@ def climatology_quantiles(spark, sf):
 # ------------------------------------------------------------ feature importance (rows)
 
 TOP_FEATURES = 25
-PERMUTE_TOP = 8
 
 
 @register("feature_importance")
 def q_importance(spark, sf):
-    return feature_importance(spark, sf)
-
-
-def feature_importance(spark, sf, cfg=QUERY_CFG, target="revenue"):
-    """Gain importance of the base tree model for all features, and for the
-    top ones the permutation importance: shuffle one column (rows re-paired
-    by a seeded random row number, keyed so no window is global), rescore,
-    MAE increase on the log scale."""
-    data = _tree_data(spark, sf, cfg).persist()
-    try:
-        model, _ = md.fit_trees_two_phase(data, f"y_{target}", "w_era", cfg)
-        gains = model.featureImportances.toArray()
-        names = cal.feature_names()
-        ranked = sorted(range(len(names)), key=lambda i: -gains[i])[:TOP_FEATURES]
-        base_pred = model.setPredictionCol("_p").transform(data)
-        base_mae = base_pred.agg(F.avg(F.abs(F.col(f"y_{target}") - F.col("_p")))).first()[0]
-        rows = []
-        feats = data.drop("features")
-        n_buckets = 16
-        keyed = feats.withColumn("_k", F.pmod(F.hash("date"), F.lit(n_buckets)))
-        w_orig = Window.partitionBy("_k").orderBy("date")
-        w_perm = Window.partitionBy("_k").orderBy(F.rand(cfg.seed), "date")
-        for rank, i in enumerate(ranked, start=1):
-            delta = None
-            if rank <= PERMUTE_TOP:
-                f = names[i]
-                left = keyed.drop(f).withColumn("_rn", F.row_number().over(w_orig))
-                right = keyed.select("_k", F.col(f), F.row_number().over(w_perm).alias("_rn"))
-                perm = md._assemble(left.join(right, ["_k", "_rn"]), names)
-                pm = model.transform(perm).agg(F.avg(F.abs(F.col(f"y_{target}") - F.col("_p")))).first()[0]
-                delta = float(pm - base_mae)
-            rows.append((names[i], float(gains[i]), rank, delta))
-    finally:
-        data.unpersist()
-    return spark.createDataFrame(rows, "feature string, gain_importance double, rank int, perm_delta_mae double")
+    daily = qb.total_daily(spark, sf)
+    return md.importance(daily, all_features(daily), ["series_id"], "revenue", TOP_FEATURES, CFG).drop("series_id")
