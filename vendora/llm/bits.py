@@ -29,6 +29,19 @@ def hits(bits: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return (bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
 
 
+def may_hold(df: DataFrame, ident, keys: DataFrame, column: str) -> DataFrame:
+    """Rows of ``df`` whose ``ident`` may be among the keys (a long column): all that are,
+    few others.  Put before a join, it spares the shuffle the rest."""
+    import pyarrow as pa
+    bits = df.sparkSession.sparkContext.broadcast(bitmap(keys, column))
+
+    def run(batches):
+        for batch in batches:
+            keep = hits(bits.value, np.asarray(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[1:]], names=batch.schema.names[1:])
+    return df.select(ident.alias("__ident"), *df.columns).mapInArrow(run, df.schema)
+
+
 def runs_of_many(key: str, member: str, names: list, odd: str | None = None):
     """Batches of a partition sorted by ``key`` in; the rows whose key stands with
     two different members or more out, and those whose ``odd`` is odd.  Holds one run

@@ -5,8 +5,10 @@ when 100 * intersection >= 90 * union.  Sets are written in one global order and
 
 1. equal sets become one node (copies are never expanded into pairs);
 2. a linking pair must share ``SHARED`` (or all it can) of the first
-   n - ceil(0.9 n) + ``SHARED`` shingles of either set, so nodes meet by these.  The order puts shingles that
-   many texts hold last, so that shared passages seldom decide where nodes meet;
+   n - ceil(0.9 n) + ``SHARED`` shingles of either set, so nodes meet by these.  The order
+   starts with the longest shingles, which are the rarest in any corpus, and ends
+   with those that many texts hold, so that chance and shared passages seldom
+   decide where nodes meet;
 3. where nodes meet, each is first held against one of them, the hub (the one
    with the fewest rare shingles, so the original of a family of near copies).
    Nodes left in different components are then held against each other;
@@ -18,8 +20,7 @@ when 100 * intersection >= 90 * union.  Sets are written in one global order and
 The result does not depend on the order or the hubs: every pair that the prefix
 bound allows is compared or already in one component.
 
-Scale: texts are read three times and shuffled once, for nodes that met
-another; a hub's probes are salted into chunks; a shingle that many nodes hold is
+Scale: texts are read four times and shuffled only for nodes in a pair; a hub's probes are salted into chunks; a shingle that many nodes hold is
 spread by node and aggregated before it is shuffled.  The list of common shingles
 has at most ``HEAVY`` entries and decides only the order.
 
@@ -37,23 +38,27 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm import textgrid as tg
-from vendora.llm.bits import runs_of_many
+from vendora.llm.bits import may_hold, runs_of_many
 from vendora.llm.graph import components
 from vendora.llm.registry import query, table, written
 
 K = 3
 PER_100 = 90
 HEAVY = 1 << 18            # common shingles that the order knows
-BLOCK = 4 << 20            # shingles counted together when looking for common ones
+BLOCK = 2 << 20            # shingles counted together when looking for common ones
 SHARED = 4                 # shingles of the two beginnings that a linking pair shares
-COMMON = 8                 # texts of a block that hold a common shingle
+COMMON = 6                 # texts of a block that hold a common shingle
 CHUNK = 256                # probes of a hub in one tree
 PROBES = 1500              # probes in a comparison task's group
 
 
 def row_sets(col, k: int) -> list:
-    """Distinct shingle hashes of each row, ascending."""
-    s, ptr = tg.shingles(tg.words_of(col), k)
+    """Distinct shingles of each row, ascending: 12 bits that put long shingles first
+    (the longer, the rarer, in any corpus), 52 bits of the shingle's hash."""
+    words = tg.words_of(col)
+    s, ptr = tg.shingles(words, k)
+    length = np.minimum(tg.shingle_bytes(words, ptr, k), 4095).astype(np.uint64)
+    s = ((np.uint64(4095) - length) << np.uint64(52)) | (s >> np.uint64(12))
     return [np.unique(s[ptr[i]:ptr[i + 1]]) for i in range(len(ptr) - 1)]
 
 
@@ -263,6 +268,17 @@ def keep_node(k: int, seed: int):
     return run
 
 
+def node_texts(src: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, seed: int) -> DataFrame:
+    """(node, text) of the nodes in ``pairs``.  Other documents leave before the shuffle
+    (a few pass the bitmap, more once it fills up; the join drops them)."""
+    ident = F.xxhash64(F.col("doc").cast("string"))
+    asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").withColumnRenamed("rep", "doc").withColumn("ident", ident), "jaccard-asked")
+    few = may_hold(src, ident, asked, "ident")
+    asked = asked.select("node", F.col("doc").alias("rep"))
+    return written(few.join(asked, F.col("doc").eqNullSafe(F.col("rep"))).select("node", "text")
+                   .mapInArrow(keep_node(k, seed), "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
+
+
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, per_100: int = PER_100) -> DataFrame:
     """(key, n_shingles, component_id) of every row."""
     spark = docs.sparkSession
@@ -294,9 +310,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
                       .select(F.col("node").alias("u"), F.col("h.node").alias("v"), F.col("n").alias("n_u"), F.col("h.n").alias("n_v"),
                               F.col("pos").alias("pos_u"), F.col("h.pos").alias("pos_v")), per_100)
     first = written(first, "jaccard-pairs")
-    asked = met.select("node").distinct().join(nodes, "node")
-    texts = written(src.join(asked, F.col("doc").eqNullSafe(F.col("rep"))).select("node", "text")
-                    .mapInArrow(keep_node(k, seed), "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
+    texts = node_texts(src, nodes, first, k, seed)
     links = written(linked(first, texts, k, per_100, heavy), "jaccard-links")
 
     label = components(links)
@@ -311,6 +325,7 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     tested = first.select("u", "v").union(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
     second = written(second.join(tested, ["u", "v"], "left_anti"), "jaccard-rest")
     if second.limit(1).count():
+        texts = node_texts(src, nodes, second, k, seed)
         links = links.union(written(linked(second, texts, k, per_100, heavy), "jaccard-links"))
         label = components(links)
 
