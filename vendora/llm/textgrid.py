@@ -11,8 +11,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-PIECE = 1 << 20            # bytes hashed at a time
-SLICE = 4 << 20            # text bytes of the row slices handed to callers
+PIECE = 1 << 18            # bytes hashed at a time
+SLICE = 2 << 20            # text bytes of the row slices handed to callers
 BASE = 0x9E3779B97F4A7C15 | 1
 M64 = (1 << 64) - 1
 
@@ -46,8 +46,9 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def slices(table, column: str = "text", limit: int = SLICE):
+def slices(table, column: str = "text", limit: int | None = None):
     """Row slices of a batch whose text stays near ``limit`` bytes (one row at least)."""
+    limit = limit or SLICE
     n = table.num_rows
     if n == 0:
         return
@@ -147,6 +148,15 @@ def shingles(words: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     return mix(s + width.astype(np.uint64)), out_ptr
 
 
+def shingle_bytes(words: Words, ptr: np.ndarray, k: int) -> np.ndarray:
+    """Bytes of the words of each shingle that ``shingles`` gives."""
+    n = np.diff(words.ptr)
+    row = np.repeat(np.arange(len(n)), np.diff(ptr))
+    at = words.ptr[row] + (np.arange(ptr[-1]) - ptr[row])
+    total = np.concatenate([[0], np.cumsum(words.end - words.start)])
+    return total[at + np.minimum(n, k)[row]] - total[at]
+
+
 def signed(h: np.ndarray) -> np.ndarray:
     """uint64 as the int64 with the same bits (Spark's long)."""
     return h.view(np.int64)
