@@ -85,3 +85,22 @@ def test_densify_fills_gaps_and_sums_duplicates(spark):
 def test_span_guard(spark):
     with pytest.raises(Exception):
         co.date_spine(spark, "1000-01-01", "2999-01-01").count()
+
+
+def test_feature_tables_of_the_callers_own(spark):
+    """Later movable dates, other holidays and other campaigns than the fixed ones."""
+    import datetime as dt
+
+    from pyspark.sql import functions as F
+
+    from vendora.functions import calendar as cal
+    from vendora.operators import calendar_ops as co
+    days = spark.createDataFrame([(dt.date(2031, 1, 23),), (dt.date(2031, 6, 1),)], "date date")
+    camps = [c for c in cal.campaigns()][:1]
+    got = co.feature_matrix(days, lunar_new_year=["2031-01-23"],
+                            holidays=[(6, 1, "midyear")], campaigns=camps)
+    assert set(got.columns) == {"date", *cal.feature_names([(6, 1, "midyear")], camps)}
+    r = {x.date.month: x for x in got.collect()}
+    assert r[1].tet_on == 1 and r[6].hol_midyear == 1 and r[1].hol_midyear == 0
+    plain = co.feature_matrix(days).filter(F.col("date") == dt.date(2031, 1, 23)).first()
+    assert plain.tet_days_diff == cal.LNY_NONE

@@ -169,8 +169,8 @@ def black_friday(d: Column) -> Column:
     return (d == last_fri).cast("int").alias("hol_black_friday")
 
 
-def holiday_cols(d: Column) -> list[Column]:
-    return fixed_holiday_cols(d) + [black_friday(d)]
+def holiday_cols(d: Column, holidays=FIXED_HOLIDAYS) -> list[Column]:
+    return fixed_holiday_cols(d, holidays) + [black_friday(d)]
 
 
 def _window_start(d: Column, c: Campaign, years_back: int) -> Column:
@@ -218,15 +218,8 @@ FEATURE_GROUPS = {
 }
 
 
-def all_feature_cols(d: Column) -> list[Column]:
-    cols = []
-    for fn in FEATURE_GROUPS.values():
-        cols += fn(d)
-    return cols
-
-
-def feature_names() -> list[str]:
-    """The 81 feature names, in matrix order."""
+def feature_names(holidays=FIXED_HOLIDAYS, camps: list[Campaign] | None = None) -> list[str]:
+    """The feature names, in matrix order (81 with the fixed tables)."""
     names = ["year", "month", "day", "dayofweek", "dayofyear", "quarter", "is_weekend",
              "is_odd_year", "dim", "regime_pre2019", "regime_2019", "regime_post2019",
              "t_days", "t_years"]
@@ -237,8 +230,8 @@ def feature_names() -> list[str]:
     for k in (1, 2, 3):
         names += [f"is_last{k}", f"is_first{k}"]
     names += ["tet_days_diff", "tet_in_7", "tet_in_14", "tet_before_7", "tet_after_7", "tet_on"]
-    names += [f"hol_{n}" for _, _, n in FIXED_HOLIDAYS] + ["hol_black_friday"]
-    for c in campaigns():
+    names += [f"hol_{n}" for _, _, n in holidays] + ["hol_black_friday"]
+    for c in camps or campaigns():
         names += [f"promo_{c.name}", f"promo_{c.name}_since", f"promo_{c.name}_until",
                   f"promo_{c.name}_disc"]
     return names

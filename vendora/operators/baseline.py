@@ -77,7 +77,8 @@ def join_seasonal_lookup(target: DataFrame, seasonal: DataFrame, keys: list[str]
 def predict(target: DataFrame, stats: DataFrame, seasonal: DataFrame, keys: list[str], values: list[str],
             date_col: str = "date", round_to: int | None = 2, prefix: str = "pred_") -> DataFrame:
     j = join_seasonal_lookup(target, seasonal, keys, values, date_col)
-    j = j.join(stats, keys, "inner")
+    # a series without a full year keeps its rows, with null forecasts
+    j = j.join(stats, keys, "left")
     ahead = F.year(date_col) - F.col("last_full_year")
     out = j
     for v in values:

@@ -26,7 +26,7 @@ def date_bounds(df: DataFrame, date_col: str = "date"):
     return b.select("lo").scalar(), b.select("hi").scalar()
 
 
-def date_spine(spark: SparkSession, lo, hi, name: str = "date") -> DataFrame:
+def date_spine(spark: SparkSession, lo, hi, name: str = "date", max_days: int = MAX_SPAN_DAYS) -> DataFrame:
     """Contiguous daily calendar between two dates (both ends in).
 
     ``lo``/``hi`` are date literals or scalar-subquery columns.  The span is a
@@ -34,7 +34,7 @@ def date_spine(spark: SparkSession, lo, hi, name: str = "date") -> DataFrame:
     """
     lo = F.lit(lo).cast("date") if isinstance(lo, str) else lo
     hi = F.lit(hi).cast("date") if isinstance(hi, str) else hi
-    seq = F.sequence(lo, bounded_hi(lo, hi), F.expr("INTERVAL 1 DAY"))
+    seq = F.sequence(lo, bounded_hi(lo, hi, max_days), F.expr("INTERVAL 1 DAY"))
     return spark.range(1).select(F.explode(seq).alias(name))
 
 
@@ -45,7 +45,7 @@ def bounded_hi(lo, hi, limit: int = MAX_SPAN_DAYS):
 
 
 def densify(df: DataFrame, keys: list[str], date_col: str, values: list[str],
-            lo=None, hi=None, fill=0.0) -> DataFrame:
+            lo=None, hi=None, fill=0.0, max_days: int = MAX_SPAN_DAYS) -> DataFrame:
     """One row per (series, day) on the span, missing days -> ``fill``.
 
     Duplicate (series, day) rows are summed first (the reference would fail).
@@ -64,24 +64,27 @@ def densify(df: DataFrame, keys: list[str], date_col: str, values: list[str],
         series = agg.select(*keys).distinct()
     else:
         series = df.sparkSession.range(1).select()
-    seq = F.sequence(lo, bounded_hi(lo, hi), F.expr("INTERVAL 1 DAY"))
+    seq = F.sequence(lo, bounded_hi(lo, hi, max_days), F.expr("INTERVAL 1 DAY"))
     grid = series.select(*keys, F.explode(seq).alias(date_col))
     out = grid.join(agg, keys + [date_col], "left")
     return out.select(*keys, date_col, *[F.coalesce(F.col(v), F.lit(fill)).alias(v) for v in values])
 
 
-def with_features(dates: DataFrame, date_col: str = "date", groups: list[str] | None = None) -> DataFrame:
-    """Add calendar feature groups to a frame of dates (pure projection)."""
+def with_features(dates: DataFrame, date_col: str = "date", groups: list[str] | None = None,
+                  lunar_new_year=cal.LUNAR_NEW_YEAR, holidays=cal.FIXED_HOLIDAYS, campaigns=None) -> DataFrame:
+    """Add calendar feature groups to a frame of dates (pure projection).  The tables of
+    movable dates, fixed holidays and campaigns may be the caller's own."""
     d = F.col(date_col)
+    own = {"lunar_new_year": {"dates": lunar_new_year}, "holidays": {"holidays": holidays}, "promo": {"camps": campaigns}}
     cols = []
     for g in groups or list(cal.FEATURE_GROUPS):
-        cols += cal.FEATURE_GROUPS[g](d)
+        cols += cal.FEATURE_GROUPS[g](d, **own.get(g, {}))
     return dates.select("*", *cols)
 
 
-def feature_matrix(dates: DataFrame, date_col: str = "date") -> DataFrame:
-    """All 81 features; nulls -> 0 (there are none by construction)."""
-    return with_features(dates.select(date_col).distinct(), date_col).na.fill(0)
+def feature_matrix(dates: DataFrame, date_col: str = "date", **tables) -> DataFrame:
+    """All features (81 with the fixed tables); nulls -> 0 (there are none by construction)."""
+    return with_features(dates.select(date_col).distinct(), date_col, **tables).na.fill(0)
 
 
 def attach_features(panel: DataFrame, features: DataFrame, date_col: str = "date") -> DataFrame:
@@ -115,10 +118,11 @@ def promo_calendar(campaigns: DataFrame, first_year, last_year) -> DataFrame:
 def join_interval(points: DataFrame, windows: DataFrame, point_col: str,
                   start_col: str = "start_date", end_col: str = "end_date",
                   how: str = "inner") -> DataFrame:
-    """Points inside [start, end] windows (both ends in).
+    """Points inside [start, end] windows of days (both ends in).
 
-    The window table is broadcast; it must be small (a calendar of windows,
-    bounded by windows-per-year x years), never a data table.
+    Each window gives one row per day it covers, so the join is an equi-join on the
+    day, for any number of windows.
     """
-    cond = (F.col(point_col) >= F.col(start_col)) & (F.col(point_col) <= F.col(end_col))
-    return points.join(F.broadcast(windows), cond, how)
+    day = F.explode(F.sequence(F.col(start_col), F.col(end_col), F.expr("INTERVAL 1 DAY"))).alias("_day")
+    days = windows.filter(F.col(start_col) <= F.col(end_col)).select("*", day)
+    return points.join(days, points[point_col] == days["_day"], how).drop("_day")

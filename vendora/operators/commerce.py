@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendora.operators.relational import exact_quantile_from_counts, rank_flag
+from vendora.operators.relational import exact_quantile_from_counts, line_value, rank_flag
 
 
 def q01_median_order_gap(orders: DataFrame) -> DataFrame:
@@ -79,15 +79,15 @@ def q06_orders_per_customer_by_age(customers: DataFrame, orders: DataFrame) -> D
 
 
 def q07_region_revenue(geography: DataFrame, orders_zip: DataFrame, items: DataFrame) -> DataFrame:
-    """Revenue by region over delivered orders: geography is broadcast, the
-    delivered filter reaches the orders scan.  Lines are summed per order
+    """Revenue by region over delivered orders: the planner
+    broadcasts a small geography, the delivered filter reaches the orders scan.  Lines are summed per order
     before the join (partial aggregation map-side), so the join sees one row
     per order and an order with a huge number of lines cannot skew it."""
     o = orders_zip.filter(F.col("order_status") == "delivered").select("order_id", "zip")
-    go = o.join(F.broadcast(geography), "zip")
-    per = items.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("v"))
+    go = o.join(geography, "zip")
+    per = items.groupBy("order_id").agg(F.sum(line_value(items)).alias("v"))
     j = go.join(per, "order_id")
-    agg = j.groupBy("region").agg(F.sum("v").alias("revenue"))
+    agg = j.groupBy("region").agg(F.sum("v").cast("double").alias("revenue"))
     return rank_flag(agg, "region", "revenue")
 
 

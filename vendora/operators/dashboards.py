@@ -12,8 +12,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from vendora.operators.relational import (exact_quantile_from_counts, global_prefix, materialize,
-                                          ntile_from_rank, range_sketch)
+from vendora.operators.relational import (exact_quantile_from_counts, global_prefix, line_value, materialize,
+                                            ntile_from_rank)
 
 # Fixed values of the pinned definitions
 MARGIN_WINDOW_MONTHS = 3
@@ -56,11 +56,12 @@ def category_mix(items: DataFrame, dims: DataFrame) -> DataFrame:
     """Lines are summed per product before the join (unit cost is a product
     attribute, so cost = units x unit cost), so the join sees one row per
     product and a hot product is collapsed map-side."""
-    per = items.groupBy("product_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("rev"),
+    per = items.groupBy("product_id").agg(F.sum(line_value(items)).alias("rev"),
                                           F.sum("quantity").alias("units"))
     j = per.join(dims.select("product_id", "category", F.col("cogs").alias("unit_cogs")), "product_id")
     a = j.groupBy("category").agg(F.sum("rev").alias("revenue"),
-                                  F.sum(F.col("units") * F.col("unit_cogs")).alias("cost"))
+                                  F.sum(F.col("units").cast("decimal(18,0)") * F.col("unit_cogs").cast("decimal(18,2)")).alias("cost"))
+    a = a.select("category", F.col("revenue").cast("double").alias("revenue"), F.col("cost").cast("double").alias("cost"))
     w = Window.partitionBy()   # one row per category
     return a.select("category", "revenue", (F.col("revenue") / F.sum("revenue").over(w)).alias("share"),
                     F.try_divide(F.col("revenue") - F.col("cost"), F.col("revenue")).alias("margin"))
@@ -80,21 +81,17 @@ def rfm_segments(customers: DataFrame, orders: DataFrame, delivered: DataFrame |
     ``delivered`` may pass the delivered orders pre-filtered at the scan."""
     as_of = orders.agg(F.max("order_date").alias("d")).select("d").scalar()
     d = delivered if delivered is not None else orders.filter(F.col("order_status") == "delivered")
-    per = d.groupBy("customer_id").agg(F.max("order_date").alias("last"), F.count(F.lit(1)).alias("freq"),
-                                       F.sum("order_total").alias("monetary"))
-    # the per-customer table feeds three rankings (each reads it three times):
-    # materialize it once instead of re-aggregating the orders nine times
+    per = d.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
+        F.max("order_date").alias("last"), F.count(F.lit(1)).alias("freq"))
+    # the per-customer table feeds two rankings and the count: materialize it once
     per = materialize(per.withColumn("_neg_recency", -F.datediff(F.lit(as_of), F.col("last"))))
-    # one pass sketches all three ranking columns (and counts the customers)
-    n, cuts = range_sketch(per, ["_neg_recency", "freq", "monetary"])
-    # three independent rankings of the same per-customer table, joined by key
-    # (nesting them would copy each ranking's subqueries into the next)
+    n = per.count()
+    # independent rankings of the same per-customer table, joined by key; segments use
+    # recency and frequency only, so money isn't ranked
     def score(order_col: str, name: str) -> DataFrame:
-        r = global_prefix(per.select("customer_id", order_col), [order_col, "customer_id"], rank_out="_r",
-                          cuts=cuts[order_col])
+        r = global_prefix(per.select("customer_id", order_col), [order_col, "customer_id"], rank_out="_r")
         return r.select("customer_id", ntile_from_rank(F.col("_r"), F.lit(n), RFM_BUCKETS).alias(name))
-    scores = score("_neg_recency", "R").join(score("freq", "F"), "customer_id").join(score("monetary", "M"),
-                                                                                   "customer_id")
+    scores = score("_neg_recency", "R").join(score("freq", "F"), "customer_id")
     c = customers.select("customer_id").join(scores, "customer_id", "left")
     seg = (F.when(F.col("R").isNull(), "Never Purchased")
             .when((F.col("R") >= 4) & (F.col("F") >= 4), "Champions")
@@ -105,17 +102,19 @@ def rfm_segments(customers: DataFrame, orders: DataFrame, delivered: DataFrame |
 
 
 def cohort_retention(orders: DataFrame) -> DataFrame:
-    act = orders.select("customer_id", F.trunc("order_date", "month").alias("month")).distinct()
-    coh = act.groupBy("customer_id").agg(F.min("month").alias("cohort"))
-    j = act.join(coh, "customer_id").withColumn(
-        "month_offset", F.months_between("month", "cohort").cast("int"))
-    size = coh.groupBy("cohort").agg(F.count(F.lit(1)).alias("cohort_size"))
+    """One pass over the orders: a customer has at most one row per calendar month before
+    the window; a cohort's size is its count at offset 0."""
+    act = (orders.filter(F.col("customer_id").isNotNull() & F.col("order_date").isNotNull())
+                 .select("customer_id", F.trunc("order_date", "month").alias("month")).distinct())
+    j = act.withColumn("cohort", F.min("month").over(Window.partitionBy("customer_id")))
+    j = j.withColumn("month_offset", F.months_between("month", "cohort").cast("int"))
     a = j.groupBy("cohort", "month_offset").agg(F.count(F.lit(1)).alias("customers"))
-    return a.join(size, "cohort").withColumn("rate", F.col("customers") / F.col("cohort_size"))
+    size = F.max(F.when(F.col("month_offset") == 0, F.col("customers"))).over(Window.partitionBy("cohort"))
+    return a.withColumn("cohort_size", size).withColumn("rate", F.col("customers") / F.col("cohort_size"))
 
 
 def one_and_done(orders: DataFrame) -> DataFrame:
-    per = orders.groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
+    per = orders.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count(F.lit(1)).alias("n"))
     return per.agg(F.count(F.lit(1)).alias("n_customers"),
                    F.count(F.when(F.col("n") == 1, 1)).alias("n_one_order"),
                    (F.count(F.when(F.col("n") == 1, 1)) / F.count(F.lit(1))).alias("share"))
@@ -130,38 +129,40 @@ def promo_order_share(items: DataFrame) -> DataFrame:
 def promo_aov(items: DataFrame, dims: DataFrame) -> DataFrame:
     j = items.join(dims.select("product_id", "category"), "product_id")
     per = j.groupBy("order_id", "category").agg(
-        F.sum(F.col("quantity") * F.col("unit_price")).alias("value"),
+        F.sum(line_value(items)).alias("value"),
         F.max(F.col("promo_id").isNotNull().cast("int")).alias("promo"))
-    return per.groupBy("category", "promo").agg(F.avg("value").alias("aov"), F.count(F.lit(1)).alias("n_orders"))
+    a = per.groupBy("category", "promo").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_orders"))
+    return a.select("category", "promo", (F.col("value").cast("double") / F.col("n_orders")).alias("aov"), "n_orders")
 
 
 def promo_vs_full_price(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines are summed per (order, promo flag) first: at most two rows per
     order reach the join with orders."""
     per = items.groupBy("order_id", F.col("promo_id").isNotNull().cast("int").alias("promo")).agg(
-        F.sum(F.col("quantity") * F.col("unit_price")).alias("rev"))
+        F.sum(line_value(items)).alias("rev"))
     j = per.join(orders.select("order_id", "order_date"), "order_id")
     x = j.select(F.month("order_date").alias("month_no"), "promo", "rev")
     p = x.groupBy("month_no").pivot("promo", [1, 0]).agg(F.sum("rev"))
-    return p.select("month_no", F.col("1").alias("promo_rev"), F.col("0").alias("full_rev"))
+    return p.select("month_no", F.col("1").cast("double").alias("promo_rev"), F.col("0").cast("double").alias("full_rev"))
 
 
 def channel_mix(items: DataFrame, orders: DataFrame) -> DataFrame:
     """Lines are summed per order before the join with orders."""
-    per = items.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("v"))
+    per = items.groupBy("order_id").agg(F.sum(line_value(items)).alias("v"))
     j = per.join(orders.select("order_id", "order_date", "payment_method"), "order_id")
     a = j.groupBy(F.year("order_date").alias("year"), F.col("payment_method").alias("channel")).agg(
-        F.sum("v").alias("revenue"))
+        F.sum("v").cast("double").alias("revenue"))
     return a.withColumn("share", F.col("revenue") / F.sum("revenue").over(Window.partitionBy("year")))
 
 
 def channel_ltv(customers: DataFrame, orders: DataFrame, items: DataFrame) -> DataFrame:
-    per_order = items.groupBy("order_id").agg(F.sum(F.col("quantity") * F.col("unit_price")).alias("v"))
-    per_cust = (orders.select("order_id", "customer_id").join(per_order, "order_id")
+    per_order = items.groupBy("order_id").agg(F.sum(line_value(items)).alias("v"))
+    per_cust = (orders.filter(F.col("customer_id").isNotNull()).select("order_id", "customer_id").join(per_order, "order_id")
                       .groupBy("customer_id").agg(F.sum("v").alias("ltv")))
     c = customers.select("customer_id", F.col("acquisition_channel").alias("channel")).join(
-        per_cust, "customer_id", "left").fillna(0.0, ["ltv"])
-    return c.groupBy("channel").agg(F.count(F.lit(1)).alias("n_customers"), F.avg("ltv").alias("avg_ltv"))
+        per_cust, "customer_id", "left")
+    a = c.groupBy("channel").agg(F.count(F.lit(1)).alias("n_customers"), F.sum("ltv").alias("ltv"))
+    return a.select("channel", "n_customers", (F.coalesce(F.col("ltv").cast("double"), F.lit(0.0)) / F.col("n_customers")).alias("avg_ltv"))
 
 
 def traffic_trend(traffic: DataFrame) -> DataFrame:
@@ -169,23 +170,35 @@ def traffic_trend(traffic: DataFrame) -> DataFrame:
                                                          F.avg("bounce_rate").alias("avg_bounce_rate"))
 
 
-def lead_time(shipments: DataFrame, geography: DataFrame) -> DataFrame:
-    """Exact median / p90 per region from (region, lead_days) counts: lead
-    days are whole days in a bounded range, so no group holds raw rows."""
-    j = shipments.join(F.broadcast(geography), "zip")
-    hist = j.groupBy("region", "lead_days").agg(F.count(F.lit(1)).alias("w"))
-    base = hist.groupBy("region").agg(F.sum("w").alias("n"),
-                                      (F.sum(F.col("lead_days") * F.col("w")) / F.sum("w")).alias("avg_days"))
-    p50 = exact_quantile_from_counts(hist, "lead_days", "w", 0.5, ["region"], "p50_days")
-    p90 = exact_quantile_from_counts(hist, "lead_days", "w", 0.9, ["region"], "p90_days")
-    return base.join(p50, "region").join(p90, "region")
+LEGS = {"order_to_ship": ("order_date", "ship_date"), "ship_to_delivery": ("ship_date", "delivery_date"),
+        "total": ("order_date", "delivery_date")}
+
+
+def lead_time(shipments: DataFrame, geography: DataFrame, legs: dict | None = None) -> DataFrame:
+    """Exact median / p90 of each leg's days per region, from (region, leg, days) counts:
+    days are whole and in a bounded range, so no group holds raw rows.
+
+    ``legs``: name -> (start column, end column); by default those of ``LEGS`` whose
+    columns the table has.  A missing or negative span is no lead time: it is left out
+    of the figures and counted in ``n_excluded``."""
+    legs = legs or {k: v for k, v in LEGS.items() if set(v) <= set(shipments.columns)}
+    spans = F.explode(F.array(*[F.struct(F.lit(k).alias("leg"), F.datediff(b, a).alias("days")) for k, (a, b) in legs.items()]))
+    x = shipments.select("zip", spans.alias("s")).select("zip", "s.leg", "s.days")
+    per = x.groupBy("zip", "leg", "days").agg(F.count(F.lit(1)).alias("w"))       # before the join with the regions
+    hist = materialize(per.join(geography, "zip").groupBy("region", "leg", "days").agg(F.sum("w").alias("w")))
+    out = hist.filter(F.col("days").isNull() | (F.col("days") < 0)).groupBy("region", "leg").agg(F.sum("w").alias("n_excluded"))
+    hist, key = hist.filter("days >= 0"), ["region", "leg"]
+    base = hist.groupBy(*key).agg(F.sum("w").alias("n"), (F.sum(F.col("days") * F.col("w")) / F.sum("w")).alias("avg_days"))
+    p50 = exact_quantile_from_counts(hist, "days", "w", 0.5, key, "p50_days")
+    p90 = exact_quantile_from_counts(hist, "days", "w", 0.9, key, "p90_days")
+    return base.join(p50, key).join(p90, key).join(out, key, "full_outer").fillna(0, ["n", "n_excluded"])
 
 
 def stockout_rate(inv: DataFrame) -> DataFrame:
-    latest = inv.agg(F.max("month").alias("m")).select("m").scalar()
-    overall = inv.agg(F.lit("overall").alias("scope"), F.avg("stockout_flag").alias("rate"))
-    last = inv.filter(F.col("month") == latest).agg(F.lit("latest").alias("scope"), F.avg("stockout_flag").alias("rate"))
-    return overall.unionByName(last)
+    """Both rates from one pass: per month first, then all months and the last one."""
+    per = inv.groupBy("month").agg(F.sum("stockout_flag").alias("s"), F.count("stockout_flag").alias("n"))
+    a = per.agg((F.sum("s") / F.sum("n")).alias("overall"), F.max_by(F.col("s") / F.col("n"), "month").alias("latest"))
+    return a.select(F.inline(F.array(*[F.struct(F.lit(k).alias("scope"), F.col(k).alias("rate")) for k in ("overall", "latest")])))
 
 
 def sellthrough_vs_stockout(inv: DataFrame) -> DataFrame:
@@ -215,7 +228,7 @@ def return_hotspot(items: DataFrame, returns: DataFrame, dims: DataFrame) -> Dat
 
 
 def top_return_products(items: DataFrame, returns: DataFrame, k=TOP_RETURN_K, min_lines=TOP_RETURN_MIN_LINES):
-    lines = items.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_lines"))
+    lines = items.filter(F.col("product_id").isNotNull()).groupBy("product_id").agg(F.count(F.lit(1)).alias("n_lines"))
     rets = returns.groupBy("product_id").agg(F.count(F.lit(1)).alias("n_returns"))
     j = lines.filter(F.col("n_lines") >= min_lines).join(rets, "product_id", "left").fillna(0, ["n_returns"])
     j = j.withColumn("rate", F.col("n_returns") / F.col("n_lines"))
@@ -227,9 +240,11 @@ def refund_total(returns: DataFrame) -> DataFrame:
         F.round(F.sum("refund_amount"), 2).cast("double").alias("refund"))
 
 
-def region_orders(orders_zip: DataFrame, geography: DataFrame) -> DataFrame:
-    j = orders_zip.join(F.broadcast(geography), "zip")
-    return j.groupBy("region").agg(F.countDistinct("order_id").alias("n_orders"))
+def region_orders(orders: DataFrame, customers: DataFrame, geography: DataFrame) -> DataFrame:
+    """Orders (one row each) are counted per customer before the joins."""
+    per = orders.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(F.count("order_id").alias("n"))
+    zips = per.join(customers.select("customer_id", "zip"), "customer_id").groupBy("zip").agg(F.sum("n").alias("n"))
+    return zips.join(geography, "zip").groupBy("region").agg(F.sum("n").alias("n_orders"))
 
 
 def abc_class(items: DataFrame) -> DataFrame:

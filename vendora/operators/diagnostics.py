@@ -82,19 +82,17 @@ def rolling_mae(preds: DataFrame, keys: list[str], actual: str, pred: str, days:
     return preds.select(*keys, "date", err.alias("abs_error"), F.avg(err).over(w).alias(f"rolling_{days}d_mae"))
 
 
-def residual_stats(res: DataFrame, col: str = "residual", keys: list[str] | None = None,
-                   exact_median: bool = True) -> DataFrame:
-    """Mean, median, population std, skew and excess kurtosis (biased moments).
+def residual_stats(res: DataFrame, col: str = "residual") -> DataFrame:
+    """Mean, median, population std, skew and excess kurtosis (biased moments) of all rows.
 
-    ``exact_median`` keeps every value of a group in one buffer; it is meant
-    for backtest-sized groups.  Set it False for panel-wide groups, which
-    then use the mergeable ``percentile_approx`` sketch.
-    """
-    keys = keys or []
-    med = F.median(col) if exact_median else F.percentile_approx(col, 0.5, 100000)
-    return res.groupBy(*keys).agg(
-        F.count(col).alias("n"), F.avg(col).alias("mean"), med.alias("median"),
-        F.stddev_pop(col).alias("std"), F.skewness(col).alias("skew"), F.kurtosis(col).alias("kurtosis"))
+    The median is exact and comes from the rows' global ranks, so no task holds them all."""
+    values = res.select(col).filter(F.col(col).isNotNull())
+    ranked = global_prefix(values, [col], rank_out="_r")
+    n = values.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
+    mid = ranked.filter((F.col("_r") == F.floor((n + 1) / 2)) | (F.col("_r") == F.ceil((n + 1) / 2))).agg(F.avg(col).alias("median"))
+    moments = values.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
+                         F.skewness(col).alias("skew"), F.kurtosis(col).alias("kurtosis"))
+    return moments.select("n", "mean", mid.select("median").scalar().alias("median"), "std", "skew", "kurtosis")
 
 
 def residual_histogram(res: DataFrame, col: str = "residual", bins: int = HIST_BINS) -> DataFrame:
@@ -108,13 +106,17 @@ def residual_histogram(res: DataFrame, col: str = "residual", bins: int = HIST_B
                                        F.lit(bins - 1)))
     h = res.select(F.coalesce(idx, F.lit(0)).cast("int").alias("bin")).groupBy("bin").agg(
         F.count(F.lit(1)).alias("n"))
+    every = res.sparkSession.range(bins).select(F.col("id").cast("int").alias("bin"))      # empty bins too
+    h = every.join(h, "bin", "left").fillna(0, ["n"])
     return h.select("bin", (lo + F.col("bin") * width).alias("bin_lo"),
                     (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 
 
-def global_row_number(df: DataFrame, order_col: str, out: str = "rank", buckets: int | None = None) -> DataFrame:
-    """1-based position in ``order_col`` order without a single-partition window."""
-    return global_prefix(df, [order_col], None, rank_out=out, buckets=buckets)
+def global_row_number(df: DataFrame, order_col: str, out: str = "rank") -> DataFrame:
+    """1-based position in ``order_col`` order without a single-partition window.  Rows
+    with equal values differ in nothing else, so a random second column may cut them."""
+    salted = df.withColumn("_salt", F.rand(7))
+    return global_prefix(salted, [order_col, "_salt"], None, rank_out=out).drop("_salt")
 
 
 def empirical_cdf(res: DataFrame, col: str = "residual") -> DataFrame:

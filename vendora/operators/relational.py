@@ -5,7 +5,6 @@ All take DataFrames and column names, so they run on any table.
 
 from __future__ import annotations
 
-from collections import Counter
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -91,8 +90,14 @@ def lag_diff(df: DataFrame, partition: list[str], order: str, tie: str, out: str
     is joined back on (group, order value), a join AQE can split when one
     (group, day) is hot.  Every row but the first of its (group, value) has
     the same order value as its predecessor, so its difference is zero.
-    ``tie`` must be a non-null unique key (the primary key).
+    ``tie`` must be a non-null unique key (the primary key).  Rows with a null in
+    ``partition`` belong to no group and get no difference.
     """
+    known = F.lit(True)
+    for p in partition:
+        known = known & F.col(p).isNotNull()
+    nobody = df.filter(~known)
+    df = df.filter(known)
     keys = [*partition, order]
     first = df.groupBy(*keys).agg(F.min(tie).alias("_first"))
     w = Window.partitionBy(*partition).orderBy(order)
@@ -101,9 +106,10 @@ def lag_diff(df: DataFrame, partition: list[str], order: str, tie: str, out: str
     j = df.join(first, cond).select(df["*"], first["_first"], first["_prev"])
     o = F.col(order)
     diff = (lambda a, b: F.datediff(a, b)) if days else (lambda a, b: a - b)
-    return j.select(*[F.col(c) for c in df.columns],
-                    F.when(F.col(tie) == F.col("_first"), diff(o, F.col("_prev")))
-                     .otherwise(diff(o, o)).alias(out))
+    out_rows = j.select(*[F.col(c) for c in df.columns],
+                        F.when(F.col(tie) == F.col("_first"), diff(o, F.col("_prev")))
+                         .otherwise(diff(o, o)).alias(out))
+    return out_rows.unionByName(nobody.withColumn(out, F.lit(None).cast(out_rows.schema[out].dataType)))
 
 
 def exact_quantile_from_counts(hist: DataFrame, value: str, weight: str, q: float,
@@ -147,114 +153,43 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def money(c: Column, digits: int = 2) -> Column:
-    return F.round(c.cast("double"), digits)
-
-
-def _range_bucket(cuts: Column, x: Column) -> Column:
-    """Number of cut points strictly below ``x`` (-1 for a null ``x``, which
-    sorts first); equal values always get the same bucket."""
-    pos = F.array_position(F.sort_array(F.concat(cuts, F.array(x))), x) - 1
-    return F.coalesce(pos, F.lit(-1)).cast("int")
-
-
-# Range counts for global_prefix: about ROWS_PER_RANGE rows per window task,
-# at least MIN_RANGES, at most MAX_RANGES.
-ROWS_PER_RANGE = 1_000_000
-MIN_RANGES = 64
-MAX_RANGES = 4096
-
-
-def _grid(k: int) -> list[float]:
-    return [i / k for i in range(1, k)]
+def line_value(items: DataFrame) -> Column:
+    """A line's value as exact money: ``extended_price`` where the table has it, else
+    quantity x unit price, each as a decimal before they are multiplied."""
+    if "extended_price" in items.columns:
+        return F.col("extended_price").cast("decimal(18,2)")
+    return F.col("quantity").cast("decimal(18,0)") * F.col("unit_price").cast("decimal(18,4)")
 
 
-def _accuracy(k: int) -> int:
-    """Sketch accuracy: the rank error of a cut (rows / accuracy) stays a small
-    fraction of a range (rows / k)."""
-    return max(10_000, 25 * k)
-
-
-def _pick(grid_cuts: list, grid_k: int, k: int) -> list:
-    """The k-quantile cuts (k - 1 values) out of a finer grid of grid_k-quantiles."""
-    if not grid_cuts or k <= 1:
-        return []
-    return [grid_cuts[(i * grid_k) // k - 1] for i in range(1, k)]
-
-
-def _ranges_for(rows: int) -> int:
-    return min(MAX_RANGES, max(MIN_RANGES, -(-rows // ROWS_PER_RANGE)))
-
-
-def range_sketch(df: DataFrame, cols: list[str], buckets: int | None = None) -> tuple[int, dict]:
-    """Row count and ``global_prefix`` cut points for several columns of one
-    table in a single pass (one more pass only for tables above
-    MIN_RANGES x ROWS_PER_RANGE rows): ``(rows, {column: cuts})``."""
-    k = buckets or MIN_RANGES
-    head = df.agg(F.count(F.lit(1)).alias("_n"),
-                  *[F.percentile_approx(c, _grid(k), _accuracy(k)).alias(c) for c in cols]).first()
-    n = head["_n"]
-    cuts = {c: head[c] or [] for c in cols}
-    if buckets is None and _ranges_for(n) > k:
-        k = _ranges_for(n)
-        again = df.agg(*[F.percentile_approx(c, _grid(k), _accuracy(k)).alias(c) for c in cols]).first()
-        cuts = {c: again[c] or [] for c in cols}
-    return n, cuts
+def money(c: Column, digits: int = 2) -> Column:
+    return F.round(c.cast("double"), digits)
 
 
 def global_prefix(df: DataFrame, order_cols: list[str], value: str | None = None, rank_out: str = "rank",
-                  cum_out: str = "cum", buckets: int | None = None, cuts: list | None = None) -> DataFrame:
-    """Global 1-based row number (and running sum of ``value``) in the order
-    of ``order_cols`` (all ascending, nulls first), without a single-partition
-    window.
-
-    Rows are split into ranges of the first order column at approximate
-    quantiles.  The number of ranges follows the row count (about
-    ``ROWS_PER_RANGE`` rows each, between ``MIN_RANGES`` and ``MAX_RANGES``;
-    ``buckets`` fixes it): one pass takes the count and a quantile sketch at
-    the minimum range count, and a table large enough to need more ranges gets
-    a second sketch pass (``cuts`` passes cut points already computed by
-    ``range_sketch``, which sketches several columns of one table at once).
-    A value that fills more than one range (a third of a table tied on the
-    same frequency, say) shows up repeatedly among the cuts; its rows are
-    split again at quantiles of the second order column into as many ranges
-    as it spans, so no window task holds much more than one range.  Per-range counts and sums become offsets (one row per range,
-    prefix-summed), and the row number / running sum inside each range is
-    added to its offset.  Equal values of a splitting column always share a
-    range, so ties are ordered by the remaining columns exactly as a global
-    sort would order them.
+                  cum_out: str = "cum") -> DataFrame:
+    """Global 1-based row number (and running sum of ``value``) in the order of
+    ``order_cols`` (all ascending, nulls first), without a single-partition window.
+
+    Rows are range-partitioned on all order columns, so a value that a third of the
+    table shares is cut by the next column (any type), and the number of ranges is the
+    session's number of shuffle partitions.  The ranges are written to the checkpoint
+    folder, since both the sizes and the ranks must see the same ones; their counts and
+    sums become offsets (one row per range, prefix-summed), and each range adds its own
+    row numbers and running sums.
     """
-    first = order_cols[0]
-    if cuts is None:
-        cuts = range_sketch(df, [first], buckets)[1][first]
-    x = F.col(first)
-    b = df.withColumn("_b", _range_bucket(F.array(*[F.lit(c) for c in cuts]), x))
-    spans = {c: m for c, m in Counter(cuts).items() if c is not None and m > 1}   # hot value -> ranges
-    second = order_cols[1] if len(order_cols) > 1 else None
-    b2 = F.lit(0)
-    if spans and second is not None and isinstance(
-            df.schema[second].dataType, (T.NumericType, T.DateType, T.TimestampType)):
-        # rows of each hot value, ordered by the second column, get ranges 1..;
-        # the other values sharing that range keep 0 (they sort before it)
-        k2 = max(spans.values()) + 1
-        sub = (df.filter(x.isin(sorted(spans))).groupBy(first)
-                 .agg(F.percentile_approx(second, _grid(k2), _accuracy(k2)).alias("c")).collect())  # < k rows
-        for r in sub:
-            inner_cuts = _pick(r["c"], k2, spans[r[first]] + 1)
-            inner = _range_bucket(F.array(*[F.lit(c) for c in inner_cuts]), F.col(second)) + 1
-            b2 = F.when(x == F.lit(r[first]), inner).otherwise(b2)
-    b = b.withColumn("_b2", b2)
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    b = materialize(df.repartitionByRange(n, *order_cols).withColumn("_b", F.spark_partition_id()))
     val = F.col(value) if value else F.lit(0)
-    sizes = b.groupBy("_b", "_b2").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
-    # one row per range (at most a few thousand): an unpartitioned window is fine here
-    before = Window.orderBy("_b", "_b2").rowsBetween(Window.unboundedPreceding, -1)
-    offs = sizes.select("_b", "_b2", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
+    sizes = b.groupBy("_b").agg(F.count(F.lit(1)).alias("_n"), F.sum(val).alias("_s"))
+    # one row per shuffle partition: an unpartitioned window is fine here
+    before = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    offs = sizes.select("_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_off_n"),
                         F.coalesce(F.sum("_s").over(before), F.lit(0)).alias("_off_s"))
-    w = Window.partitionBy("_b", "_b2").orderBy(*order_cols)
-    r = b.join(F.broadcast(offs), ["_b", "_b2"]).withColumn(rank_out, F.col("_off_n") + F.row_number().over(w))
+    w = Window.partitionBy("_b").orderBy(*order_cols)
+    r = b.join(F.broadcast(offs), "_b").withColumn(rank_out, F.col("_off_n") + F.row_number().over(w))
     if value:
         r = r.withColumn(cum_out, F.col("_off_s") + F.sum(val).over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    return r.drop("_b", "_b2", "_off_n", "_off_s")
+    return r.drop("_b", "_off_n", "_off_s")
 
 
 def ntile_from_rank(rank: Column, n: Column, k: int) -> Column:

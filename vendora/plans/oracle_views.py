@@ -94,12 +94,10 @@ VIEWS: dict[str, tuple[list[str], str]] = {
                CAST(round(sum(line_cogs), 2) AS DOUBLE) AS cogs
         FROM fx_sales_lines GROUP BY series_id, date"""),
     "fx_shipments": (["fx_orders_zip"], f"""
-        SELECT * FROM (
-          SELECT o.order_id, l.l_linenumber AS line_number, o.zip, o.order_date,
-                 {_d('l.l_shipdate')} AS ship_date,
-                 date_diff('day', o.order_date, {_d('l.l_shipdate')}) AS lead_days
-          FROM lineitem l JOIN fx_orders_zip o ON l.l_orderkey = o.order_id) t
-        WHERE lead_days >= 0"""),
+        SELECT o.order_id, l.l_linenumber AS line_number, o.zip, o.order_date,
+               {_d('l.l_shipdate')} AS ship_date,
+               date_diff('day', o.order_date, {_d('l.l_shipdate')}) AS lead_days
+        FROM lineitem l JOIN fx_orders_zip o ON l.l_orderkey = o.order_id"""),
     "fx_inv_daily": ([], f"""
         SELECT p.p_brand AS brand, {_d('o.o_orderdate')} AS day,
                date_trunc('month', {_d('o.o_orderdate')})::DATE AS month,

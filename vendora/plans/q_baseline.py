@@ -156,11 +156,9 @@ def q_baseline_mape(spark, sf):
                   .drop("last_full_year"))
     p = bl.predict(last2, stats, bl.seasonal_profile(daily, ["series_id"], VALUES), ["series_id"], VALUES,
                    round_to=None)
-    ape = {v: F.abs(F.col(v) - F.col(f"pred_{v}")) / F.nullif(F.col(v), F.lit(0.0)) for v in VALUES}
-    return p.agg((F.avg(ape["revenue"]) * 100).alias("mape_revenue"),
-                 (F.avg(ape["cogs"]) * 100).alias("mape_cogs"),
-                 F.count(F.when(F.col("revenue") == 0, 1)).alias("n_zero_actuals"),
-                 F.count(F.lit(1)).alias("n_days"))
+    by = {v: bl.mape(p, v, f"pred_{v}") for v in VALUES}           # one row each
+    cogs = by["cogs"].select("mape_pct").scalar()
+    return by["revenue"].select(F.col("mape_pct").alias("mape_revenue"), cogs.alias("mape_cogs"), "n_zero_actuals", "n_days")
 
 
 @register("walk_forward_folds", extra_ctes=[SPINE_CTE, DENSE_CTE, FOLDS_CTE, FOLD_TRAIN_CTE, FOLD_VAL_CTE], sql="""

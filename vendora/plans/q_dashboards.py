@@ -163,9 +163,11 @@ def q_traffic(spark, sf):
 
 
 @register("bi_lead_time", rounding={"avg_days": 9, "p50_days": 9, "p90_days": 9}, sql="""
-SELECT g.region, count(*) AS n, avg(s.lead_days) AS avg_days,
-       CAST(quantile_cont(s.lead_days, 0.5) AS DOUBLE) AS p50_days,
-       CAST(quantile_cont(s.lead_days, 0.9) AS DOUBLE) AS p90_days
+SELECT g.region, 'order_to_ship' AS leg, count(*) FILTER (WHERE s.lead_days >= 0) AS n,
+       avg(s.lead_days) FILTER (WHERE s.lead_days >= 0) AS avg_days,
+       CAST(quantile_cont(s.lead_days, 0.5) FILTER (WHERE s.lead_days >= 0) AS DOUBLE) AS p50_days,
+       CAST(quantile_cont(s.lead_days, 0.9) FILTER (WHERE s.lead_days >= 0) AS DOUBLE) AS p90_days,
+       count(*) FILTER (WHERE s.lead_days < 0) AS n_excluded
 FROM fx_shipments s JOIN fx_geography g USING (zip) GROUP BY 1""")
 def q_lead(spark, sf):
     s = S(spark, sf)
@@ -177,7 +179,7 @@ SELECT 'overall' AS scope, avg(stockout_flag) AS rate FROM fx_inventory
 UNION ALL
 SELECT 'latest', avg(stockout_flag) FROM fx_inventory WHERE month = (SELECT max(month) FROM fx_inventory)""")
 def q_stockout(spark, sf):
-    return db.stockout_rate(b.inventory(S(spark, sf)))
+    return db.stockout_rate(b.inventory(cm.inventory_daily(spark, sf)))
 
 
 @register("bi_sellthrough_vs_stockout", rounding={"avg_stockout_days": 9, "corr": 9}, sql="""
@@ -186,13 +188,13 @@ SELECT CAST(least(floor(sell_through / 0.2), 4) AS INTEGER) AS bucket, count(*)
        (SELECT corr(sell_through, stockout_days) FROM fx_inventory) AS corr
 FROM fx_inventory GROUP BY 1""")
 def q_sellthrough(spark, sf):
-    return db.sellthrough_vs_stockout(b.inventory(S(spark, sf)))
+    return db.sellthrough_vs_stockout(b.inventory(cm.inventory_daily(spark, sf)))
 
 
 @register("bi_fill_rate", rounding={"fill_rate": 9}, sql="""
 SELECT month, sum(filled) / nullif(sum(sold), 0) AS fill_rate FROM fx_inventory GROUP BY 1""")
 def q_fill(spark, sf):
-    return db.fill_rate(b.inventory(S(spark, sf)))
+    return db.fill_rate(b.inventory(cm.inventory_daily(spark, sf)))
 
 
 _HOT = ", ".join(f"max(CASE WHEN size = '{z}' THEN rate END) AS {z}" for z in db.SIZES)
@@ -237,7 +239,7 @@ SELECT g.region, count(DISTINCT o.order_id) AS n_orders
 FROM fx_orders_zip o JOIN fx_geography g USING (zip) GROUP BY 1""")
 def q_region_orders(spark, sf):
     s = S(spark, sf)
-    return db.region_orders(b.orders_with_zip(s), b.geography(s))
+    return db.region_orders(b.orders(s), b.customers(s), b.geography(s))
 
 
 @register("bi_abc_class", rounding={"revenue": 2, "cum_share": 9}, sql=f"""
@@ -267,5 +269,5 @@ FROM (SELECT d.brand, d.month, d.day, r.received,
 WHERE running / received >= {db.REORDER_THRESHOLD}
 GROUP BY 1, 2""")
 def q_reorder(spark, sf):
-    daily = b.inventory_daily(S(spark, sf))
+    daily = cm.inventory_daily(spark, sf)
     return db.reorder_trigger(daily, b.brand_received(daily))

@@ -139,12 +139,14 @@ def q_residual_stats(spark, sf):
 
 
 @register("residual_histogram", rounding={"bin_lo": 4, "bin_hi": 4}, extra_ctes=FPR, sql=f"""
-SELECT bin, lo + bin * (hi - lo) / {dg.HIST_BINS} AS bin_lo, lo + (bin + 1) * (hi - lo) / {dg.HIST_BINS} AS bin_hi,
-       count(*) AS n
-FROM (SELECT CAST(coalesce(greatest(0, least(floor((residual - lo) / nullif(hi - lo, 0) * {dg.HIST_BINS}),
+SELECT b.bin, b.lo + b.bin * (b.hi - b.lo) / {dg.HIST_BINS} AS bin_lo, b.lo + (b.bin + 1) * (b.hi - b.lo) / {dg.HIST_BINS} AS bin_hi,
+       count(t.bin) AS n
+FROM (SELECT CAST(unnest(generate_series(0, {dg.HIST_BINS - 1})) AS INTEGER) AS bin, lo, hi
+      FROM (SELECT min(residual) AS lo, max(residual) AS hi FROM res) x) b
+LEFT JOIN (SELECT CAST(coalesce(greatest(0, least(floor((residual - lo) / nullif(hi - lo, 0) * {dg.HIST_BINS}),
                                  {dg.HIST_BINS - 1})), 0) AS INTEGER) AS bin, lo, hi
-      FROM res, (SELECT min(residual) AS lo, max(residual) AS hi FROM res) b) t
-GROUP BY bin, lo, hi""")
+      FROM res, (SELECT min(residual) AS lo, max(residual) AS hi FROM res) b) t ON t.bin = b.bin
+GROUP BY b.bin, b.lo, b.hi""")
 def q_residual_hist(spark, sf):
     return dg.residual_histogram(residuals(spark, sf))
 
@@ -214,9 +216,12 @@ def q_weight_sweep(spark, sf):
     return dg.weight_sweep(preds_naive(spark, sf), ["fold"], "actual_revenue", "pred_revenue", "naive_revenue")
 
 
+# The factor of the one target while the other's is swept.
+CAL_HELD_COGS, CAL_HELD_REVENUE = 1.32, 1.26
+
+
 def _cal_pairs():
-    rows = [(cr, 1.32) for cr in dg.CAL_REVENUE_RANGE] + [(1.26, cc) for cc in dg.CAL_COGS_RANGE]
-    return rows
+    return [(cr, CAL_HELD_COGS) for cr in dg.CAL_REVENUE_RANGE] + [(CAL_HELD_REVENUE, cc) for cc in dg.CAL_COGS_RANGE]
 
 
 @register("calibration_sweep", rounding={"cal_revenue": 4, "cal_cogs": 4, "revenue": 2, "cogs": 2},
@@ -264,12 +269,9 @@ def q_tail(spark, sf):
     f"SELECT '{f}' AS fold, count(*) AS n_days, sum(abs(actual_revenue - pred_revenue)) AS sum_abs_error "
     f"FROM fold_predictions WHERE fold = '{f}'" for f, *_ in bt.FOLDS))
 def q_union_folds(spark, sf):
-    p = preds(spark, sf)
-    per_fold = [p.filter(F.col("fold") == f).agg(F.count(F.lit(1)).alias("n_days"),
-                                                 F.sum(F.abs(F.col("actual_revenue") - F.col("pred_revenue")))
-                                                  .alias("sum_abs_error"))
-                 .select(F.lit(f).alias("fold"), "n_days", "sum_abs_error") for f, *_ in bt.FOLDS]
-    return rel.union_all(per_fold)
+    """The folds are one table already: one grouping gives all of them."""
+    return preds(spark, sf).groupBy("fold").agg(
+        F.count(F.lit(1)).alias("n_days"), F.sum(F.abs(F.col("actual_revenue") - F.col("pred_revenue"))).alias("sum_abs_error"))
 
 
 @register("monthly_forecast_totals", rounding={"revenue": 2, "cogs": 2}, extra_ctes=qb.BASE_CTES, sql=f"""

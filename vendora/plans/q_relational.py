@@ -37,14 +37,15 @@ def q_equals(spark, sf):
 SELECT date, revenue, cogs FROM fx_sales WHERE year(date) IN {IN_SET_YEARS}""")
 def q_in_set(spark, sf):
     s = cm.sales_daily(spark, sf)
-    return s.filter(F.year("date").isin(list(IN_SET_YEARS))).select("date", "revenue", "cogs")
+    s = s.withColumn("year", F.year("date"))
+    return rel.filter_in_set(s, "year", list(IN_SET_YEARS)).select("date", "revenue", "cogs")
 
 
 @register("filter_date_range", sql=f"""
 SELECT order_id, order_date, order_status FROM fx_orders
 WHERE order_date >= DATE '{DATE_RANGE[0]}' AND order_date <= DATE '{DATE_RANGE[1]}'""")
 def q_date_range(spark, sf):
-    o = b.orders(S(spark, sf))
+    o = b.orders(S(spark, sf), dates=DATE_RANGE)
     return rel.filter_date_range(o, "order_date", *DATE_RANGE).select("order_id", "order_date", "order_status")
 
 
@@ -130,13 +131,12 @@ def q_multiway(spark, sf):
 SELECT coalesce(r.size, l.size) AS size, r.n_returns, l.n_lines, CAST(r.n_returns AS DOUBLE) / l.n_lines AS ratio
 FROM (SELECT p.size, count(*) AS n_returns FROM fx_returns x JOIN fx_product_dims p USING (product_id) GROUP BY 1) r
 FULL OUTER JOIN (SELECT p.size, count(*) AS n_lines FROM fx_order_items x JOIN fx_product_dims p USING (product_id)
-                 WHERE p.size IN ('S', 'M') GROUP BY 1) l ON r.size = l.size""")
+                 GROUP BY 1) l ON r.size = l.size""")
 def q_align(spark, sf):
-    """Returns by size over lines of sizes S and M only: L and XL have no
-    denominator, so the outer alignment leaves their ratio null."""
+    """Returns by size over lines by size."""
     s = S(spark, sf)
     dims = b.product_dims(s).select("product_id", "size")
     num = b.returns(s).join(dims, "product_id").groupBy("size").agg(F.count(F.lit(1)).alias("n_returns"))
-    den = (b.order_items(s).join(dims.filter(F.col("size").isin("S", "M")), "product_id")
+    den = (b.order_items(s).join(dims, "product_id")
                            .groupBy("size").agg(F.count(F.lit(1)).alias("n_lines")))
     return rel.align_ratio(num, den, "size", "n_returns", "n_lines")

@@ -120,7 +120,7 @@ FROM ({qb._pred_sql('horizon', 'series_id', False)}) p"""
 def q_export(spark, sf):
     f = qb.baseline_forecast(spark, sf, round_to=None)
     path = scratch_path(spark, "submission")
-    io.export_forecast(f, path, revenue="pred_revenue", cogs="pred_cogs")
+    io.export_forecast(f, path, revenue="pred_revenue", cogs="pred_cogs", horizon=qb.HORIZON_DAYS)
     back = spark.read.option("header", True).csv(path)
     return back.select("Date", F.col("Revenue").cast("double"), F.col("COGS").cast("double"))
 
