@@ -28,6 +28,7 @@ document count came to zero are left out of the totals; other columns are ignore
 from __future__ import annotations
 
 import base64
+import hashlib
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -134,7 +135,7 @@ class Store:
         live = self.live()
         if len(live) < 2:
             return
-        name = f"fold-{abs(hash(tuple(live))):x}"
+        name = "fold-" + hashlib.md5("\n".join(live).encode()).hexdigest()      # the same after a restart
         self._sums(live).write.mode("overwrite").parquet(f"{self.path}/totals/batch={name}")
         self._entries(self.spark.createDataFrame([(name, "committed"), *[(b, "folded") for b in live]], LEDGER))
 
