@@ -63,10 +63,21 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return named
 
 
+_SCRATCH: set = set()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder under the shared checkpoint folder for written tables."""
-    base = ensure_checkpoint_dir(spark).rstrip("/")
-    return f"{base}/vendora-scratch/{name}-{uuid.uuid4().hex[:12]}"
+    """A fresh folder under the shared checkpoint folder for written tables.  All of an
+    application's are removed when it ends."""
+    sc = spark.sparkContext
+    root = f"{ensure_checkpoint_dir(spark).rstrip('/')}/vendora-scratch/{sc.applicationId}"
+    if sc.applicationId not in _SCRATCH:
+        path = sc._jvm.org.apache.hadoop.fs.Path(root)
+        fs = path.getFileSystem(sc._jsc.hadoopConfiguration())
+        fs.mkdirs(path)
+        fs.deleteOnExit(path)
+        _SCRATCH.add(sc.applicationId)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 _SHIPPED: set = set()
