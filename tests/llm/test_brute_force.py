@@ -132,6 +132,25 @@ def test_jaccard_families(spark):
     assert got == want and len({c for _, c in want.values()}) < n - 20
 
 
+@pytest.mark.parametrize("seed", [1, 2])
+def test_jaccard_dense(spark, seed):
+    """Short texts that share most of their words, so that nearly every pair is close to the limit."""
+    rng = random.Random(seed)
+    base = [f"{'x' * rng.randint(1, 6)}{i}" for i in range(60)]
+    docs = {}
+    for n in range(150):
+        w = list(base[:rng.randint(8, 60)])
+        for _ in range(rng.randint(0, 2)):
+            w[rng.randrange(len(w))] = rng.choice([f"own{n}", "alt1", "alt2", rng.choice(base)])
+        if rng.random() < 0.2:
+            w = w[rng.randint(0, 3):]
+        docs[n] = " ".join(w)
+    ship_package(spark)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in jaccard_trie.join(df).collect()}
+    assert got == components(docs)
+
+
 def test_toxicity_held_out(spark):
     sf = SF_SMALL.replace("0.001", "0.1")
     ship_package(spark)

@@ -11,7 +11,9 @@ when 100 * intersection >= 90 * union.  Sets are written in one global order and
    decide where nodes meet;
 3. where nodes meet, each is first held against one of them, the hub (the one
    with the fewest rare shingles, so the original of a family of near copies).
-   Nodes left in different components are then held against each other;
+   Nodes left in different components are then held against each other.  Shingles
+   that met no other node bound what a node can have in common with any, which spares
+   the copies that are too far from all others;
 4. a comparison task stores the probed sets of a hub in a prefix tree (sets in
    order, with the length each shares with the one before) and walks it with the
    hub's set: the overlap of a shared beginning is counted once, and a branch
@@ -167,8 +169,9 @@ def _need(per_100: int, n1, n2):
     return F.ceil(F.lit(per_100) * (n1 + n2) / F.lit(100 + per_100))
 
 
-def like_sizes(per_100: int, n1, n2):
-    return 100 * F.least(n1, n2) >= per_100 * F.greatest(n1, n2)
+def roomy(per_100: int, n1, room1, n2, room2):
+    """Can sets of these sizes link, if so many of their shingles may be common?"""
+    return (100 * F.least(n1, n2) >= per_100 * F.greatest(n1, n2)) & (F.least(room1, room2) >= _need(per_100, n1, n2))
 
 
 def promising(rows: DataFrame, per_100: int) -> DataFrame:
@@ -304,9 +307,18 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
 
     met = written(src.mapInArrow(prefixes(k, per_100, seed, heavy), PREFIX)
                   .repartition("part").sortWithinPartitions("token").mapInArrow(runs_of_many("token", "node", ["token", "node", "rare2", "n", "pos"], "rare2"), MET), "jaccard-met")
-    hub = met.groupBy("token").agg(F.min(F.struct(F.shiftright("rare2", 1).alias("rare"), "node", "n", "pos")).alias("h"))
     once = met.dropDuplicates(["token", "node"])        # a node may come from several tasks
-    first = promising(once.join(hub, "token").filter((F.col("node") != F.col("h.node")) & like_sizes(per_100, F.col("n"), F.col("h.n")))
+    # A rare shingle of a beginning that met no other node may still stand in another set
+    # behind its beginning, but then that set has too many shingles of its own before it,
+    # unless SHARED met ones come first: up to there, unmet shingles are in no linking set.
+    rare, size = F.shiftright("rare2", 1), F.col("n")
+    begun = F.least(rare, size, size - F.ceil(F.lit(per_100) * size / 100) + SHARED)
+    places = F.sort_array(F.collect_list(F.when(F.col("rare2") % 2 == 0, F.col("pos"))))      # at most a beginning's
+    met_rare = once.groupBy("node").agg(places.alias("places"))
+    alone = F.coalesce(F.get("places", F.lit(SHARED - 1)) - (SHARED - 1), begun - F.size("places"))
+    once = written(once.join(met_rare, "node").select("token", "node", rare.alias("rare"), "n", "pos", (size - alone).alias("room")), "jaccard-once")
+    hub = once.groupBy("token").agg(F.min(F.struct("rare", "node", "n", "pos", "room")).alias("h"))
+    first = promising(once.join(hub, "token").filter((F.col("node") != F.col("h.node")) & roomy(per_100, size, F.col("room"), F.col("h.n"), F.col("h.room")))
                       .select(F.col("node").alias("u"), F.col("h.node").alias("v"), F.col("n").alias("n_u"), F.col("h.n").alias("n_v"),
                               F.col("pos").alias("pos_u"), F.col("h.pos").alias("pos_v")), per_100)
     first = written(first, "jaccard-pairs")
@@ -316,10 +328,10 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, p
     label = components(links)
     there = once.join(label, "node", "left").withColumn("component", F.coalesce("component", "node"))
     apart = there.groupBy("token").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).filter("c1 <> c2").select("token")
-    left = written(there.join(apart, "token").select("token", "node", "n", "pos", "component"), "jaccard-left")
+    left = written(there.join(apart, "token").select("token", "node", "n", "pos", "room", "component"), "jaccard-left")
     x, y = left.alias("x"), left.alias("y")
     second = promising(x.join(y, (F.col("x.token") == F.col("y.token")) & (F.col("x.component") < F.col("y.component"))
-                              & like_sizes(per_100, F.col("x.n"), F.col("y.n")))
+                              & roomy(per_100, F.col("x.n"), F.col("x.room"), F.col("y.n"), F.col("y.room")))
                        .select(F.col("x.node").alias("u"), F.col("y.node").alias("v"), F.col("x.n").alias("n_u"), F.col("y.n").alias("n_v"),
                                F.col("x.pos").alias("pos_u"), F.col("y.pos").alias("pos_v")), per_100)
     tested = first.select("u", "v").union(first.select(F.col("v").alias("u"), F.col("u").alias("v")))
