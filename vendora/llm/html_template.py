@@ -219,14 +219,16 @@ def host_of(url):
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, constant): path of the main slot and hashes of the template's text
     blocks, of the hosts with enough pages.  ``pages``: host, page, html."""
-    counted = pages.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES)
+    # written, so that the planner knows its size before it picks the join
+    counted = written(pages.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES), "html-hosts")
     token = (pages.mapInArrow(tokens, "host string, token long, path string, noise boolean, n_pages long, occurs long, v1 long, v2 long, chars long")
              .groupBy("host", "token", "path", "noise")
              .agg(*[F.sum(c).alias(c) for c in ("n_pages", "occurs", "v1", "v2", "chars")]))
     token = token.join(counted, "host").filter(F.col("n_pages") >= SUPPORT * F.col("n"))
     # equal vectors: an equivalence class
     vector = ["host", "v1", "v2", "n_pages", "occurs"]
-    valid = token.groupBy(*vector, "n").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "path", "noise", "chars")).alias("members"))
+    # dealt by vector, else a host's tokens would stay together in the task that joined them
+    valid = token.repartition(*vector).groupBy(*vector, "n").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "path", "noise", "chars")).alias("members"))
     valid = valid.filter("size >= 2").select(*vector, "n", F.inline("members"))
     slot = valid.filter("path IS NOT NULL AND NOT noise AND occurs = n_pages")
     whole = slot.groupBy("host").agg(F.max("chars").alias("whole"))
