@@ -59,3 +59,85 @@ def test_specialist_compose_picks_own_quarter(spark):
     df = spark.createDataFrame([(1, 1.0, 2.0, 3.0, 4.0), (3, 1.0, 2.0, 3.0, 4.0)], "q int, a double, b double, c double, d double")
     out = md.specialist_compose(df, F.col("q"), {1: "a", 2: "b", 3: "c", 4: "d"}, "s").collect()
     assert [r.s for r in out] == [1.0, 3.0]
+
+
+def seasonal(spark, n=4 * 365, zero_every=0):
+    """Seeded daily series with a yearly and a weekly season and noise; features by date."""
+    from vendora.operators import calendar_ops as co
+    rng = np.random.default_rng(11)
+    start, rows = dt.date(2018, 1, 1), []
+    for i in range(n):
+        d = start + dt.timedelta(days=i)
+        v = 1000 * (1 + 0.5 * np.sin(2 * np.pi * d.timetuple().tm_yday / 365.25)) * (1.6 if d.weekday() >= 5 else 1.0) * np.exp(rng.normal(0, 0.05))
+        if zero_every and i % zero_every == 0:
+            v = 0.0
+        rows.append(("s", d, "train" if i < n - 200 else "score", float(v), float(v) * 0.6))
+    df = spark.createDataFrame(rows, "series_id string, date date, role string, revenue double, cogs double")
+    known = F.col("role") == "train"
+    hidden = df.select("series_id", "date", "role", *[F.when(known, F.col(t)).alias(t) for t in ("revenue", "cogs")])
+    return df, hidden, co.feature_matrix(df.select("date"))
+
+
+@pytest.mark.parametrize("zero_every", [0, 97])
+def test_every_model_beats_the_mean_on_seasonal_data(spark, zero_every):
+    df, hidden, feats = seasonal(spark, zero_every=zero_every)
+    cfg = md.EnsembleConfig(trend_start=None)
+    parts = md.fit_predict(hidden, feats, ["series_id"], cfg).cache()
+    truth = {r.date: r.revenue for r in df.filter("role = 'score'").collect()}
+    mean = df.filter("role = 'train'").agg(F.avg("revenue")).first()[0]
+    bar = np.mean([abs(v - mean) for v in truth.values()])
+    got = {}
+    for r in parts.filter("target = 'revenue'").collect():
+        got.setdefault(r.component, []).append(abs(truth[r.date] - r.pred))
+    assert set(got) == set(md.COMPONENTS) and all(len(v) == 200 for v in got.values())
+    for c, e in got.items():
+        assert np.mean(e) < 0.75 * bar, c
+    whole = [abs(truth[r.date] - r.revenue) for r in md.compose(parts, ["series_id"], cfg).collect()]
+    assert len(whole) == 200 and np.mean(whole) < 0.5 * bar
+
+
+def test_predictions_come_after_the_last_fitted_day(spark):
+    _, hidden, feats = seasonal(spark, 800)
+    out = md.fit_predict(hidden, feats, ["series_id"], md.EnsembleConfig(trend_start=None), components=("ridge",))
+    r = out.agg(F.max("train_end").alias("a"), F.min("date").alias("b")).first()
+    assert r.a < r.b
+
+
+def test_trend_start_without_days_raises(spark):
+    _, hidden, feats = seasonal(spark, 400)
+    with pytest.raises(Exception, match="trend_start"):
+        md.fit_predict(hidden, feats, ["series_id"], md.EnsembleConfig(trend_start="2030-01-01"), components=("trend",)).collect()
+
+
+def test_importance_of_a_constant_column_is_zero(spark):
+    _, hidden, feats = seasonal(spark, 800)
+    from vendora.functions import calendar as cal
+    names = [*cal.feature_names(), "flat"]
+    got = md.importance(hidden.filter("role = 'train'"), feats.withColumn("flat", F.lit(1.0)), ["series_id"], "revenue", len(names), names=names).collect()
+    assert len(got) == len(names) and all(r.perm_delta_mae is not None for r in got)
+    flat = next(r for r in got if r.feature == "flat")
+    assert flat.gain_importance == 0 and flat.perm_delta_mae == 0
+    assert max(r.perm_delta_mae for r in got) > 0
+
+
+def test_holdout_per_series(spark):
+    df = spark.createDataFrame([("a", dt.date(2020, 1, d)) for d in range(1, 11)] + [("b", dt.date(2021, 1, d)) for d in range(1, 6)], "s string, date date")
+    got = md.holdout_flag(df, "date", 3, keys=["s"]).groupBy("s").agg(F.sum("is_holdout").alias("n")).collect()
+    assert {r.s: r.n for r in got} == {"a": 3, "b": 3}
+
+
+def test_two_outside_forecasts_take_their_weights_from_the_trees(spark):
+    cfg = md.EnsembleConfig()
+    df = spark.createDataFrame([(10.0, None, None), (10.0, 20.0, None), (10.0, 20.0, 40.0)], "p double, e1 double, e2 double")
+    p = F.col("p")
+    got = [r.b for r in df.select(md.external_blend(p, p, p, [F.col("e1"), F.col("e2")], cfg, [0.1, 0.05]).alias("b")).collect()]
+    assert got == pytest.approx([10.0, 11.0, 0.85 * 10 + 2 + 2])
+
+
+def test_panel_groups_are_independent(spark):
+    df, hidden, feats = seasonal(spark, 600)
+    two = hidden.unionByName(hidden.withColumn("series_id", F.lit("t")).withColumns({t: F.col(t) * 3 for t in ("revenue", "cogs")}))
+    cfg = md.EnsembleConfig(trend_start=None)
+    out = md.fit_predict(two, feats, ["series_id"], cfg, components=("ridge",)).filter("target = 'revenue'").collect()
+    by = {s: {r.date: r.pred for r in out if r.series_id == s} for s in ("s", "t")}
+    assert len(by["s"]) == 200 and all(by["t"][d] == pytest.approx(3 * v) for d, v in by["s"].items())

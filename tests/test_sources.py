@@ -35,3 +35,20 @@ def test_export_contract_flags_failures(spark):
     got = {r.check: r.failures for r in io.export_contract(sub, 3).collect()}
     assert got == {"row_count": 1, "revenue_not_null": 1, "cogs_not_null": 0,
                    "revenue_non_negative": 0, "cogs_non_negative": 1}
+
+
+def test_sales_keep_fractions_of_a_cent_and_large_values(spark):
+    d = tempfile.mkdtemp(prefix="vendora-test-")
+    p = os.path.join(d, "sales.csv")
+    with open(p, "w") as f:
+        f.write("date,revenue,cogs\n2020-01-01,100.567,1e17\n")
+    assert tuple(io.load_sales(spark, p).first())[1:] == (100.567, 1e17)
+
+
+def test_export_raises_and_writes_nothing_on_a_broken_contract(spark):
+    import pytest
+    d = tempfile.mkdtemp(prefix="vendora-test-")
+    df = spark.createDataFrame([("2023-01-01", -1.0, 2.0)], "date string, revenue double, cogs double").selectExpr("to_date(date) AS date", "revenue", "cogs")
+    with pytest.raises(AssertionError, match="revenue_non_negative"):
+        io.export_forecast(df, os.path.join(d, "out"), horizon=1)
+    assert not os.path.exists(os.path.join(d, "out"))

@@ -74,7 +74,7 @@ def _case(col, mapping: dict, default=None):
     return expr.otherwise(F.lit(default)) if default is not None else expr
 
 
-def orders(src: Sources, status: str | None = None) -> DataFrame:
+def orders(src: Sources, status: str | None = None, dates: tuple | None = None) -> DataFrame:
     """Shop orders.  ``status`` filters on the raw status code, so the
     predicate reaches the Parquet scan (a filter on the mapped label would be
     a CASE expression that cannot be pushed down)."""
@@ -82,6 +82,12 @@ def orders(src: Sources, status: str | None = None) -> DataFrame:
     if status is not None:
         codes = [k for k, v in STATUS_MAP.items() if v == status]
         o = o.filter(F.col("o_orderstatus").isin(codes))
+    if dates is not None:
+        # a bound on the raw column, a few days wider than the shifted one (months differ in
+        # length), so that it reaches the scan; the exact test on order_date comes after
+        lo, hi = (F.add_months(F.lit(d).cast("date"), -SHIFT_MONTHS) for d in dates)
+        o = o.filter((F.col("o_orderdate") >= F.date_sub(lo, 4).cast(o.schema["o_orderdate"].dataType))
+                     & (F.col("o_orderdate") <= F.date_add(hi, 4).cast(o.schema["o_orderdate"].dataType)))
     return o.select(
         F.col("o_orderkey").alias("order_id"),
         F.col("o_custkey").alias("customer_id"),
@@ -198,55 +204,51 @@ def web_traffic(src: Sources) -> DataFrame:
     )
 
 
-def _sales_lines(src: Sources, with_region: bool) -> DataFrame:
-    li = src.table("lineitem").select(
-        "l_orderkey", "l_partkey", "l_quantity",
-        line_revenue().alias("line_revenue"))
+def sales_panel(src: Sources) -> DataFrame:
+    """Daily (region | category) series: (series_id, date, revenue, cogs) in exact decimals.
+
+    Lines are summed per (day, region, product) after the orders join, so the product
+    join sees one row for each of them, however many lines a hot product has."""
+    li = src.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity", line_revenue().alias("line_revenue"))
     o = src.table("orders").select("o_orderkey", "o_custkey", shifted_date("o_orderdate").alias("date"))
+    c = src.table("customer").select("c_custkey", "c_nationkey")
+    o = o.join(c, o.o_custkey == c.c_custkey).join(geography(src), F.col("c_nationkey") == F.col("zip")).select("o_orderkey", "date", "region")
+    per = (li.join(o, li.l_orderkey == o.o_orderkey).groupBy("date", "region", "l_partkey")
+             .agg(F.sum("line_revenue").alias("revenue"), F.sum(F.col("l_quantity").cast("decimal(18,2)")).alias("units")))
     p = src.table("part").select("p_partkey", "p_retailprice", "p_type")
-    x = (li.join(o, li.l_orderkey == o.o_orderkey)
-           .join(p, li.l_partkey == p.p_partkey)
-           .withColumn("line_cogs", F.col("l_quantity").cast("decimal(18,2)") * money("p_retailprice")))
-    if with_region:
-        c = src.table("customer").select("c_custkey", "c_nationkey")
-        x = x.join(c, x.o_custkey == c.c_custkey).join(geography(src), F.col("c_nationkey") == F.col("zip"))
-    return x
+    x = per.join(p, per.l_partkey == p.p_partkey)
+    return (x.groupBy(F.concat_ws("|", F.col("region"), F.col("p_type")).alias("series_id"), "date")
+             .agg(F.sum("revenue").cast("decimal(28,4)").alias("revenue"),
+                  F.sum(F.col("units").cast("decimal(18,2)") * money("p_retailprice")).cast("decimal(28,4)").alias("cogs")))
 
 
-def sales(src: Sources) -> DataFrame:
-    """Daily company totals: (date, revenue, cogs), one row per day with orders."""
-    x = _sales_lines(src, with_region=False)
-    return (x.groupBy("date")
-             .agg(F.round(F.sum("line_revenue"), 2).cast("double").alias("revenue"),
-                  F.round(F.sum("line_cogs"), 2).cast("double").alias("cogs")))
+def sales(panel: DataFrame) -> DataFrame:
+    """Daily company totals of the panel: (date, revenue, cogs), one row per day with orders."""
+    return rounded(panel.groupBy("date").agg(F.sum("revenue").alias("revenue"), F.sum("cogs").alias("cogs")))
 
 
-def sales_panel(src: Sources) -> DataFrame:
-    """Daily (region | category) series: (series_id, date, revenue, cogs)."""
-    x = _sales_lines(src, with_region=True)
-    return (x.groupBy(F.concat_ws("|", F.col("region"), F.col("p_type")).alias("series_id"), "date")
-             .agg(F.round(F.sum("line_revenue"), 2).cast("double").alias("revenue"),
-                  F.round(F.sum("line_cogs"), 2).cast("double").alias("cogs")))
+def rounded(df: DataFrame) -> DataFrame:
+    return df.withColumns({c: F.round(c, 2).cast("double") for c in ("revenue", "cogs")})
 
 
 def shipments(src: Sources) -> DataFrame:
-    """One shipping leg per line: order date -> ship date, negative leads dropped."""
+    """One shipping leg per line: order date -> ship date (the driver's dates give negative
+    leads too; ``lead_time`` leaves them out and counts them)."""
     li = src.table("lineitem").select("l_orderkey", "l_linenumber", shifted_date("l_shipdate").alias("ship_date"))
     o = orders_with_zip(src).select("order_id", "order_date", "zip")
     x = li.join(o, li.l_orderkey == o.order_id)
-    x = x.withColumn("lead_days", F.datediff("ship_date", "order_date")).filter(F.col("lead_days") >= 0)
-    return x.select("order_id", F.col("l_linenumber").alias("line_number"), "zip",
-                    "order_date", "ship_date", "lead_days")
+    return x.select("order_id", F.col("l_linenumber").alias("line_number"), "zip", "order_date", "ship_date")
 
 
 def inventory_daily(src: Sources) -> DataFrame:
-    """Units sold per (brand, day), with the month; pre-aggregated per brand-day."""
+    """Units sold per (brand, day), with the month; lines are summed per (day, product)
+    before the product join."""
     li = src.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = src.table("orders").select("o_orderkey", shifted_date("o_orderdate").alias("day"))
     p = src.table("part").select("p_partkey", F.col("p_brand").alias("brand"))
-    return (li.join(o, li.l_orderkey == o.o_orderkey).join(p, li.l_partkey == p.p_partkey)
-              .groupBy("brand", "day").agg(F.sum("l_quantity").alias("units"))
-              .withColumn("month", F.trunc("day", "month")))
+    per = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("day", "l_partkey").agg(F.sum("l_quantity").alias("units"))
+    return (per.join(p, per.l_partkey == p.p_partkey).groupBy("brand", "day").agg(F.sum("units").alias("units"))
+               .withColumn("month", F.trunc("day", "month")))
 
 
 def brand_received(daily: DataFrame) -> DataFrame:
@@ -255,8 +257,8 @@ def brand_received(daily: DataFrame) -> DataFrame:
     return monthly.groupBy("brand").agg(F.avg("sold").alias("received"))
 
 
-def inventory(src: Sources) -> DataFrame:
-    """Monthly stock snapshots per brand, derived from sold units.
+def inventory(daily: DataFrame) -> DataFrame:
+    """Monthly stock snapshots per brand, derived from the units sold per brand and day.
 
     received = the brand's mean monthly units; sold = units in the month;
     stockout_days = days from the day the running sum reached ``received`` to
@@ -265,7 +267,6 @@ def inventory(src: Sources) -> DataFrame:
     pre-aggregated to (brand, day) first, so a hot brand never piles raw lines
     into one task.
     """
-    daily = inventory_daily(src)
     monthly = daily.groupBy("brand", "month").agg(F.sum("units").alias("sold"))
     received = brand_received(daily)
     w = Window.partitionBy("brand", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)

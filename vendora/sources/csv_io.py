@@ -30,9 +30,8 @@ def read_raw(spark: SparkSession, path: str) -> DataFrame:
 
 
 def to_money(c: str):
-    """Text -> money; invalid or missing -> 0 (the reference's coerce + fillna)."""
-    v = F.col(c).try_cast("double")
-    return F.coalesce(v.try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)")).cast("double")
+    """Text -> number as it stands in the file; invalid or missing -> 0."""
+    return F.coalesce(F.col(c).try_cast("double"), F.lit(0.0))
 
 
 def to_date(c: str):
@@ -78,12 +77,16 @@ def write_csv(df: DataFrame, path: str, header_names: list[str] | None = None) -
 
 
 def export_forecast(forecast: DataFrame, path: str | None = None, date_col: str = "date",
-                    revenue: str = "revenue", cogs: str = "cogs") -> DataFrame:
+                    revenue: str = "revenue", cogs: str = "cogs", horizon: int | None = None) -> DataFrame:
     """Submission rows: Date as yyyy-MM-dd text, Revenue and COGS to the cent.
-    Written to ``path`` when given (one sorted file per partition range)."""
+    Written to ``path`` when given (one sorted file per partition range), which needs
+    ``horizon``: rows that break the contract raise and nothing is written."""
     sub = forecast.select(F.date_format(date_col, "yyyy-MM-dd").alias("Date"),
                           F.round(F.col(revenue), 2).alias("Revenue"), F.round(F.col(cogs), 2).alias("COGS"))
     if path:
+        if horizon is None:
+            raise ValueError("writing needs the horizon to check")
+        assert_contract(export_contract(sub, horizon))
         sub.orderBy("Date").write.mode("overwrite").option("header", True).csv(path)
     return sub
 
