@@ -76,7 +76,8 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, steps: int = 400, r
     """Weights over all buckets and a bias.  ``positive`` and ``unlabelled`` are
     lists of distinct bucket arrays, one for each text."""
     size = 1 << BITS
-    df = [np.bincount(np.concatenate(x) if x else np.zeros(0, int), minlength=size) for x in (positive, unlabelled)]
+    df = [sum((np.bincount(np.concatenate(x[i:i + 1000]), minlength=size) for i in range(0, len(x), 1000)), np.zeros(size, np.int64))
+          for x in (positive, unlabelled)]
     n_p, n_u = max(len(positive), 1), max(len(unlabelled), 1)
     p, u = (df[0] + 0.5) / (n_p + 1), (df[1] + 0.5) / (n_u + 1)
     gain = (p - u) / np.sqrt(u * (1 - u) * (1 / n_p + 1 / n_u))        # how far P's rate is from U's, in deviations
@@ -116,7 +117,7 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, steps: int = 400, r
     return out, float(b)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabelled: int = 16000):
+def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 10000):
     """(weights, bias) learned from the folds that are not held out."""
     ids = sample_ids(docs, labels, max_positive, max_unlabelled)
     known = labels.filter(~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
@@ -125,7 +126,7 @@ def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 6000, max_unlabe
     rows = text.select("text", "positive").mapInArrow(_sample_features, "positive boolean, features array<int>").toArrow()
     sets: dict = {True: {}, False: {}}
     for pos, feats in zip(rows.column("positive").to_pylist(), rows.column("features")):
-        a = np.asarray(feats.values, dtype=np.int64)
+        a = np.asarray(feats.values)
         sets[pos].setdefault(a.tobytes(), a)
     ordered = {k: [d[x] for x in sorted(d)] for k, d in sets.items()}       # the same fit whatever the row order
     prior = float(np.clip(known or 0.0, 1e-3, 0.5))
