@@ -4,14 +4,27 @@ from __future__ import annotations
 
 from vendora.session import ensure_checkpoint_dir, scratch_path, ship_package
 
+# Rows of an Arrow batch: texts are wide, and the default of 10,000 rows would put tens of
+# megabytes in each of several buffers of every task.
+ARROW_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000")
+
 QUERIES: dict = {}
 ORACLES: dict = {}
 
 
+def prepare(spark) -> None:
+    """Let the session's workers import this package, and keep its Arrow batches small
+    unless the session has a size of its own."""
+    ship_package(spark)
+    key, default, rows = ARROW_ROWS
+    if spark.conf.get(key, default) == default:
+        spark.conf.set(key, rows)
+
+
 def query(name: str, sql: str | None = None):
     def deco(fn):
         def build(spark, sf_dir):
-            ship_package(spark)
+            prepare(spark)
             return fn(spark, sf_dir)
         QUERIES[name] = build
         if sql is not None:
