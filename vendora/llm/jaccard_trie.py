@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from vendora.llm import textgrid as tg
-from vendora.llm.bits import may_hold, runs_of_many
+from vendora.llm.bits import bitmap, hits, runs_of_many
 from vendora.llm.graph import components
 from vendora.llm.registry import query, table, written
 
@@ -260,14 +260,15 @@ def linked(pairs: DataFrame, texts: DataFrame, k: int, per_100: int, heavy) -> D
     return both.groupBy("bin").applyInArrow(compare(k, per_100, heavy), "u long, v long")
 
 
-def keep_node(k: int, seed: int):
-    """Rows whose text has the digest of their node."""
+def picked(k: int, seed: int, bits):
+    """Rows (hash of the id, doc, text) that the bitmap may hold, as (node, doc, text)."""
 
     def run(batches):
         for batch in batches:
-            for part in tg.slices(batch):
-                a, _, _ = set_keys(row_sets(part.column(1), k), seed)
-                yield part.filter(pa.array(a == np.asarray(part.column(0))))
+            few = batch.filter(pa.array(hits(bits.value, np.asarray(batch.column(0)))))
+            for part in tg.slices(few):
+                a, _, _ = set_keys(row_sets(part.column(2), k), seed)
+                yield pa.RecordBatch.from_arrays([pa.array(a), part.column(1), part.column(2)], names=["node", "doc", "text"])
     return run
 
 
@@ -275,11 +276,13 @@ def node_texts(src: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, seed:
     """(node, text) of the nodes in ``pairs``.  Other documents leave before the shuffle
     (a few pass the bitmap, more once it fills up; the join drops them)."""
     ident = F.xxhash64(F.col("doc").cast("string"))
-    asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").withColumnRenamed("rep", "doc").withColumn("ident", ident), "jaccard-asked")
-    few = may_hold(src, ident, asked, "ident")
-    asked = asked.select("node", F.col("doc").alias("rep"))
-    return written(few.join(asked, F.col("doc").eqNullSafe(F.col("rep"))).select("node", "text")
-                   .mapInArrow(keep_node(k, seed), "node long, text string").dropDuplicates(["node"]), "jaccard-texts")
+    asked = written(pairs.select(F.col("u").alias("node")).union(pairs.select("v")).distinct().join(nodes, "node").withColumn("ident", F.xxhash64(F.col("rep").cast("string"))), "jaccard-asked")
+    bits = src.sparkSession.sparkContext.broadcast(bitmap(asked, "ident"))
+    kind = src.schema["doc"].dataType.simpleString()
+    few = src.select(ident.alias("ident"), "doc", "text").mapInArrow(picked(k, seed, bits), f"node long, doc {kind}, text string")
+    own = asked.select(F.col("node").alias("own"), "rep")
+    return written(few.join(own, (F.col("node") == F.col("own")) & F.col("doc").eqNullSafe(F.col("rep"))).select("node", "text")
+                   .dropDuplicates(["node"]), "jaccard-texts")
 
 
 def join(docs: DataFrame, key: str = "doc_id", text: str = "text", k: int = K, per_100: int = PER_100) -> DataFrame:
