@@ -31,7 +31,7 @@ from vendora.llm.registry import query, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-CACHE = 600_000            # distinct chunks kept in a worker before the table is started anew
+CACHE = 400_000            # distinct chunks (half as many piece pairs) kept in a worker before a table is started anew
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6     # piece kinds of the model file
 
 
@@ -100,7 +100,7 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Does the merge procedure leave piece a before piece b as they are?"""
-        if len(self.pair_cache) > 1_000_000:
+        if len(self.pair_cache) > CACHE // 2:
             self.pair_cache.clear()
         x, y = self.pieces[a], self.pieces[b]
         hit = self.pair_cache[a << 32 | b] = self.merged(x + y) == (x, y)
