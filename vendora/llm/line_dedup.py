@@ -101,7 +101,7 @@ def line_rows(min_words: int):
 
 
 def variants(min_words: int, chosen):
-    """For lines that may have a neighbour: their keys, and (key null) their words.
+    """Keys of the lines that may have a neighbour.
 
     role 0: the whole line; 1: the line with one word left out, to meet a whole line;
     2: the same with the place, to meet a line with another word there."""
@@ -109,7 +109,7 @@ def variants(min_words: int, chosen):
     def run(batches):
         bits = chosen.value
         seen: set = set()
-        names = ["key", "line", "role", "words"]
+        names = ["key", "line", "role"]
         for batch in batches:
             for part in tg.slices(batch):
                 L = Lines(part.column(part.schema.get_field_index("text")))
@@ -135,12 +135,30 @@ def variants(min_words: int, chosen):
                 keys[1] = keys[1] ^ tg.mix(whole.view(np.uint64))[line[at]]
                 lines = [whole, whole[line[at]], whole[line]]
                 k = np.concatenate(keys)
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(tg.signed(k)), pa.array(np.concatenate(lines)),
-                    pa.array(np.repeat([0, 1, 2], [len(x) for x in keys]).astype(np.int32)), pa.nulls(len(k), pa.string())], names=names)
-                text = [" ".join(bytes(L.words.data[s:e]).decode("utf-8", "replace") for s, e in
-                                 zip(L.words.start[x:x + m], L.words.end[x:x + m])) for x, m in zip(a, n)]
-                yield pa.RecordBatch.from_arrays([pa.nulls(len(new), pa.int64()), pa.array(whole), pa.nulls(len(new), pa.int32()), pa.array(text, pa.string())], names=names)
+                yield pa.RecordBatch.from_arrays([pa.array(tg.signed(k)), pa.array(np.concatenate(lines)),
+                                                  pa.array(np.repeat([0, 1, 2], [len(x) for x in keys]).astype(np.int32))], names=names)
+    return run
+
+
+def line_words(min_words: int, chosen):
+    """(line, words) of the lines that the bitmap may hold, once for a task."""
+
+    def run(batches):
+        seen: set = set()
+        for batch in batches:
+            for part in tg.slices(batch):
+                L = Lines(part.column(part.schema.get_field_index("text")))
+                use = L.n >= min_words
+                a, n = L.first[use], L.n[use]
+                whole = tg.signed(_key(L.run(a, a + n), n))
+                new, text = [], []
+                for i in np.flatnonzero(hits(chosen.value, whole)).tolist():
+                    if (x := int(whole[i])) not in seen:
+                        seen.add(x)
+                        new.append(x)
+                        text.append(" ".join(bytes(L.words.data[s:e]).decode("utf-8", "replace") for s, e in
+                                             zip(L.words.start[a[i]:a[i] + n[i]], L.words.end[a[i]:a[i] + n[i]])))
+                yield pa.RecordBatch.from_arrays([pa.array(new, pa.int64()), pa.array(text, pa.string())], names=["line", "words"])
     return run
 
 
@@ -183,8 +201,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     near = written(halves.repartition("half").sortWithinPartitions("half")
                    .mapInArrow(runs_of_many("half", "line", ["half", "line"]), "half long, line long").select("line"), "line-halves")
     chosen = spark.sparkContext.broadcast(bitmap(near, "line"))
-    found = written(src.select("text").mapInArrow(variants(min_words, chosen), "key long, line long, role int, words string"), "line-variants")
-    met = (found.filter("key IS NOT NULL").select("key", "line", "role").repartition("key").sortWithinPartitions("key")
+    met = (src.select("text").mapInArrow(variants(min_words, chosen), "key long, line long, role int").repartition("key").sortWithinPartitions("key")
            .mapInArrow(runs_of_many("key", "line", ["key", "line", "role"]), "key long, line long, role int").distinct())
     met = written(met.join(first.select("line", "at"), "line").select("key", "line", "role", F.struct("at", "line").alias("me")), "line-met")
     # of each key: the whole line, the earliest that left a word out, the earliest of one place
@@ -194,7 +211,9 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     witness = F.when(F.col("role") == 0, F.col("longer")).when(F.col("role") == 1, F.col("base")).otherwise(F.col("same"))
     claims = (met.join(by_key, "key").withColumn("by", witness).filter("by < me")
               .select("line", F.col("by.line").alias("by")).distinct())
-    words = found.filter("key IS NULL").select("line", "words").dropDuplicates(["line"])
+    claims = written(claims, "line-claims")
+    told = spark.sparkContext.broadcast(bitmap(claims.select("line").union(claims.select("by")), "line"))
+    words = written(src.select("text").mapInArrow(line_words(min_words, told), "line long, words string").dropDuplicates(["line"]), "line-words")
     gone = (claims.join(words, "line").withColumnRenamed("words", "mine")
             .join(words.select(F.col("line").alias("by"), F.col("words").alias("theirs")), "by")
             .select("line", "mine", "theirs").mapInArrow(verified, "line long").distinct())
