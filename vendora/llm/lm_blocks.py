@@ -13,7 +13,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK = 64 << 20           # text bytes of a block
+BLOCK = 32 << 20           # text bytes of a block
 
 
 def n_buckets(n_blocks: int) -> int:
