@@ -1,11 +1,12 @@
 """Cases of the second review: each failed before its finding was settled."""
 
 import random
+import re
 
 import pytest
 
 import corpus_pipeline
-from vendora.llm import jaccard_trie
+from vendora.llm import jaccard_trie, line_dedup
 from vendora.session import ship_package
 
 
@@ -51,3 +52,45 @@ def test_near_copies_of_the_pipeline(spark, seed):
     assert {r.doc_id: r.component_id for r in jaccard_trie.join(df, k=5, per_100=80).collect()} == want
     got = {r.doc_id for r in corpus_pipeline.drop_near_copies(spark, df, "").collect()}
     assert got == {d for d, c in want.items() if d == c}
+
+
+LETTERS = r"[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff\U00020000-\U0003ffff]"
+UNITS = re.compile(rf"{LETTERS}|(?:(?!{LETTERS})[a-zA-Z0-9\u0080-\U0010ffff])+")
+
+
+def deduped(docs):
+    """Lines that stay, each held against all earlier ones."""
+    def one_edit(a, b):
+        if len(a) == len(b):
+            return sum(x != y for x, y in zip(a, b)) <= 1
+        a, b = sorted((a, b), key=len)
+        return len(b) == len(a) + 1 and any(b[:p] + b[p + 1:] == a for p in range(len(b)))
+
+    def long(w):
+        return sum(1 if re.fullmatch(LETTERS, x) else 2 for x in w) >= 10
+    seen, out = [], {}
+    for d, t in sorted(docs.items()):
+        stay = []
+        for line in t.split("\n"):
+            w = UNITS.findall(line.lower())
+            if not w or not any(w == v or (long(w) and long(v) and one_edit(w, v)) for v in seen):
+                stay.append(line)
+            seen.append(w)
+        out[d] = "\n".join(stay)
+    return out
+
+
+def test_short_and_unspaced_lines(spark):
+    """Equal lines of any length go; near lines of scripts without spaces too."""
+    zh, th, ja = "我们今天在北京的公园里看见了很多红色的花", "วันนี้อากาศดีมากเราไปเดินเล่นที่สวน", "今日はとても天気がいいので散歩に行きました"
+    docs = {1: f"All rights reserved.\nmenu\n\n---\n{zh}\n短い行です", 2: f"one two\n{zh.replace('红', '白')}\nall RIGHTS reserved\n---\n{th}",
+            3: f"menu\n{zh}\none three\n{th[:-1]}\n短い列です", 4: f"{ja} in 2020\nOne two\n短い行です\n𠀀𠀁𠀂𠀃𠀄𠀅𠀆𠀇𠀈𠀉𠀊", 5: f"{ja}in 2020\n𠀀𠀁𠀂𠀃𠀅𠀆𠀇𠀈𠀉𠀊\n{zh[:9]}", 6: "menu"}
+    rng = random.Random(3)
+    for d in range(10, 40):
+        docs[d] = "\n".join("".join(rng.choice("天地人 a") for _ in range(rng.randint(0, 14))) for _ in range(12))
+    ship_package(spark)
+    df = spark.createDataFrame(list(docs.items()), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in line_dedup.dedup(df).collect()}
+    want = deduped(docs)
+    assert {d: r.text for d, r in got.items()} == want
+    assert want[3] == "one three\n短い列です" and got[6].all_removed and got[2].n_near == 1

@@ -1,10 +1,11 @@
 r"""Line dedup by a deletion-neighbourhood join.
 
 A line (split at ``\n``) is the sequence of its words (runs of letters and digits,
-A-Z lower-cased).  Lines of ``MIN_WORDS`` words or more are compared, shorter ones
-stay.  A line goes if an earlier line (smaller document id, then smaller place)
-has the same words, or words that one edit turns into its own: one word
-changed, put in or left out.
+A-Z lower-cased; in scripts without spaces each character is a word).  A line goes
+if an earlier line (smaller document id, then smaller place) has the same words,
+however few, or if both are long and one edit turns its words into the other's: one
+word changed, put in or left out.  A long line has ``MIN_WORDS`` words or more, two
+characters of a script without spaces counted as one.  Lines without a word stay.
 
 Neighbourhood: every sequence that leaves out one word is hashed as a key.  Two
 lines with one word changed share the key of that place and remainder; a line
@@ -14,7 +15,7 @@ a key are one edit apart, so no pairs are listed), and each line is held against
 its witness by its words before it goes.
 
 Two lossless cuts come first: equal lines count once, and since one edit leaves
-the first or the last half of the shorter line as it is, only lines that
+the first or the last half of the shorter line as it is, only long lines that
 share a half with another line emit their variants.
 
 Scale: shuffles carry hashes; equal lines are pre-aggregated; texts move once,
@@ -38,18 +39,19 @@ from vendora.llm import textgrid as tg
 from vendora.llm.bits import bitmap, hits, runs_of_many
 from vendora.llm.registry import query, table, written
 
-MIN_WORDS = 5
+MIN_WORDS = 5              # of lines compared up to one edit; equal lines go at any length
 STEP = 0xC2B2AE3D27D4EB4F  # odd: base of the hashes of word sequences
 INVERSE = pow(STEP, -1, 1 << 64)
 
 
 class Lines:
     """Lines of a slice with words: row, place in the row, first word, word count,
-    and hashes of any run of their words."""
+    which are long, and hashes of any run of their words."""
 
-    def __init__(self, col):
+    def __init__(self, col, min_words: int):
         data, offs = tg.text_bytes(col)
-        self.words = tg.Words(data, offs, gaps=tg.NOT_ALNUM)
+        lone, end = tg.unspaced(data)
+        self.words = tg.Words(data, offs, gaps=tg.NOT_ALNUM, cuts=np.concatenate([lone, end]))
         self.data, self.offs = data, offs
         breaks = np.flatnonzero(data == 10)
         before = np.searchsorted(breaks, offs[:-1])               # line breaks before each row
@@ -60,6 +62,9 @@ class Lines:
         first = np.flatnonzero(np.append(True, ident[1:] != ident[:-1])) if len(ident) else np.zeros(0, int)
         self.first = first
         self.n = np.diff(np.append(first, len(ident)))
+        halves = np.full(len(ident), 2)
+        halves[np.searchsorted(self.words.start, lone)] = 1       # a character counts as half a word
+        self.long = np.add.reduceat(halves, first) >= 2 * min_words if len(first) else np.zeros(0, bool)
         self.row = row_of_word[first]
         self.place = of_word[first] - before[self.row]
         h = self.words.hash
@@ -79,22 +84,21 @@ def _key(h, *parts):
 
 
 def line_rows(min_words: int):
-    """One row for each compared line: hash, document, place, and the hashes of its
-    halves (two sizes, since the other line may be one word shorter)."""
+    """One row for each line with a word: hash, document, place, and if it is long the
+    hashes of its halves (two sizes, since the other line may be one word shorter)."""
 
     def run(batches):
         for batch in batches:
             for part in tg.slices(batch):
-                L = Lines(part.column(part.schema.get_field_index("text")))
-                use = L.n >= min_words
-                a, n, row = L.first[use], L.n[use], L.row[use]
+                L = Lines(part.column(part.schema.get_field_index("text")), min_words)
+                a, n = L.first, L.n
                 whole = _key(L.run(a, a + n), n)
                 m1, m2 = n // 2, (n - 1) // 2
                 halves = [_key(L.run(a, a + m1), m1, 1), _key(L.run(a + n - m1, a + n), m1, 2),
                           _key(L.run(a, a + m2), m2, 1), _key(L.run(a + n - m2, a + n), m2, 2)]
-                ids = pa.array(row)
-                cols = [pa.array(tg.signed(whole)), part.column(0).take(ids), part.column(1).take(ids), pa.array(L.place[use].astype(np.int32)),
-                        *[pa.array(tg.signed(x)) for x in halves]]
+                ids = pa.array(L.row)
+                cols = [pa.array(tg.signed(whole)), part.column(0).take(ids), part.column(1).take(ids), pa.array(L.place.astype(np.int32)),
+                        *[pa.array(tg.signed(x), mask=~L.long) for x in halves]]
                 yield pa.RecordBatch.from_arrays([c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in cols],
                                                  names=["line", "doc", "digest", "place", "h1", "h2", "h3", "h4"])
     return run
@@ -112,9 +116,8 @@ def variants(min_words: int, chosen):
         names = ["key", "line", "role"]
         for batch in batches:
             for part in tg.slices(batch):
-                L = Lines(part.column(part.schema.get_field_index("text")))
-                use = L.n >= min_words
-                a, n = L.first[use], L.n[use]
+                L = Lines(part.column(part.schema.get_field_index("text")), min_words)
+                a, n = L.first[L.long], L.n[L.long]
                 whole = tg.signed(_key(L.run(a, a + n), n))
                 new = []
                 for i in np.flatnonzero(hits(bits, whole)).tolist():
@@ -147,9 +150,8 @@ def line_words(min_words: int, chosen):
         seen: set = set()
         for batch in batches:
             for part in tg.slices(batch):
-                L = Lines(part.column(part.schema.get_field_index("text")))
-                use = L.n >= min_words
-                a, n = L.first[use], L.n[use]
+                L = Lines(part.column(part.schema.get_field_index("text")), min_words)
+                a, n = L.first[L.long], L.n[L.long]
                 whole = tg.signed(_key(L.run(a, a + n), n))
                 new, text = [], []
                 for i in np.flatnonzero(hits(chosen.value, whole)).tolist():
@@ -197,7 +199,7 @@ def removals(docs: DataFrame, key: str = "doc_id", text: str = "text", min_words
     rows = written(src.mapInArrow(line_rows(min_words), f"line long, doc {kind}, digest long, place int, h1 long, h2 long, h3 long, h4 long"), "line-rows")
     first = written(rows.groupBy("line").agg(F.min(F.struct("doc", "digest", "place")).alias("at"), F.count("*").alias("n"),
                                              *[F.first(h).alias(h) for h in ("h1", "h2", "h3", "h4")]), "line-first")
-    halves = first.select("line", F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("half"))
+    halves = first.filter("h1 IS NOT NULL").select("line", F.explode(F.array_distinct(F.array("h1", "h2", "h3", "h4"))).alias("half"))
     near = written(halves.repartition("half").sortWithinPartitions("half")
                    .mapInArrow(runs_of_many("half", "line", ["half", "line"]), "half long, line long").select("line"), "line-halves")
     chosen = spark.sparkContext.broadcast(bitmap(near, "line"))

@@ -73,18 +73,41 @@ def text_bytes(col) -> tuple[np.ndarray, np.ndarray]:
     return data, offs - offs[0]
 
 
+# scripts written without spaces: Thai, Lao, Tibetan, Myanmar, Khmer, Tai, Balinese, Javanese, kana, bopomofo, ideographs, Yi
+UNSPACED = np.array([(0x0E00, 0x109F), (0x1780, 0x17FF), (0x1950, 0x19DF), (0x1A20, 0x1AAF), (0x1B00, 0x1B7F), (0x3005, 0x3007), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF),
+                     (0x3400, 0x4DBF), (0x4E00, 0xA4CF), (0xA980, 0xA9DF), (0xAA60, 0xAADF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF)])
+
+
+def unspaced(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(start, end) of each character of a script without spaces, in text order."""
+    at = np.flatnonzero(data >= 0xE0)
+    long = data[at] >= 0xF0
+    size = 3 + long
+    at, long, size = (x[at + size <= len(data)] for x in (at, long, size))
+    code = np.zeros(len(at), np.int64)
+    for j in range(4):
+        code = np.where(j < size, code << 6 | data[np.minimum(at + j, len(data) - 1)] & 63, code) if len(at) else code
+    code &= np.where(long, 0x1FFFFF, 0xFFFF)
+    found = np.searchsorted(UNSPACED[:, 0], code, "right") - 1
+    lone = (found >= 0) & (code <= UNSPACED[found, 1])
+    return at[lone], (at + size)[lone]
+
+
 class Words:
     """Words of a slice: start, end (byte positions), 64-bit hash, row pointer.
 
-    ``ptr[i]:ptr[i+1]`` are the words of row i.
+    ``ptr[i]:ptr[i+1]`` are the words of row i.  Words also end at the byte positions
+    ``cuts``.
     """
 
-    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True, gaps=IS_SPACE):
+    def __init__(self, data: np.ndarray, offs: np.ndarray, lower: bool = True, gaps=IS_SPACE, cuts=None):
         gap = gaps[data]
         prev = np.empty(len(data) + 1, bool)
         prev[0] = True
         prev[1:] = gap
         cut = offs[(offs >= 0) & (offs <= len(data))]
+        if cuts is not None:
+            cut = np.concatenate([cut, cuts])
         first = prev.copy()
         first[cut] = True
         last = np.append(gap, True)
