@@ -6,7 +6,7 @@ import re
 import pytest
 
 import corpus_pipeline
-from vendora.llm import jaccard_trie, line_dedup
+from vendora.llm import html_template, jaccard_trie, line_dedup
 from vendora.session import ship_package
 
 
@@ -94,3 +94,25 @@ def test_short_and_unspaced_lines(spark):
     want = deduped(docs)
     assert {d: r.text for d, r in got.items()} == want
     assert want[3] == "one three\n短い列です" and got[6].all_removed and got[2].n_near == 1
+
+
+def extracted(spark, pages):
+    ship_package(spark)
+    rows = [(i, f"http://h.example/{i}", html) for i, html in enumerate(pages)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(4)
+    return [r.text for r in sorted(html_template.extract(df).collect())]
+
+
+def test_html_copies(spark):
+    """A host of copies of one page, with scripts, menus and markup of their own, beside other pages."""
+    page = "<html><head><title>t</title></head><body><nav>menu {0}</nav><script>x={0}</script><div class=top>All news</div><article><p>{1}</p><p>{2}</p></article></body></html>"
+    copies = [page.format(i, "Head", "The one text of the copies.") for i in range(60)]
+    copies += [c.replace("<article>", "<article class=print>") for c in copies[:20]]
+    others = [page.format(i, f"Title {i}", f"A text of its own, number {i}.") for i in range(6)]
+    want = "Head The one text of the copies."
+    assert all(t == want for t in extracted(spark, copies))
+    got = extracted(spark, copies[:60] + others)
+    assert got == [want] * 60 + [f"Title {i} A text of its own, number {i}." for i in range(6)]
+    # blocks of the template still go
+    more = [page.format(i, f"Title {i}", f"Text {i}.</p><p>Read on in our shop.") for i in range(12)]
+    assert extracted(spark, more + more[:1] * 50)[:12] == [f"Title {i} Text {i}." for i in range(12)]

@@ -4,7 +4,9 @@ Tokens of a page are its elements (by their path of tags, classes and ids) and i
 text blocks (by path and text).  A token's occurrence vector lists how often each
 page of the host has it; tokens with equal vectors form an equivalence class.  The
 vector is kept as a sum of hashes of (page, count), so classes come out of one
-aggregation however many pages a host has.
+aggregation however many pages a host has.  Pages of a host with the same text
+outside the noise parts (mirrors, print views, recrawls) count as one page, which has
+a token as often as the copy that has it most.
 
 A class is valid for the template if at least half of the host's pages hold it and
 it has two tokens or more.  Valid classes nest by their paths; elements that a
@@ -14,18 +16,19 @@ parts that are never article text (menus, headers, footers, sidebars, notices,
 adverts, forms, comments).  What a page holds in the main slot is its text, less
 those parts and less text blocks that nearly all pages of the host have.
 
-Hosts with fewer than ``MIN_PAGES`` pages, and pages without the host's main slot,
+Hosts with fewer than ``MIN_PAGES`` such pages, and pages without the host's main slot,
 are read by their own structure: ``article`` or ``main`` elements, else the body.
 
 Blocks: character references decoded, white space made one space, trimmed;
 joined in page order by one space.
 
-Scale: one shuffle of (host, token) sums, added up in each task before it; pages
-are not shuffled when the table of templates is small enough for the planner
+Scale: one shuffle of (host, content) counts and two of (host, token) sums, added up in
+each task before it (the first brings the tokens of copies together); pages are not
+shuffled when the table of templates is small enough for the planner
 to broadcast, else joined by host (a hot host is split by the skew join).
 
 Cases: null or empty html gives the empty text; null url: by its own structure;
-repeated rows count as pages; unclosed tags end with what encloses them; an empty
+repeated rows count as one page; unclosed tags end with what encloses them; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -40,6 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from vendora.llm.bits import bitmap, hits
 from vendora.llm.registry import query, table, written
 
 MIN_PAGES = 5
@@ -171,44 +175,70 @@ def key_of(path: str, text: str = "") -> int:
     return xxhash.xxh64_intdigest(f"{path}\x00{text}") >> 1
 
 
-def tokens(batches):
-    """(host, token) sums over the pages of a batch: pages, occurrences, two halves of
-    the occurrence vector's hash, text length, with the element's path (null for text)."""
-    names = ["host", "token", "path", "noise", "n_pages", "occurs", "v1", "v2", "chars"]
+def content_of(host: str, blocks) -> int:
+    """Digest of the text outside the noise parts."""
+    return xxhash.xxh64_intdigest("\x00".join([host, *[text for node, text in blocks if not node.noise]])) >> 1
+
+
+def contents(batches):
+    """(host, content) of each page."""
     for batch in batches:
-        sums: dict = {}
-        hosts, ids, pages = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "page", "html"))
-        for host, ident, page in zip(hosts, ids, pages):
-            if host is None:
-                continue
-            opened, blocks = read(page or "")
-            seen: dict = {}
-            for node in opened:
-                t = seen.setdefault((key_of(node.path), node.path, node.noise), [0, 0])
-                t[0] += 1
-            paths = {p: v for (k, p, z), v in seen.items()}
-            for node, text in blocks:
-                if node.noise:
+        hosts, pages = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "html"))
+        got = [(host, content_of(host, read(page or "")[1])) for host, page in zip(hosts, pages) if host is not None]
+        yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.string()), pa.array([c for _, c in got], pa.int64())], names=["host", "content"])
+
+
+TOKENS = "host string, content long, token long, path string, noise boolean, n_pages long, occurs long, v1 long, v2 long, chars long"
+
+
+def tokens(repeated):
+    """(host, token) sums over the pages of a batch: pages, occurrences, two halves of
+    the occurrence vector's hash, text length, with the element's path (null for text).
+    Pages whose content may be ``repeated`` give rows of their own, with their content
+    (else null)."""
+
+    def run(batches):
+        for batch in batches:
+            sums: dict = {}
+            hosts, pages = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("host", "html"))
+            for host, page in zip(hosts, pages):
+                if host is None:
                     continue
-                t = seen.setdefault((key_of(node.path, text), None, False), [0, 0])
-                t[0] += 1
-                p = node.path
-                while p:
-                    if p in paths:
-                        paths[p][1] += len(text)
-                    p = p.rpartition("/")[0]
-            for (token, path, noise), (count, chars) in seen.items():
-                h = xxhash.xxh64_intdigest(f"{ident}\x00{count}")
-                s = sums.setdefault((host, token, path, noise), [0, 0, 0, 0, 0])
-                s[0] += 1
-                s[1] += count
-                s[2] += h & 0x7FFFFFFF
-                s[3] += h >> 33
-                s[4] += chars
-        if sums:
-            cols = list(zip(*[(*k, *v) for k, v in sums.items()]))
-            kinds = [pa.string(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=names)
+                opened, blocks = read(page or "")
+                content = content_of(host, blocks)
+                seen: dict = {}
+                for node in opened:
+                    t = seen.setdefault((key_of(node.path), node.path, node.noise), [0, 0])
+                    t[0] += 1
+                paths = {p: v for (k, p, z), v in seen.items()}
+                for node, text in blocks:
+                    if node.noise:
+                        continue
+                    t = seen.setdefault((key_of(node.path, text), None, False), [0, 0])
+                    t[0] += 1
+                    p = node.path
+                    while p:
+                        if p in paths:
+                            paths[p][1] += len(text)
+                        p = p.rpartition("/")[0]
+                copy = content if hits(repeated.value, np.array([content]))[0] else None
+                for (token, path, noise), (count, chars) in seen.items():
+                    s = sums.setdefault((host, copy, token, path, noise), [0, 0, 0, 0, 0])
+                    if copy is not None:
+                        # the vector's hash follows when all copies are together
+                        s[:] = 1, max(s[1], count), 0, 0, max(s[4], chars)
+                        continue
+                    h = xxhash.xxh64_intdigest(f"{content}\x00{count}")
+                    s[0] += 1
+                    s[1] += count
+                    s[2] += h & 0x7FFFFFFF
+                    s[3] += h >> 33
+                    s[4] += chars
+            if sums:
+                cols = list(zip(*[(*k, *v) for k, v in sums.items()]))
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in TOKENS.split(", ")])
+    return run
 
 
 def host_of(url):
@@ -218,10 +248,19 @@ def host_of(url):
 
 def templates(pages: DataFrame) -> DataFrame:
     """(host, main, constant): path of the main slot and hashes of the template's text
-    blocks, of the hosts with enough pages.  ``pages``: host, page, html."""
+    blocks, of the hosts with enough pages.  ``pages``: host, html."""
+    content = written(pages.mapInArrow(contents, "host string, content long").groupBy("host", "content").agg(F.count("*").alias("n")), "html-contents")
     # written, so that the planner knows its size before it picks the join
-    counted = written(pages.filter(F.col("host").isNotNull()).groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES), "html-hosts")
-    token = (pages.mapInArrow(tokens, "host string, token long, path string, noise boolean, n_pages long, occurs long, v1 long, v2 long, chars long")
+    counted = written(content.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES), "html-hosts")
+    repeated = pages.sparkSession.sparkContext.broadcast(bitmap(content.filter("n > 1"), "content"))
+    token = pages.mapInArrow(tokens(repeated), TOKENS).groupBy("host", "content", "token", "path", "noise")
+    # copies are one page; their vector's hash is drawn here
+    own, h = F.col("content").isNull(), F.xxhash64("content", "occurs")
+    token = (token.agg(*[F.sum(c).alias(c) for c in ("n_pages", "v1", "v2")],
+                       *[F.when(own, F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("occurs", "chars")])
+             .select("host", "token", "path", "noise", F.when(own, F.col("n_pages")).otherwise(1).alias("n_pages"), "occurs",
+                     F.when(own, F.col("v1")).otherwise(h.bitwiseAND(0x7FFFFFFF)).alias("v1"),
+                     F.when(own, F.col("v2")).otherwise(F.shiftrightunsigned(h, 33)).alias("v2"), "chars")
              .groupBy("host", "token", "path", "noise")
              .agg(*[F.sum(c).alias(c) for c in ("n_pages", "occurs", "v1", "v2", "chars")]))
     token = token.join(counted, "host").filter(F.col("n_pages") >= SUPPORT * F.col("n"))
@@ -271,7 +310,7 @@ def extract(pages: DataFrame, key: str = "page_id", url: str = "url", html: str
     """(key, url, text, n_chars) of every row."""
     src = pages.select(F.col(key).alias("page"), F.col(url).cast("string").alias("url"), F.col(html).cast("string").alias("html"), host_of(url).alias("host"))
     # written, so that the planner knows its size before it picks the join
-    known = written(templates(src.select("host", F.coalesce(F.col("page").cast("string"), F.lit("")).alias("page"), "html")), "html-templates")
+    known = written(templates(src.select("host", "html")), "html-templates")
     kind = pages.schema[key].dataType.simpleString()
     out = src.join(known, "host", "left").select("page", "url", "html", "main", "constant").mapInArrow(
         extractor, f"page {kind}, url string, text string, n_chars long")
