@@ -116,3 +116,13 @@ def test_html_copies(spark):
     # blocks of the template still go
     more = [page.format(i, f"Title {i}", f"Text {i}.</p><p>Read on in our shop.") for i in range(12)]
     assert extracted(spark, more + more[:1] * 50)[:12] == [f"Title {i} Text {i}." for i in range(12)]
+
+
+@pytest.mark.parametrize("outer", ["<article>{}</article>", "<main class=page>{}</main>", "<div class=post>{}</div>"])
+def test_html_title_and_lead(spark, outer):
+    """The title and the lead stand outside of the element with most of the text."""
+    inner = outer.format("<h1>Title {0}</h1><p class=lead>Lead of {0}</p><div class=body><p>{1}</p><p>Ends {0}</p></div><p class=more>Read on in our shop</p>")
+    page = "<html><head><title>t</title></head><body><nav>menu</nav><div class=wrap><div class=top>All the news of the day</div>" + inner + "</div><footer>foot</footer></body></html>"
+    pages = [page.format(i, f"Much text of number {i}. " * 20) for i in range(10)]
+    want = [" ".join(f"Title {i} Lead of {i} {f'Much text of number {i}. ' * 20}Ends {i}".split()) for i in range(10)]
+    assert extracted(spark, pages) == want

@@ -10,11 +10,13 @@ a token as often as the copy that has it most.
 
 A class is valid for the template if at least half of the host's pages hold it and
 it has two tokens or more.  Valid classes nest by their paths; elements that a
-valid class has once on each page bound the slots.  The main slot is the
-innermost such element that still holds half of the host's text outside the
-parts that are never article text (menus, headers, footers, sidebars, notices,
-adverts, forms, comments).  What a page holds in the main slot is its text, less
-those parts and less text blocks that nearly all pages of the host have.
+valid class has once on each page bound the slots.  A slot's text is what it holds
+outside the parts that are never article text (menus, headers, footers, sidebars,
+notices, adverts, forms, comments) and outside text blocks that nearly all pages of
+the host have.  The main slot is the outermost ``article`` of the template, else its
+outermost ``main``, that holds half of the host's text; where there is none, the
+innermost slot that holds all of it, so nothing is lost on the way down.  What a page
+holds in the main slot is its text, less those parts and blocks.
 
 Hosts with fewer than ``MIN_PAGES`` such pages, and pages without the host's main slot,
 are read by their own structure: ``article`` or ``main`` elements, else the body.
@@ -49,7 +51,7 @@ from vendora.llm.registry import query, table, written
 MIN_PAGES = 5
 SUPPORT = 0.5              # of the host's pages, for a valid class
 CONSTANT = 0.9             # of the host's pages, for a text block that belongs to the template
-MAIN_SHARE = 0.5           # of the host's text, for the main slot
+MAIN_SHARE = 0.5           # of the host's text, for an article or main element to be the main slot
 
 # Elements of HTML by how they are read.
 RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|math|title|button|option|canvas|video|audio"
@@ -188,12 +190,13 @@ def contents(batches):
         yield pa.RecordBatch.from_arrays([pa.array([h for h, _ in got], pa.string()), pa.array([c for _, c in got], pa.int64())], names=["host", "content"])
 
 
-TOKENS = "host string, content long, token long, path string, noise boolean, n_pages long, occurs long, v1 long, v2 long, chars long"
+TOKENS = "host string, content long, token long, path string, block boolean, noise boolean, n_pages long, occurs long, v1 long, v2 long, chars long"
 
 
 def tokens(repeated):
     """(host, token) sums over the pages of a batch: pages, occurrences, two halves of
-    the occurrence vector's hash, text length, with the element's path (null for text).
+    the occurrence vector's hash, text length, with the path of the element or of the
+    text block's element.
     Pages whose content may be ``repeated`` give rows of their own, with their content
     (else null)."""
 
@@ -208,22 +211,24 @@ def tokens(repeated):
                 content = content_of(host, blocks)
                 seen: dict = {}
                 for node in opened:
-                    t = seen.setdefault((key_of(node.path), node.path, node.noise), [0, 0])
+                    t = seen.setdefault((key_of(node.path), node.path, False, node.noise), [0, 0])
                     t[0] += 1
-                paths = {p: v for (k, p, z), v in seen.items()}
+                # what encloses text outside the noise parts isn't noise
+                paths = {p: v for (k, p, b, z), v in seen.items() if not z}
                 for node, text in blocks:
                     if node.noise:
                         continue
-                    t = seen.setdefault((key_of(node.path, text), None, False), [0, 0])
+                    t = seen.setdefault((key_of(node.path, text), node.path, True, False), [0, 0])
                     t[0] += 1
+                    t[1] += len(text)
                     p = node.path
                     while p:
                         if p in paths:
                             paths[p][1] += len(text)
                         p = p.rpartition("/")[0]
                 copy = content if hits(repeated.value, np.array([content]))[0] else None
-                for (token, path, noise), (count, chars) in seen.items():
-                    s = sums.setdefault((host, copy, token, path, noise), [0, 0, 0, 0, 0])
+                for (token, path, block, noise), (count, chars) in seen.items():
+                    s = sums.setdefault((host, copy, token, path, block, noise), [0, 0, 0, 0, 0])
                     if copy is not None:
                         # the vector's hash follows when all copies are together
                         s[:] = 1, max(s[1], count), 0, 0, max(s[4], chars)
@@ -236,7 +241,7 @@ def tokens(repeated):
                     s[4] += chars
             if sums:
                 cols = list(zip(*[(*k, *v) for k, v in sums.items()]))
-                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), *[pa.int64()] * 5]
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.bool_(), *[pa.int64()] * 5]
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, kinds)], names=[c.split()[0] for c in TOKENS.split(", ")])
     return run
 
@@ -253,29 +258,40 @@ def templates(pages: DataFrame) -> DataFrame:
     # written, so that the planner knows its size before it picks the join
     counted = written(content.groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_PAGES), "html-hosts")
     repeated = pages.sparkSession.sparkContext.broadcast(bitmap(content.filter("n > 1"), "content"))
-    token = pages.mapInArrow(tokens(repeated), TOKENS).groupBy("host", "content", "token", "path", "noise")
+    token = pages.mapInArrow(tokens(repeated), TOKENS).groupBy("host", "content", "token", "path", "block", "noise")
     # copies are one page; their vector's hash is drawn here
     own, h = F.col("content").isNull(), F.xxhash64("content", "occurs")
     token = (token.agg(*[F.sum(c).alias(c) for c in ("n_pages", "v1", "v2")],
                        *[F.when(own, F.sum(c)).otherwise(F.max(c)).alias(c) for c in ("occurs", "chars")])
-             .select("host", "token", "path", "noise", F.when(own, F.col("n_pages")).otherwise(1).alias("n_pages"), "occurs",
+             .select("host", "token", "path", "block", "noise", F.when(own, F.col("n_pages")).otherwise(1).alias("n_pages"), "occurs",
                      F.when(own, F.col("v1")).otherwise(h.bitwiseAND(0x7FFFFFFF)).alias("v1"),
                      F.when(own, F.col("v2")).otherwise(F.shiftrightunsigned(h, 33)).alias("v2"), "chars")
-             .groupBy("host", "token", "path", "noise")
+             .groupBy("host", "token", "path", "block", "noise")
              .agg(*[F.sum(c).alias(c) for c in ("n_pages", "occurs", "v1", "v2", "chars")]))
     token = token.join(counted, "host").filter(F.col("n_pages") >= SUPPORT * F.col("n"))
     # equal vectors: an equivalence class
     vector = ["host", "v1", "v2", "n_pages", "occurs"]
     # dealt by vector, else a host's tokens would stay together in the task that joined them
-    valid = token.repartition(*vector).groupBy(*vector, "n").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "path", "noise", "chars")).alias("members"))
+    valid = token.repartition(*vector).groupBy(*vector, "n").agg(F.count("*").alias("size"), F.collect_list(F.struct("token", "path", "block", "noise", "chars")).alias("members"))
     valid = valid.filter("size >= 2").select(*vector, "n", F.inline("members"))
-    slot = valid.filter("path IS NOT NULL AND NOT noise AND occurs = n_pages")
-    whole = slot.groupBy("host").agg(F.max("chars").alias("whole"))
-    depth = F.size(F.split("path", "/"))
-    main = (slot.join(whole, "host").filter(F.col("chars") >= MAIN_SHARE * F.col("whole")).groupBy("host")
-            .agg(F.max_by("path", F.struct(depth, "chars", "path")).alias("main")))
-    constant = (valid.filter("path IS NULL").filter(F.col("n_pages") >= CONSTANT * F.col("n"))
-                .groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("constant")))
+    valid = written(valid, "html-valid")
+    fixed = valid.filter("block").filter(F.col("n_pages") >= CONSTANT * F.col("n"))
+    # a text block lies in all elements on its path
+    steps = F.split("path", "/")
+    within = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
+    known = (fixed.select("host", F.explode(within).alias("path"), "chars").groupBy("host", "path").agg(F.sum("chars").alias("fixed")))
+    slot = (valid.filter("NOT block AND NOT noise AND occurs = n_pages").join(known, ["host", "path"], "left")
+            .select("host", "path", F.size(steps).alias("depth"), (F.col("chars") - F.coalesce("fixed", F.lit(0))).alias("chars"),
+                    F.regexp_extract("path", r"([^/.]*)[^/]*$", 1).alias("tag")))
+    whole = slot.groupBy("host").agg(F.max("chars").alias("whole")).filter("whole > 0")
+    slot = slot.join(whole, "host")
+
+    def outermost(tag: str):
+        return F.min_by("path", F.when((F.col("tag") == tag) & (F.col("chars") >= MAIN_SHARE * F.col("whole")), F.struct("depth", -F.col("chars"), "path")))
+
+    main = slot.groupBy("host").agg(F.coalesce(outermost("article"), outermost("main"),
+                                               F.max_by("path", F.when(F.col("chars") == F.col("whole"), F.struct("depth", "path")))).alias("main"))
+    constant = fixed.groupBy("host").agg(F.sort_array(F.collect_set("token")).alias("constant"))
     return main.join(constant, "host", "left")
 
 
