@@ -15,7 +15,7 @@ import pytest
 import __spark_entry__ as E
 import corpus_pipeline
 from tests.conftest import SF_SMALL
-from vendora.llm import decontaminate, jaccard_trie, kneser_ney, ppm, toxicity
+from vendora.llm import decontaminate, jaccard_trie, kneser_ney, ppm, textgrid, toxicity
 from vendora.llm.registry import table
 from vendora.session import ship_package
 
@@ -47,21 +47,31 @@ def test_sql(spark, name):
     assert len(got) and sorted(map(tuple, got.values.tolist())) == sorted(map(tuple, want.values.tolist()))
 
 
+# a character of a script without spaces is a word; two of them count as one word of a line's length
+LONE = "[" + "".join(f"{chr(a)}-{chr(b)}" for a, b in textgrid.UNSPACED.tolist()) + "]"
+UNIT = re.compile(rf"{LONE}|(?:(?!{LONE})[a-z0-9\u0080-\U0010ffff])+")
+
+
 def dedup_lines(docs):
-    """Lines that stay, by document, comparing each line with all variants of earlier ones."""
-    seen, changed, longer, out = set(), set(), set(), {}
+    """Lines that stay, by document: equal lines go at any length, long ones also when they
+    are one edit away from an earlier long line."""
+    seen, long, changed, longer, out = set(), set(), set(), set(), {}
     for d, t in sorted(docs.items()):
         stay = []
         for line in (t or "").split("\n"):
-            w = tuple(ALNUM.findall(line.translate(UPPER)))
-            if len(w) < 5:
+            w = tuple(UNIT.findall(line.translate(UPPER)))
+            if not w:
                 stay.append(line)
                 continue
             if w in seen:
                 continue
-            without = [w[:p] + w[p + 1:] for p in range(len(w))]
-            near = w in longer or any(v in seen or (p, v) in changed for p, v in enumerate(without))
             seen.add(w)
+            if sum(1 if re.fullmatch(LONE, x) else 2 for x in w) < 10:
+                stay.append(line)
+                continue
+            without = [w[:p] + w[p + 1:] for p in range(len(w))]
+            near = w in longer or any(v in long or (p, v) in changed for p, v in enumerate(without))
+            long.add(w)
             longer.update(without)
             changed.update(enumerate(without))
             if not near:
@@ -77,11 +87,11 @@ def test_line_dedup(spark, texts):
     assert sum(r.n_near for r in got.values()) > 0
 
 
-def components(docs, per_100=90):
+def components(docs, per_100=90, k=3):
     sets = {}
     for d, t in docs.items():
         w = WORD.findall((t or "").translate(UPPER))
-        sets[d] = {tuple(w[i:i + 3]) for i in range(len(w) - 2)} or ({tuple(w)} if w else set())
+        sets[d] = {tuple(w[i:i + k]) for i in range(len(w) - k + 1)} or ({tuple(w)} if w else set())
     up = {d: d for d in sets}
 
     def top(x):
@@ -337,7 +347,7 @@ def test_pipeline(spark, texts):
     lines = dedup_lines(left)
     left = {d: t for d, t in lines.items() if t == texts[d] or t.split()}
     docs = check("line_dedup", docs, left)
-    left = {d: left[d] for d, (_, c) in components(left).items() if c == d}
+    left = {d: left[d] for d, (_, c) in components(left, per_100=80, k=5).items() if c == d}
     docs = check("ngram_jaccard", docs, left)
 
     def shingles(t):

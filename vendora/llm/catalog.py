@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from vendora.llm import (  # noqa: F401  (they register their queries)
     decontaminate, html_template, jaccard_trie, kneser_ney, line_dedup, ppm, quality_lines,
-    merkle, sentencepiece_bpe, token_rollup, toxicity)
+    merkle, phrases, sentencepiece_bpe, token_rollup, toxicity, warc)
 from vendora.llm.registry import ORACLES, QUERIES
 
 
