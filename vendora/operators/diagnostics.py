@@ -11,11 +11,14 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.functions.stats import norm_ppf
+from vendora.operators.cut_windows import range_frame
 from vendora.operators.relational import global_prefix
+from vendora.operators.selection import exact_quantile
 
 SPIKE_QUANTILE = 0.90
 HIST_BINS = 60
 ROLLING_DAYS = 30
+BLOCK_DAYS = 365           # days of a window's block
 # Outside-forecast weights and calibration grids.
 SWEEP_WEIGHTS = [0.0, 0.05, 0.08, 0.10, 0.12, 0.15, 0.20]
 CAL_REVENUE_RANGE = [1.18, 1.20, 1.22, 1.24, 1.26, 1.28, 1.30, 1.32]
@@ -51,11 +54,10 @@ def spike_decomposition(preds: DataFrame, keys: list[str], actual: str, pred: st
                         q: float = SPIKE_QUANTILE) -> DataFrame:
     """Days with actual >= the group's q-quantile (linear) vs the rest.
 
-    The exact percentile is per group (a fold's days), so each buffer is
-    bounded by the validation span.
+    The quantile is exact and comes from counted bins, so a group may be of any size
+    (all series of a fold, say) and no task holds its values.
     """
-    thr = preds.groupBy(*keys).agg(F.percentile(actual, q).alias("threshold"))
-    j = preds.join(thr, keys)
+    j = preds.join(exact_quantile(preds, keys, actual, q, "threshold"), keys)
     spike = F.col(actual) >= F.col("threshold")
     err = F.abs(F.col(actual) - F.col(pred))
     return j.groupBy(*keys).agg(
@@ -76,23 +78,23 @@ def mae_band(preds: DataFrame, keys: list[str], actual: str, pred: str) -> DataF
 
 
 def rolling_mae(preds: DataFrame, keys: list[str], actual: str, pred: str, days: int = ROLLING_DAYS) -> DataFrame:
-    """Trailing ``days``-day mean absolute error, today included (pandas '30D')."""
-    w = Window.partitionBy(*keys).orderBy(F.unix_date("date")).rangeBetween(-(days - 1), 0)
-    err = F.abs(F.col(actual) - F.col(pred))
-    return preds.select(*keys, "date", err.alias("abs_error"), F.avg(err).over(w).alias(f"rolling_{days}d_mae"))
+    """Trailing ``days``-day mean absolute error, today included (pandas '30D').  A group's
+    days are cut in blocks of a year with the days before as a halo, so one group spreads
+    over many tasks."""
+    err = preds.select(*keys, "date", F.abs(F.col(actual) - F.col(pred)).alias("abs_error"))
+    return range_frame(err, keys, F.unix_date("date"), days - 1, {f"rolling_{days}d_mae": F.avg("abs_error")}, BLOCK_DAYS)
 
 
 def residual_stats(res: DataFrame, col: str = "residual") -> DataFrame:
     """Mean, median, population std, skew and excess kurtosis (biased moments) of all rows.
 
-    The median is exact and comes from the rows' global ranks, so no task holds them all."""
+    The median is exact and comes from counted bins: no sort, and a value that half of the
+    rows share is counted where it is read."""
     values = res.select(col).filter(F.col(col).isNotNull())
-    ranked = global_prefix(values, [col], rank_out="_r")
-    n = values.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    mid = ranked.filter((F.col("_r") == F.floor((n + 1) / 2)) | (F.col("_r") == F.ceil((n + 1) / 2))).agg(F.avg(col).alias("median"))
+    median = exact_quantile(values, [], col, 0.5, "median").select("median").scalar()
     moments = values.agg(F.count(col).alias("n"), F.avg(col).alias("mean"), F.stddev_pop(col).alias("std"),
                          F.skewness(col).alias("skew"), F.kurtosis(col).alias("kurtosis"))
-    return moments.select("n", "mean", mid.select("median").scalar().alias("median"), "std", "skew", "kurtosis")
+    return moments.select("n", "mean", median.alias("median"), "std", "skew", "kurtosis")
 
 
 def residual_histogram(res: DataFrame, col: str = "residual", bins: int = HIST_BINS) -> DataFrame:
@@ -112,24 +114,29 @@ def residual_histogram(res: DataFrame, col: str = "residual", bins: int = HIST_B
                     (lo + (F.col("bin") + 1) * width).alias("bin_hi"), "n")
 
 
-def global_row_number(df: DataFrame, order_col: str, out: str = "rank") -> DataFrame:
-    """1-based position in ``order_col`` order without a single-partition window.  Rows
-    with equal values differ in nothing else, so a random second column may cut them."""
-    salted = df.withColumn("_salt", F.rand(7))
-    return global_prefix(salted, [order_col, "_salt"], None, rank_out=out).drop("_salt")
+def global_row_number(df: DataFrame, order_col: str, keys: list[str] | None = None, out: str = "rank") -> DataFrame:
+    """1-based position in ``order_col`` order without a single-partition window.
+
+    Equal values are ordered by ``keys`` (the rows' own key), so a value that many rows share is cut
+    by them, and a task that runs again deals its rows as before."""
+    return global_prefix(df, [order_col, *(keys or [])], None, rank_out=out).drop("cum")
 
 
-def empirical_cdf(res: DataFrame, col: str = "residual") -> DataFrame:
+def empirical_cdf(res: DataFrame, col: str = "residual", keys: list[str] | None = None) -> DataFrame:
+    """(col, rank, cdf); ``keys`` tell rows with equal values apart."""
+    keys = keys or []
     n = res.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    r = global_row_number(res.select(col), col)
+    r = global_row_number(res.select(col, *keys), col, keys)
     return r.select(col, "rank", (F.col("rank") / n).alias("cdf"))
 
 
-def qq_points(res: DataFrame, col: str = "residual") -> DataFrame:
+def qq_points(res: DataFrame, col: str = "residual", keys: list[str] | None = None) -> DataFrame:
     """Ordered values against normal quantiles at Filliben plotting positions,
-    plus the least-squares line through them (as probplot does)."""
+    plus the least-squares line through them (as probplot does).  ``keys`` tell rows with equal
+    values apart."""
+    keys = keys or []
     n = res.agg(F.count(F.lit(1)).alias("n")).select("n").scalar()
-    r = global_row_number(res.select(col), col)
+    r = global_row_number(res.select(col, *keys), col, keys)
     i = F.col("rank").cast("double")
     last = F.pow(F.lit(0.5), 1.0 / n)
     m = (F.when(F.col("rank") == n, last).when(F.col("rank") == 1, 1 - last)

@@ -13,6 +13,7 @@ PLAN_MODULES = [
     "vendora.plans.q_relational",
     "vendora.plans.q_sources",
     "vendora.plans.q_models",
+    "vendora.plans.q_panel",
 ]
 
 

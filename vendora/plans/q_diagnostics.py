@@ -15,6 +15,7 @@ from vendora.functions.stats import norm_ppf_sql
 from vendora.operators import backtest as bt
 from vendora.operators import diagnostics as dg
 from vendora.operators import relational as rel
+from vendora.operators.selection import exact_quantile
 from vendora.plans import q_baseline as qb
 from vendora.plans import common as cm
 from vendora.plans.registry import register
@@ -35,7 +36,8 @@ FPR = FP + [RES_CTE]
 
 
 def preds(spark, sf):
-    return qb.fold_predictions(spark, sf)
+    """The baseline's walk-forward predictions, worked out once for all diagnostics."""
+    return cm.materialized(spark, sf, "fold_predictions", lambda: qb.fold_predictions(spark, sf))
 
 
 def preds_naive(spark, sf):
@@ -164,7 +166,7 @@ SELECT qq.*, f.slope, f.intercept
 FROM qq, (SELECT regr_slope(ordered, theoretical) AS slope, regr_intercept(ordered, theoretical) AS intercept
           FROM qq) f""")
 def q_qq(spark, sf):
-    return dg.qq_points(residuals(spark, sf))
+    return dg.qq_points(residuals(spark, sf), keys=["fold", "date"])
 
 
 @register("empirical_cdf", rounding={"residual": 4, "cdf": 9}, extra_ctes=FPR, sql="""
@@ -172,7 +174,7 @@ SELECT residual, row_number() OVER (ORDER BY residual) AS rank,
        CAST(row_number() OVER (ORDER BY residual) AS DOUBLE) / count(*) OVER () AS cdf
 FROM res""")
 def q_ecdf(spark, sf):
-    return dg.empirical_cdf(residuals(spark, sf))
+    return dg.empirical_cdf(residuals(spark, sf), keys=["fold", "date"])
 
 
 @register("residual_vs_actual", rounding={"residual": 4, "log_actual": 9, "log_pred": 9}, extra_ctes=FP, sql="""
@@ -184,8 +186,7 @@ JOIN (SELECT fold, quantile_cont(actual_revenue, 0.9) AS threshold FROM fold_pre
   USING (fold)""")
 def q_res_vs_actual(spark, sf):
     p = preds(spark, sf)
-    thr = p.groupBy("fold").agg(F.percentile("actual_revenue", dg.SPIKE_QUANTILE).alias("threshold"))
-    j = p.join(thr, "fold")
+    j = p.join(exact_quantile(p, ["fold"], "actual_revenue", dg.SPIKE_QUANTILE, "threshold"), "fold")
     return j.select("fold", "date", F.col("actual_revenue").alias("actual"),
                     (F.col("actual_revenue") - F.col("pred_revenue")).alias("residual"),
                     (F.col("actual_revenue") >= F.col("threshold")).cast("int").alias("is_spike"),
