@@ -76,29 +76,39 @@ def seasonality(daily: DataFrame, orders: DataFrame) -> DataFrame:
     return j.groupBy("month_no").agg(F.avg("revenue").alias("avg_revenue"), F.avg("orders").alias("avg_orders"))
 
 
-def rfm_segments(customers: DataFrame, orders: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
-    """Quintile scores over purchasing customers (delivered orders), ties by id.
+def rfm_scores(orders: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """(customer_id, R, F, M, monetary): quintiles of recency, frequency and money over purchasing
+    customers (delivered orders), ties by id.  Money is summed as exact decimals.
     ``delivered`` may pass the delivered orders pre-filtered at the scan."""
     as_of = orders.agg(F.max("order_date").alias("d")).select("d").scalar()
     d = delivered if delivered is not None else orders.filter(F.col("order_status") == "delivered")
     per = d.filter(F.col("customer_id").isNotNull()).groupBy("customer_id").agg(
-        F.max("order_date").alias("last"), F.count(F.lit(1)).alias("freq"))
+        F.max("order_date").alias("last"), F.count(F.lit(1)).alias("freq"),
+        F.sum(F.col("order_total").cast("decimal(18,2)")).alias("monetary"))
     # the per-customer table feeds two rankings and the count: materialize it once
     per = materialize(per.withColumn("_neg_recency", -F.datediff(F.lit(as_of), F.col("last"))))
     n = per.count()
-    # independent rankings of the same per-customer table, joined by key; segments use
-    # recency and frequency only, so money isn't ranked
+    # independent rankings of the same per-customer table, joined by key
     def score(order_col: str, name: str) -> DataFrame:
         r = global_prefix(per.select("customer_id", order_col), [order_col, "customer_id"], rank_out="_r")
         return r.select("customer_id", ntile_from_rank(F.col("_r"), F.lit(n), RFM_BUCKETS).alias(name))
-    scores = score("_neg_recency", "R").join(score("freq", "F"), "customer_id")
-    c = customers.select("customer_id").join(scores, "customer_id", "left")
+    money = global_prefix(per.select("customer_id", "monetary"), ["monetary", "customer_id"], rank_out="_r")
+    money = money.select("customer_id", "monetary", ntile_from_rank(F.col("_r"), F.lit(n), RFM_BUCKETS).alias("M"))
+    scores = score("_neg_recency", "R").join(score("freq", "F"), "customer_id").join(money, "customer_id")
+    return scores.select("customer_id", "R", "F", "M", "monetary")
+
+
+def rfm_segments(customers: DataFrame, orders: DataFrame, delivered: DataFrame | None = None) -> DataFrame:
+    """Customers, mean monetary quintile, customers of the highest one and money of each segment."""
+    c = customers.select("customer_id").join(rfm_scores(orders, delivered), "customer_id", "left")
     seg = (F.when(F.col("R").isNull(), "Never Purchased")
             .when((F.col("R") >= 4) & (F.col("F") >= 4), "Champions")
             .when((F.col("R") <= 2) & (F.col("F") >= 3), "At Risk")
             .when((F.col("R") <= 2) & (F.col("F") <= 2), "Lost")
             .otherwise("Active"))
-    return c.groupBy(seg.alias("segment")).agg(F.count(F.lit(1)).alias("n_customers"))
+    return c.groupBy(seg.alias("segment")).agg(
+        F.count(F.lit(1)).alias("n_customers"), F.avg("M").alias("avg_m"), F.count(F.when(F.col("M") == RFM_BUCKETS, 1)).alias("n_top_m"),
+        F.sum("monetary").cast("double").alias("monetary"))
 
 
 def cohort_retention(orders: DataFrame) -> DataFrame:
@@ -127,10 +137,10 @@ def promo_order_share(items: DataFrame) -> DataFrame:
 
 
 def promo_aov(items: DataFrame, dims: DataFrame) -> DataFrame:
-    j = items.join(dims.select("product_id", "category"), "product_id")
-    per = j.groupBy("order_id", "category").agg(
-        F.sum(line_value(items)).alias("value"),
-        F.max(F.col("promo_id").isNotNull().cast("int")).alias("promo"))
+    # a line's value and flag before the join, so that no other column is shuffled
+    lines = items.select("order_id", "product_id", line_value(items).alias("value"), F.col("promo_id").isNotNull().cast("int").alias("promo"))
+    j = lines.join(dims.select("product_id", "category"), "product_id")
+    per = j.groupBy("order_id", "category").agg(F.sum("value").alias("value"), F.max("promo").alias("promo"))
     a = per.groupBy("category", "promo").agg(F.sum("value").alias("value"), F.count(F.lit(1)).alias("n_orders"))
     return a.select("category", "promo", (F.col("value").cast("double") / F.col("n_orders")).alias("aov"), "n_orders")
 
@@ -261,10 +271,10 @@ def abc_class(items: DataFrame) -> DataFrame:
                     share.alias("cum_share"), cls.alias("abc_class"))
 
 
-def reorder_trigger(daily_units: DataFrame, received: DataFrame, threshold=REORDER_THRESHOLD) -> DataFrame:
-    """First day in each (brand, month) when running units / received >= threshold.
+def reorder_trigger(daily_units: DataFrame, received: DataFrame, item: str = "product_id", threshold=REORDER_THRESHOLD) -> DataFrame:
+    """First day in each (item, month) when running units / received >= threshold.
     The window runs over at most 31 pre-aggregated daily rows per group."""
-    w = Window.partitionBy("brand", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
-    x = daily_units.join(received, "brand").withColumn("running", F.sum("units").over(w))
+    w = Window.partitionBy(item, "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
+    x = daily_units.join(received, item).withColumn("running", F.sum("units").over(w))
     hit = x.filter(F.col("running") / F.col("received") >= threshold)
-    return hit.groupBy("brand", "month").agg(F.min("day").alias("trigger_date"))
+    return hit.groupBy(item, "month").agg(F.min("day").alias("trigger_date"))

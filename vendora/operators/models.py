@@ -243,9 +243,8 @@ def compose(components: DataFrame, keys: list[str], cfg: EnsembleConfig = Ensemb
         *[F.max(F.when(F.col("component") == c, F.col("pred"))).alias(c) for c in COMPONENTS])
     outs = []
     for t in cfg.targets:
-        df = {q: F.col(f"{t}_spec{q}") for q in (1, 2, 3, 4)}
-        spec = F.coalesce(*[F.when(F.quarter(date_col) == q, c) for q, c in df.items()])
-        l1 = blend_layer1(F.col(f"{t}_trees"), spec, cfg.alpha)
+        wide = specialist_compose(wide, F.quarter(date_col), {q: f"{t}_spec{q}" for q in (1, 2, 3, 4)}, f"_{t}_spec")
+        l1 = blend_layer1(F.col(f"{t}_trees"), F.col(f"_{t}_spec"), cfg.alpha)
         raw = blend_layer2(F.col(f"{t}_ridge"), F.col(f"{t}_trend"), l1, cfg.w_ridge, cfg.w_trend, cfg.w_trees)
         outs.append(calibrate(raw, cfg.cal_revenue if t == "revenue" else cfg.cal_cogs).alias(t))
     return wide.select(*by, *outs)

@@ -52,9 +52,14 @@ def panel_exact(spark: SparkSession, sf: str) -> DataFrame:
     return materialized(spark, sf, "panel_exact", lambda: b.sales_panel(b.Sources(spark, sf)))
 
 
+def inventory_items(spark: SparkSession, sf: str) -> DataFrame:
+    """Units per product and day, for all inventory keys."""
+    return materialized(spark, sf, "inventory_items", lambda: b.inventory_items(b.Sources(spark, sf)))
+
+
 def inventory_daily(spark: SparkSession, sf: str) -> DataFrame:
-    """Units per brand and day, for all inventory keys."""
-    return materialized(spark, sf, "inventory_daily", lambda: b.inventory_daily(b.Sources(spark, sf)))
+    """Units per brand and day."""
+    return materialized(spark, sf, "inventory_daily", lambda: b.inventory_daily(inventory_items(spark, sf)))
 
 
 def sales_daily(spark: SparkSession, sf: str) -> DataFrame:

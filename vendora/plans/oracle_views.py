@@ -105,6 +105,12 @@ VIEWS: dict[str, tuple[list[str], str]] = {
         FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
         JOIN part p ON l.l_partkey = p.p_partkey
         GROUP BY 1, 2, 3"""),
+    "fx_inv_items": ([], f"""
+        SELECT l.l_partkey AS product_id, {_d('o.o_orderdate')} AS day,
+               date_trunc('month', {_d('o.o_orderdate')})::DATE AS month, sum(l.l_quantity) AS units
+        FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey
+        JOIN part p ON l.l_partkey = p.p_partkey
+        GROUP BY 1, 2, 3"""),
     "fx_inventory": (["fx_inv_daily"], """
         SELECT m.brand, m.month, r.received, m.sold,
                least(1.0, m.sold / r.received) AS sell_through,

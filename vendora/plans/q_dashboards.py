@@ -63,26 +63,36 @@ def q_season(spark, sf):
     return db.seasonality(cm.sales_daily(spark, sf), b.orders(s))
 
 
-@register("bi_rfm_segments", sql="""
+RFM_CTE = ("rfm", """
+  SELECT customer_id, monetary,
+         CAST(ntile(5) OVER (ORDER BY recency DESC, customer_id) AS INTEGER) AS R,
+         CAST(ntile(5) OVER (ORDER BY freq, customer_id) AS INTEGER) AS F,
+         CAST(ntile(5) OVER (ORDER BY monetary, customer_id) AS INTEGER) AS M
+  FROM (SELECT customer_id, date_diff('day', max(order_date), (SELECT max(order_date) FROM fx_orders)) AS recency,
+               count(*) AS freq, sum(CAST(order_total AS DECIMAL(18,2))) AS monetary
+        FROM fx_orders WHERE order_status = 'delivered' GROUP BY customer_id) p""")
+
+
+@register("bi_rfm_segments", rounding={"avg_m": 9, "monetary": 2}, extra_ctes=[RFM_CTE], sql="""
 SELECT CASE WHEN s.R IS NULL THEN 'Never Purchased'
             WHEN s.R >= 4 AND s.F >= 4 THEN 'Champions'
             WHEN s.R <= 2 AND s.F >= 3 THEN 'At Risk'
             WHEN s.R <= 2 AND s.F <= 2 THEN 'Lost'
-            ELSE 'Active' END AS segment, count(*) AS n_customers
-FROM fx_customers c LEFT JOIN (
-  SELECT customer_id,
-         ntile(5) OVER (ORDER BY recency DESC, customer_id) AS R,
-         ntile(5) OVER (ORDER BY freq, customer_id) AS F,
-         ntile(5) OVER (ORDER BY monetary, customer_id) AS M
-  FROM (SELECT customer_id, date_diff('day', max(order_date), (SELECT max(order_date) FROM fx_orders)) AS recency,
-               count(*) AS freq, sum(order_total) AS monetary
-        FROM fx_orders WHERE order_status = 'delivered' GROUP BY customer_id) p) s USING (customer_id)
+            ELSE 'Active' END AS segment, count(*) AS n_customers, avg(s.M) AS avg_m, count(*) FILTER (WHERE s.M = 5) AS n_top_m,
+       CAST(sum(s.monetary) AS DOUBLE) AS monetary
+FROM fx_customers c LEFT JOIN rfm s USING (customer_id)
 GROUP BY 1""")
 def q_rfm(spark, sf):
     s = S(spark, sf)
     return db.rfm_segments(b.customers(s), b.orders(s), b.orders(s, "delivered"))
 
 
+@register("bi_rfm_scores", rounding={"monetary": 2}, extra_ctes=[RFM_CTE], sql="SELECT customer_id, R, F, M, monetary FROM rfm")
+def q_rfm_scores(spark, sf):
+    s = S(spark, sf)
+    return db.rfm_scores(b.orders(s), b.orders(s, "delivered"))
+
+
 @register("bi_cohort_retention", rounding={"rate": 9}, sql="""
 SELECT a.cohort, a.month_offset, a.customers, z.cohort_size, CAST(a.customers AS DOUBLE) / z.cohort_size AS rate
 FROM (SELECT c.cohort, CAST(date_diff('month', c.cohort, x.month) AS INTEGER) AS month_offset, count(*) AS customers
@@ -258,16 +268,16 @@ def q_abc(spark, sf):
 
 
 @register("bi_reorder_trigger", sql=f"""
-SELECT brand, month, min(day) AS trigger_date
-FROM (SELECT d.brand, d.month, d.day, r.received,
-             sum(d.units) OVER (PARTITION BY d.brand, d.month ORDER BY d.day
+SELECT product_id, month, min(day) AS trigger_date
+FROM (SELECT d.product_id, d.month, d.day, r.received,
+             sum(d.units) OVER (PARTITION BY d.product_id, d.month ORDER BY d.day
                                 ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running
-      FROM fx_inv_daily d
-      JOIN (SELECT brand, avg(sold) AS received
-            FROM (SELECT brand, month, sum(units) AS sold FROM fx_inv_daily GROUP BY 1, 2) GROUP BY 1) r
-        USING (brand)) t
+      FROM fx_inv_items d
+      JOIN (SELECT product_id, avg(sold) AS received
+            FROM (SELECT product_id, month, sum(units) AS sold FROM fx_inv_items GROUP BY 1, 2) GROUP BY 1) r
+        USING (product_id)) t
 WHERE running / received >= {db.REORDER_THRESHOLD}
 GROUP BY 1, 2""")
 def q_reorder(spark, sf):
-    daily = cm.inventory_daily(spark, sf)
-    return db.reorder_trigger(daily, b.brand_received(daily))
+    daily = cm.inventory_items(spark, sf)
+    return db.reorder_trigger(daily, b.mean_received(daily, "product_id"))

@@ -240,21 +240,25 @@ def shipments(src: Sources) -> DataFrame:
     return x.select("order_id", F.col("l_linenumber").alias("line_number"), "zip", "order_date", "ship_date")
 
 
-def inventory_daily(src: Sources) -> DataFrame:
-    """Units sold per (brand, day), with the month; lines are summed per (day, product)
-    before the product join."""
+def inventory_items(src: Sources) -> DataFrame:
+    """Units sold per (product, day), with the month and the product's brand."""
     li = src.table("lineitem").select("l_orderkey", "l_partkey", "l_quantity")
     o = src.table("orders").select("o_orderkey", shifted_date("o_orderdate").alias("day"))
     p = src.table("part").select("p_partkey", F.col("p_brand").alias("brand"))
     per = li.join(o, li.l_orderkey == o.o_orderkey).groupBy("day", "l_partkey").agg(F.sum("l_quantity").alias("units"))
-    return (per.join(p, per.l_partkey == p.p_partkey).groupBy("brand", "day").agg(F.sum("units").alias("units"))
-               .withColumn("month", F.trunc("day", "month")))
+    return per.join(p, per.l_partkey == p.p_partkey).select(F.col("l_partkey").alias("product_id"), "brand", "day",
+                                                            F.trunc("day", "month").alias("month"), "units")
 
 
-def brand_received(daily: DataFrame) -> DataFrame:
-    """Stock received per month = the brand's mean monthly units sold."""
-    monthly = daily.groupBy("brand", "month").agg(F.sum("units").alias("sold"))
-    return monthly.groupBy("brand").agg(F.avg("sold").alias("received"))
+def inventory_daily(items: DataFrame) -> DataFrame:
+    """Units sold per (brand, day), with the month, from those per product."""
+    return items.groupBy("brand", "day", "month").agg(F.sum("units").alias("units"))
+
+
+def mean_received(daily: DataFrame, item: str = "brand") -> DataFrame:
+    """Stock received per month = the item's mean monthly units sold."""
+    monthly = daily.groupBy(item, "month").agg(F.sum("units").alias("sold"))
+    return monthly.groupBy(item).agg(F.avg("sold").alias("received"))
 
 
 def inventory(daily: DataFrame) -> DataFrame:
@@ -268,7 +272,7 @@ def inventory(daily: DataFrame) -> DataFrame:
     into one task.
     """
     monthly = daily.groupBy("brand", "month").agg(F.sum("units").alias("sold"))
-    received = brand_received(daily)
+    received = mean_received(daily)
     w = Window.partitionBy("brand", "month").orderBy("day").rowsBetween(Window.unboundedPreceding, 0)
     reached = (daily.join(received, "brand")
                     .withColumn("running", F.sum("units").over(w))
