@@ -14,6 +14,7 @@ PLAN_MODULES = [
     "vendora.plans.q_sources",
     "vendora.plans.q_models",
     "vendora.plans.q_panel",
+    "vendora.plans.q_storage",
 ]
 
 
