@@ -71,6 +71,10 @@ class Lines:
         self.power = np.cumprod(np.append(np.uint64(1), np.full(len(h), STEP & tg.M64, np.uint64)), dtype=np.uint64)
         self.inverse = np.cumprod(np.append(np.uint64(1), np.full(len(h), INVERSE, np.uint64)), dtype=np.uint64)
         self.sums = np.append(np.uint64(0), np.cumsum(h * self.power[:-1], dtype=np.uint64))
+        # a line's own hash also adds each word mixed with its place: sums of powers alone are blind to some patterns
+        place = np.arange(len(h)) - np.repeat(first, self.n)
+        mixed = tg.mix(h ^ tg.mix(place.astype(np.uint64) + np.uint64(0x632BE59BD9B4E019)))
+        self.ident = _key(self.run(first, first + self.n), self.n) ^ (np.add.reduceat(mixed, first) if len(first) else mixed)
 
     def run(self, a, b):
         """Hash of the words a..b (exclusive), free of where they stand."""
@@ -92,7 +96,7 @@ def line_rows(min_words: int):
             for part in tg.slices(batch):
                 L = Lines(part.column(part.schema.get_field_index("text")), min_words)
                 a, n = L.first, L.n
-                whole = _key(L.run(a, a + n), n)
+                whole = L.ident
                 m1, m2 = n // 2, (n - 1) // 2
                 halves = [_key(L.run(a, a + m1), m1, 1), _key(L.run(a + n - m1, a + n), m1, 2),
                           _key(L.run(a, a + m2), m2, 1), _key(L.run(a + n - m2, a + n), m2, 2)]
@@ -118,7 +122,7 @@ def variants(min_words: int, chosen):
             for part in tg.slices(batch):
                 L = Lines(part.column(part.schema.get_field_index("text")), min_words)
                 a, n = L.first[L.long], L.n[L.long]
-                whole = tg.signed(_key(L.run(a, a + n), n))
+                whole = tg.signed(L.ident[L.long])
                 new = []
                 for i in np.flatnonzero(hits(bits, whole)).tolist():
                     if (x := int(whole[i])) not in seen:
@@ -152,7 +156,7 @@ def line_words(min_words: int, chosen):
             for part in tg.slices(batch):
                 L = Lines(part.column(part.schema.get_field_index("text")), min_words)
                 a, n = L.first[L.long], L.n[L.long]
-                whole = tg.signed(_key(L.run(a, a + n), n))
+                whole = tg.signed(L.ident[L.long])
                 new, text = [], []
                 for i in np.flatnonzero(hits(chosen.value, whole)).tolist():
                     if (x := int(whole[i])) not in seen:

@@ -7,12 +7,15 @@ that set), lower-cased for A-Z only.  A null text counts as empty.
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
 PIECE = 1 << 18            # bytes hashed at a time
 SLICE = 2 << 20            # text bytes of the row slices handed to callers
+LONG = 256                 # bytes from which on a word's hash is a cryptographic one
 BASE = 0x9E3779B97F4A7C15 | 1
 M64 = (1 << 64) - 1
 
@@ -130,7 +133,12 @@ class Words:
             s, e = self.start[i:j] - lo, self.end[i:j] - lo
             out.append(mix((c[e] - c[s]) * inverse[s] + (e - s).astype(np.uint64)))
             i = j
-        return np.concatenate(out) if out else np.zeros(0, np.uint64)
+        h = np.concatenate(out) if out else np.zeros(0, np.uint64)
+        # sums of powers modulo 2**64 are blind to some patterns of a thousand bytes and more, whatever the base
+        for w in np.flatnonzero(self.end - self.start > LONG).tolist():
+            word = self.data[self.start[w]:self.end[w]].tobytes()
+            h[w] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
+        return h
 
     def prefixes(self, lengths) -> dict:
         """Hash of the first L bytes of each word for L in ``lengths`` (of the
