@@ -10,7 +10,8 @@ unlike any short item.  So items go into size classes (powers of two), and for e
 class a document is read in windows twice the class's size that overlap by half:
 an item that fits the class lies within one of them, and at containment 0.8 the
 two are alike to at least 0.19.  Each class takes as many hashes as find that with
-probability 1 - ``MISS``.  A window's minima come from the minima of the windows of
+probability 1 - ``MISS``.  Items of up to ``SHORT`` shingles, which may be far smaller than
+their class, are looked up by each of their shingles instead and can't be missed.  A window's minima come from the minima of the windows of
 the class below, so all classes cost little more than one.
 
 Documents with a window that shares a hash with an item are candidates; exact
@@ -42,6 +43,8 @@ K = 5
 PER_100 = 80
 UNIT = 8                   # shingles of the smallest class
 MISS = 1e-4
+SHORT = 3                  # items of so few shingles are looked up by the shingles themselves
+SHORT_TAG = np.uint64(0xA0761D6478BD642F)
 TOP = (1 << 32) - 1
 
 
@@ -82,11 +85,14 @@ def item_rows(k: int, n: int):
                         continue
                     level = int(class_of(len(x)))
                     low = (x >> np.uint64(32)).astype(np.uint32)
-                    keys = np.concatenate([band_key(level, j, (low * a[j] + b[j]).min(keepdims=True)) for j in range(n)])
+                    keys = [band_key(level, j, (low * a[j] + b[j]).min(keepdims=True)) for j in range(n)]
+                    if len(x) <= SHORT:
+                        keys.append(tg.mix(x ^ SHORT_TAG))
+                    keys = np.concatenate(keys)
                     both = np.concatenate([keys, x])
                     m = len(both)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(np.full(m, i))), pa.array(np.full(m, level, np.int32)),
-                                                      pa.array(np.repeat([0, 1], [n, len(x)]).astype(np.int32)), pa.array(tg.signed(both)),
+                                                      pa.array(np.repeat([0, 1], [len(keys), len(x)]).astype(np.int32)), pa.array(tg.signed(both)),
                                                       pa.array(np.full(m, len(x), np.int64))], names=["item", "level", "kind", "key", "size"])
     return run
 
@@ -121,9 +127,9 @@ def window_minima(low: np.ndarray, ptr: np.ndarray, levels: list, a, b):
             row_of = row_of[even]
 
 
-def document_rows(k: int, n: int, levels: list, band_bits, shingle_bits):
-    """Rows (doc, digest, kind, key): band keys that an item may have; of the documents
-    with such a key, the shingles that an item may have."""
+def document_rows(k: int, n: int, levels: list, band_bits, shingle_bits, short_bits=None):
+    """Rows (doc, digest, kind, key): band keys that an item may have, and shingles that a short
+    item may have; of the documents with such a key, the shingles that an item may have."""
 
     def run(batches):
         a, b = _rounds(n)
@@ -139,6 +145,11 @@ def document_rows(k: int, n: int, levels: list, band_bits, shingle_bits):
                         if hit.any():
                             rows.append(row_of[hit])
                             keys.append(key[hit])
+                if short_bits is not None and len(s):
+                    hit = hits(short_bits.value, s)
+                    if hit.any():
+                        rows.append(np.repeat(np.arange(part.num_rows), np.diff(ptr))[hit])
+                        keys.append(tg.mix(s[hit] ^ SHORT_TAG))
                 if not rows:
                     continue
                 rows, keys = np.concatenate(rows), np.concatenate(keys)
@@ -171,7 +182,9 @@ def search(docs: DataFrame, items: DataFrame, key: str = "doc_id", text: str = "
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
     src = docs.select(F.col(key).alias("doc"), F.xxhash64(body).alias("digest"), body.alias("text"))
     bands, marks = sc.broadcast(bitmap(own.filter("kind = 0"), "key")), sc.broadcast(bitmap(own.filter("kind = 1"), "key"))
-    found = written(src.mapInArrow(document_rows(k, n, levels, bands, marks), f"doc {kind}, digest long, kind int, key long"), "decon-found")
+    short = own.filter((F.col("kind") == 1) & (F.col("size") <= SHORT))
+    shorts = None if short.isEmpty() else sc.broadcast(bitmap(short, "key"))
+    found = written(src.mapInArrow(document_rows(k, n, levels, bands, marks, shorts), f"doc {kind}, digest long, kind int, key long"), "decon-found")
     candidate = (found.filter("kind = 0").join(own.filter("kind = 0").select("item", "key", "size"), "key")
                  .select("doc", "digest", "item", "size").distinct())
     shingle = found.filter("kind = 1").select("doc", "digest", "key").distinct()
