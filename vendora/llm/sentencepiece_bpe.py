@@ -209,23 +209,17 @@ def default_path() -> str:
 
 
 class ChunkTable(dict):
-    """Chunk -> its ids as text.  ``odd`` holds the text of the chunks whose ids
-    don't decode to the chunk itself."""
+    """Chunk -> (its ids as text, the text that these ids decode to)."""
 
     def __init__(self, model: PieceModel):
         super().__init__()
-        self.model, self.odd = model, {}
+        self.model = model
 
-    def __missing__(self, chunk: str) -> str:
+    def __missing__(self, chunk: str) -> tuple[str, str]:
         if len(self) >= CACHE:
             self.clear()
-            self.odd.clear()
         ids = self.model.encode_chunk(chunk)
-        if not self.model.letters.issuperset(chunk):     # else the ids are pieces that spell the chunk
-            back = self.model.pieces_text(ids, False)
-            if back != chunk.replace(MARK, " "):
-                self.odd[chunk] = back
-        out = self[chunk] = " ".join(map(str, ids))
+        out = self[chunk] = (" ".join(map(str, ids)), self.model.pieces_text(ids, False))
         return out
 
 
@@ -242,11 +236,9 @@ def table_of(path: str) -> ChunkTable:
 def encode_text(known: ChunkTable, text: str) -> tuple[str, str]:
     """(decimal ids joined by one space, decoded text)."""
     model = known.model
-    chunks = model.chunks(text)
-    ids = " ".join([*[known[c] for c in chunks], str(model.eos)])
-    back = "".join(chunks).replace(MARK, " ")
-    if known.odd and not known.odd.keys().isdisjoint(chunks):
-        back = "".join([known.odd[c] if c in known.odd else c.replace(MARK, " ") for c in chunks])
+    both = [known[c] for c in model.chunks(text)]
+    ids = " ".join([*[x[0] for x in both], str(model.eos)])
+    back = "".join([x[1] for x in both])
     # the mark that encoding put before the text is the first character of the first chunk
     return ids, back[1:] if model.prefix and back.startswith(" ") else back
 
