@@ -7,12 +7,12 @@ adds the new ones.  Since totals are sums, batches may come in any order.
 
 A store is a folder with two tables:
 
-* ``totals/batch=<id>``: the batch's own signed totals;
-* ``ledger``: one row for each commit or fold of a batch.
+* ``totals/attempt=<name>``: the signed totals that one attempt at a batch wrote;
+* ``ledger``: one row for each commit or fold of a batch, with the attempt that holds it.
 
 A batch is written first and entered in the ledger after.  A batch in the ledger is
-not applied again; one that broke off before is written anew, to the same
-place.  Folding writes the sum of all batches as one batch and enters it, and
+not applied again; one that broke off before is written anew, to a place of its
+own, so no reader loses files.  Folding writes the sum of all batches as one batch and enters it, and
 that it replaces them, with one file.  Readers take the batches that the
 ledger names and that no fold replaced.
 
@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import base64
 import hashlib
+import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -40,7 +41,7 @@ from vendora.session import scratch_path
 GROUP = ["source", "lang", "version"]
 SUMS = ["n_docs", "n_tokens", "n_chars"]
 TOTALS = "source string, lang string, version string, n_docs long, n_tokens long, n_chars long"
-LEDGER = "batch string, state string"
+LEDGER = "batch string, state string, attempt string"
 
 _ENCODINGS: dict = {}
 
@@ -105,10 +106,12 @@ class Store:
     def ledger(self) -> DataFrame:
         return self.spark.read.schema(LEDGER).parquet(f"{self.path}/ledger").distinct()
 
-    def live(self) -> list[str]:
-        """Batches that make up the totals; folding keeps them few."""
-        rows = self.ledger().groupBy("batch").agg(F.collect_set("state").alias("s")).collect()
-        return sorted(r.batch for r in rows if "folded" not in r.s)
+    def live(self) -> dict[str, str]:
+        """Batch -> attempt of the batches that make up the totals; folding keeps them few.  Of a batch that
+        two senders wrote at once, one attempt counts."""
+        open_ = self.ledger().groupBy("batch").agg(F.bool_or(F.col("state") == "folded").alias("folded"),
+                                                   F.min(F.when(F.col("state") == "committed", F.col("attempt"))).alias("attempt"))
+        return {r.batch: r.attempt for r in open_.filter("NOT folded").orderBy("batch").collect()}
 
     def commit(self, batch: str, delta: DataFrame) -> bool:
         """Apply signed rows (source, lang, version, sign, n_tokens, n_chars) once; False if
@@ -117,14 +120,19 @@ class Store:
             return False
         sums = delta.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("n_docs"), F.sum(F.col("sign") * F.col("n_tokens")).cast("long").alias("n_tokens"),
                                          F.sum(F.col("sign") * F.col("n_chars")).cast("long").alias("n_chars"))
-        sums.write.mode("overwrite").parquet(f"{self.path}/totals/batch={batch}")
-        self._entries(self.spark.createDataFrame([(batch, "committed")], LEDGER))
+        self._entries(self.spark.createDataFrame([(batch, "committed", self._attempt(sums))], LEDGER))
         return True
 
-    def _sums(self, batches: list[str]) -> DataFrame:
+    def _attempt(self, sums: DataFrame) -> str:
+        """Write totals to a place of their own, which the ledger then names."""
+        name = uuid.uuid4().hex
+        sums.write.parquet(f"{self.path}/totals/attempt={name}")
+        return name
+
+    def _sums(self, batches: dict[str, str]) -> DataFrame:
         if not batches:
             return self.spark.createDataFrame([], TOTALS)
-        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/totals/batch={b}" for b in batches])
+        rows = self.spark.read.schema(TOTALS).parquet(*[f"{self.path}/totals/attempt={a}" for a in batches.values()])
         return rows.groupBy(*GROUP).agg(*[F.sum(c).alias(c) for c in SUMS])
 
     def totals(self) -> DataFrame:
@@ -136,8 +144,8 @@ class Store:
         if len(live) < 2:
             return
         name = "fold-" + hashlib.md5("\n".join(live).encode()).hexdigest()      # the same after a restart
-        self._sums(live).write.mode("overwrite").parquet(f"{self.path}/totals/batch={name}")
-        self._entries(self.spark.createDataFrame([(name, "committed"), *[(b, "folded") for b in live]], LEDGER))
+        attempt = self._attempt(self._sums(live))
+        self._entries(self.spark.createDataFrame([(name, "committed", attempt), *[(b, "folded", None) for b in live]], LEDGER))
 
 
 @query("op8_token_rollup")
