@@ -359,12 +359,16 @@ def op10(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", **how) -> DataFrame:
     """The rows of ``docs`` less all but the smallest id of each component, all their
-    columns kept.  Of rows with one id one stays."""
-    found = written(join(docs, key, text, **how), "jaccard-components")
-    stay = found.filter(F.col(key).eqNullSafe(F.col("component_id"))).select(F.col(key).alias("__key"))
-    repeated = stay.groupBy("__key").agg(F.count("*").alias("n")).filter("n > 1 AND __key IS NOT NULL").select("__key")
-    out = docs.join(stay.distinct(), docs[key].eqNullSafe(F.col("__key")), "left_semi")
+    columns kept.  A document is an id with its text: of rows with both alike one stays, rows of one
+    id with unlike texts are documents of their own."""
+    digest = F.xxhash64(F.coalesce(F.col(text).cast("string"), F.lit("")))
+    named = docs.select(F.struct(F.col(key).alias("k"), digest.alias("d")).alias("__id"), F.col(text).alias("__text"))
+    found = written(join(named, "__id", "__text", **how), "jaccard-components")
+    stay = found.filter(F.col("__id") == F.col("component_id")).select(F.col("__id.k").alias("__key"), F.col("__id.d").alias("__digest"))
+    repeated = stay.groupBy("__key", "__digest").agg(F.count("*").alias("n")).filter("n > 1").select("__key", "__digest")
+    same = lambda: docs[key].eqNullSafe(F.col("__key")) & (digest == F.col("__digest"))
+    out = docs.join(stay.distinct(), same(), "left_semi")
     if repeated.limit(1).count():
-        again = out.join(repeated, out[key] == F.col("__key"), "left_semi").dropDuplicates([key])
-        out = out.join(repeated, out[key] == F.col("__key"), "left_anti").unionByName(again)
+        again = out.join(repeated, same(), "left_semi").withColumn("__digest", digest).dropDuplicates([key, "__digest"]).drop("__digest")
+        out = out.join(repeated, same(), "left_anti").unionByName(again)
     return out
