@@ -21,6 +21,8 @@ from vendora.plans import q_baseline as qb
 from vendora.plans import q_calendar as qc
 from vendora.plans import q_diagnostics as qd
 from vendora.plans.registry import register
+from vendora.session import scratch_path
+from vendora.sources import csv_io as io
 
 CFG = md.EnsembleConfig()
 CAL_FACTORS = {"revenue": 1.31, "cogs": 1.32}   # fixed values: the final refit's level factors
@@ -32,11 +34,6 @@ def train_frame(spark, sf):
     return qc.training_frame(spark, sf)
 
 
-def horizon_features(spark, sf):
-    daily = qb.total_daily(spark, sf)
-    return co.feature_matrix(qb.horizon(spark, daily))
-
-
 TF_CTES = qc.FEATURE_CTES + [("tf", qc.feature_matrix_sql(
     ", coalesce(x.revenue, 0) AS revenue, coalesce(x.cogs, 0) AS cogs", "LEFT JOIN fx_sales x ON x.date = s.date"))]
 
@@ -116,21 +113,6 @@ def _wide(spark, sf, components, prefix):
     return c.groupBy("date").agg(*[F.max(F.when(F.col("target") == t, F.col("pred"))).alias(f"{prefix}_{t}") for t in CFG.targets])
 
 
-@register("ridge_forecast")
-def q_ridge(spark, sf):
-    """The distributed ridge: one least-squares job over all rows."""
-    base = train_frame(spark, sf).filter(F.least(*CFG.targets) > 0)
-    base = base.select("date", *cal.feature_names(), *[F.log(F.col(t).cast("double")).alias(f"y_{t}") for t in CFG.targets]).persist()
-    try:
-        fits = {t: md.fit_ridge(base, cal.feature_names(), f"y_{t}", CFG.ridge_alpha) for t in CFG.targets}
-    finally:
-        base.unpersist()
-    out = horizon_features(spark, sf).select("date", *cal.feature_names())
-    for t, (m, stats) in fits.items():
-        out = md.predict_ridge(m, stats, out, cal.feature_names(), f"ridge_{t}")
-    return out.select("date", *[f"ridge_{t}" for t in CFG.targets])
-
-
 @register("boosted_trees_base")
 def q_trees(spark, sf):
     best = horizon_components(spark, sf).filter("component = 'trees'")
@@ -197,6 +179,47 @@ def q_ensemble_residuals(spark, sf):
     return dg.residual_stats(ensemble_predictions(spark, sf).select((F.col("actual_revenue") - F.col("pred_revenue")).alias("residual")))
 
 
+@register("ensemble_error_correlation")
+def q_ensemble_correlation(spark, sf):
+    """Errors of the model's walk-forward predictions against the outside forecast's, by fold."""
+    return dg.error_correlation(ensemble_naive(spark, sf), ["fold"], "actual_revenue", "pred_revenue", "naive_revenue")
+
+
+@register("ensemble_weight_sweep")
+def q_ensemble_sweep(spark, sf):
+    """What the model gains by each weight of the outside forecast."""
+    return dg.weight_sweep(ensemble_naive(spark, sf), ["fold"], "actual_revenue", "pred_revenue", "naive_revenue")
+
+
+def ensemble_naive(spark, sf):
+    outside = qd.preds_naive(spark, sf).select("fold", "date", "naive_revenue")
+    return ensemble_predictions(spark, sf).join(outside, ["fold", "date"])
+
+
+def exported_ensemble(spark, sf):
+    """The ensemble's forecast written as the submission and read back."""
+    path = scratch_path(spark, "ensemble-submission")
+    io.export_forecast(q_ensemble(spark, sf), path, horizon=qb.HORIZON_DAYS)
+    back = spark.read.option("header", True).csv(path)
+    return back.select("Date", F.col("Revenue").cast("double"), F.col("COGS").cast("double"))
+
+
+@register("ensemble_export")
+def q_ensemble_export(spark, sf):
+    return exported_ensemble(spark, sf)
+
+
+@register("ensemble_export_contract", extra_ctes=qb.BASE_CTES, sql="""
+SELECT unnest(['row_count', 'revenue_not_null', 'cogs_not_null', 'revenue_non_negative', 'cogs_non_negative', 'days_of_the_horizon']) AS "check",
+       CAST(unnest([0, 0, 0, 0, 0, (SELECT count(*) FROM horizon)]) AS BIGINT) AS failures""")
+def q_ensemble_contract(spark, sf):
+    """The five output checks of the exported ensemble, and how many of its days are the horizon's."""
+    sub = exported_ensemble(spark, sf)
+    ahead = qb.horizon(spark, qb.total_daily(spark, sf)).select(F.date_format("date", "yyyy-MM-dd").alias("Date"))
+    inside = sub.join(ahead, "Date").agg(F.count("*").alias("failures")).select(F.lit("days_of_the_horizon").alias("check"), "failures")
+    return io.export_contract(sub, qb.HORIZON_DAYS).unionByName(inside)
+
+
 # ------------------------------------------------------------ panel
 
 @register("panel_training_rows", sql="""
@@ -215,7 +238,9 @@ def q_panel_forecast(spark, sf):
     """Ridge and trend forecasts of the horizon for every region x category series."""
     dense = cm.panel_dense(spark, sf)
     known = dense.select("series_id", "date", F.lit("train").alias("role"), *qb.VALUES)
-    ahead = dense.select("series_id").distinct().crossJoin(qb.horizon(spark, dense).select("date"))     # series x calendar
+    hi = dense.agg(F.max("date").alias("hi")).select("hi").scalar()
+    days = F.sequence(F.date_add(hi, 1), F.date_add(hi, qb.HORIZON_DAYS), F.expr("INTERVAL 1 DAY"))
+    ahead = dense.select("series_id").distinct().select("series_id", F.explode(days).alias("date"))
     rows = known.unionByName(ahead.select("series_id", "date", F.lit("score").alias("role"), *[F.lit(None).cast("double").alias(v) for v in qb.VALUES]))
     out = md.fit_predict(rows, all_features(rows), ["series_id"], md.EnsembleConfig(trend_start=None), components=("ridge", "trend"))
     return out.select("series_id", "target", "component", "date", "pred")

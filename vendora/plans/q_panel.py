@@ -6,6 +6,8 @@ SQL writes the dense form out; Spark reads runs, moments and pieces, so each row
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import functions as F
@@ -29,7 +31,7 @@ from vendora.plans.registry import register
 NAMES = cal.feature_names()
 TARGETS = ["revenue", "cogs"]
 KEYS = ["series_id"]
-FOLDS = [(f, end) for f, end, _, _ in bt.FOLDS]
+FOLDS = [(f, end) for f, end, _, _ in bt.FOLDS] + [("ALL", None)]       # ALL: up to the last day, for the forecast
 
 # ------------------------------------------------------------ SQL side
 
@@ -44,7 +46,8 @@ DENSE_PANEL_CTE = ("dense_panel", """
     SELECT s.series_id, d.date, coalesce(p.revenue, 0) AS revenue, coalesce(p.cogs, 0) AS cogs
     FROM (SELECT DISTINCT series_id FROM panel_and_total) s CROSS JOIN spine d
     LEFT JOIN panel_and_total p ON p.series_id = s.series_id AND p.date = d.date""")
-CTES = qc.FEATURE_CTES + FEATURES_LONG + [SPARSE_CTE, qb.FOLDS_CTE]
+FOLDS_CTE = ("folds", "SELECT fold, train_end FROM (" + qb.FOLDS_CTE[1] + ") f UNION ALL SELECT 'ALL', DATE '9999-12-31'")
+CTES = qc.FEATURE_CTES + FEATURES_LONG + [SPARSE_CTE, FOLDS_CTE]
 
 # ------------------------------------------------------------ Spark side
 
@@ -76,14 +79,16 @@ def panel_fits(spark, sf, zero_days="drop"):
     return cm.materialized(spark, sf, f"panel_fits_{zero_days}", build)
 
 
-@register("panel_zscores", rounding={"mu": 6, "sigma": 6}, extra_ctes=CTES, sql=f"""
-SELECT series_id, fold, feature, count(*) AS n, avg(v) AS mu, CASE WHEN stddev_pop(v) = 0 THEN 1.0 ELSE stddev_pop(v) END AS sigma
+@register("panel_zscores", rounding={"total": 4, "sigma": 6}, extra_ctes=CTES, sql=f"""
+SELECT series_id, fold, feature, count(*) AS n, sum(v) AS total, CASE WHEN stddev_pop(v) = 0 THEN 1.0 ELSE stddev_pop(v) END AS sigma
 FROM (SELECT p.series_id, f.fold, unnest({_FEATURES}) AS feature, unnest(t.x) AS v
       FROM panel_and_total p JOIN folds f ON p.date <= f.train_end JOIN tfa t ON t.date = p.date WHERE p.revenue > 0) e
 GROUP BY series_id, fold, feature""")
 def q_zscores(spark, sf):
-    """Means and deviations of the features over each series' selling days, by fold, out of the merged moments."""
-    return pr.zscores(panel_fits(spark, sf).filter("target = 'revenue'"), KEYS, NAMES).drop("target")
+    """Means (as totals over n, which are whole numbers for most features) and deviations of the features over each series'
+    selling days, by fold, out of the merged moments."""
+    z = pr.zscores(panel_fits(spark, sf).filter("target = 'revenue'"), KEYS, NAMES)
+    return z.select("series_id", "fold", "feature", "n", (F.col("mu") * F.col("n")).alias("total"), "sigma")
 
 
 def _optimality(spark, sf, zero_days):
@@ -95,7 +100,7 @@ def _optimality(spark, sf, zero_days):
     feats = co.feature_matrix(co.date_spine(spark, lo, hi)).select("date", F.array(*[F.col(c).cast("double") for c in NAMES]).alias("x"))
     long = rows.select("series_id", "date", F.explode(F.array(*[F.struct(F.lit(t).alias("target"), F.col(t).alias("y")) for t in TARGETS])).alias("t"))
     long = long.select("series_id", "date", "t.target", "t.y").filter("y > 0" if zero_days == "drop" else "true")
-    folds = bt.folds_df(spark).select("fold", "train_end")
+    folds = spark.createDataFrame([(f, end or "9999-12-31") for f, end in FOLDS], "fold string, train_end string").withColumn("train_end", F.col("train_end").cast("date"))
     long = long.join(F.broadcast(folds), F.col("date") <= F.col("train_end")).drop("train_end")
     by = [*KEYS, "fold", "target"]
     own = F.log(F.greatest("y", F.lit(1.0))) - pr.score(F.col("x"), F.col("mu"), F.col("sigma"), F.col("coef"), F.col("intercept"))
@@ -115,12 +120,12 @@ SELECT p.series_id, f.fold, '{t}' AS target, count(*) AS n_train, count(*) AS n_
 FROM {source} p JOIN folds f ON p.date <= f.train_end WHERE {where.format(t=t)} GROUP BY p.series_id, f.fold""" for t in TARGETS)
 
 
-@register("panel_ridge_optimality", rounding={"intercept": 6}, extra_ctes=[SPARSE_CTE, qb.FOLDS_CTE], sql=_optimality_sql("panel_and_total", "p.{t} > 0"))
+@register("panel_ridge_optimality", rounding={"intercept": 6}, extra_ctes=[SPARSE_CTE, FOLDS_CTE], sql=_optimality_sql("panel_and_total", "p.{t} > 0"))
 def q_optimality(spark, sf):
     return _optimality(spark, sf, "drop")
 
 
-@register("panel_ridge_all_days_optimality", rounding={"intercept": 6}, extra_ctes=[qc.SPINE_CTE, SPARSE_CTE, DENSE_PANEL_CTE, qb.FOLDS_CTE],
+@register("panel_ridge_all_days_optimality", rounding={"intercept": 6}, extra_ctes=[qc.SPINE_CTE, SPARSE_CTE, DENSE_PANEL_CTE, FOLDS_CTE],
           sql=_optimality_sql("dense_panel", "true"))
 def q_optimality_keep(spark, sf):
     """The fit on all days came from sparse rows and the calendar; the check reads the dense frame."""
@@ -138,6 +143,17 @@ def q_panel_backtest(spark, sf):
     return p.groupBy(*KEYS, "fold", "date").pivot("target", TARGETS).agg(F.first("pred")).withColumnsRenamed({t: f"pred_{t}" for t in TARGETS})
 
 
+@register("ridge_forecast")
+def q_ridge(spark, sf):
+    """The company total's ridge over the horizon, out of the same moments (``panel_ridge_optimality`` proves its fit in SQL:
+    series TOTAL, fold ALL)."""
+    known = calendar(spark, sf, ahead=qb.HORIZON_DAYS)
+    last = dt.date.fromisoformat(span(spark, sf)[1])
+    ahead = (str(last + dt.timedelta(1)), str(last + dt.timedelta(qb.HORIZON_DAYS)))
+    p = pr.predict(panel_fits(spark, sf).filter("series_id = 'TOTAL'"), known, KEYS, {"ALL": ahead})
+    return p.groupBy("date").pivot("target", TARGETS).agg(F.first("pred")).withColumnsRenamed({t: f"ridge_{t}" for t in TARGETS})
+
+
 # ------------------------------------------------------------ sparse days
 
 RUNS_SQL = """
