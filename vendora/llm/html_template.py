@@ -54,10 +54,11 @@ CONSTANT = 0.9             # of the host's pages, for a text block that belongs
 MAIN_SHARE = 0.5           # of the host's text, for an article or main element to be the main slot
 
 # Elements of HTML by how they are read.
-RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|math|title|button|option|canvas|video|audio"
+RAW = "script|style|noscript|template|textarea|select|iframe|object|svg|title|button|option|canvas|video|audio"
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 INLINE = set("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike "
-             "strong sub sup time tt u var wbr img".split())
+             "strong sub sup time tt u var wbr img "
+             "math mi mn mo ms mtext mspace mrow mfrac msqrt mroot msub msup msubsup mover munder munderover mstyle mfenced mpadded semantics".split())
 NOISE_TAGS = set("nav aside footer form head menu dialog".split())
 CLOSED_BY_SIBLING = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 ENDS_P = set("p div ul ol dl table section article aside nav header footer main form h1 h2 h3 h4 h5 h6 blockquote pre address figure fieldset hr".split())
@@ -65,13 +66,22 @@ NOISE_WORDS = set("ad ads adv advert adverts advertisement advertising sponsor s
                   "notices alert popup modal overlay newsletter subscribe subscription signup login comment comments commentlist respond reply replies disqus "
                   "sidebar side widget widgets menu nav navbar navigation navigator breadcrumb breadcrumbs header masthead topbar footer "
                   "copyright share sharing social related recommended pager pagination search toolbar skip".split())
+# Words that say nothing on their own: with a noise word they name a kind of noise (comment-list, ad-box).
+NEUTRAL = set("list box container wrapper wrap block section area inner outer item items row col panel top bottom left right main content text title body "
+              "link links button buttons icon icons bar form field group js css".split())
 NOISE_ROLES = set("navigation banner complementary contentinfo search form menu dialog alert".split())
 
 TOKEN = re.compile(
     rf"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(?P<raw>{RAW})\b[^>]*>(?:.*?</(?P=raw)\s*>|.*\Z)"
-    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S | re.I)
+    r"|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attr>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>"
+    # a quote that is never closed: the tag ends at its bracket
+    r"|<(?P<end2>/?)(?P<tag2>[a-zA-Z][^\s/>]*)(?P<attr2>[^>]*)>", re.S | re.I)
 ATTR = re.compile(r"\b(class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
-HIDDEN = re.compile(r"(?:^|\s)hidden(?:\s|=|$|/)|display\s*:\s*none", re.I)
+# the attribute itself, or a style; other attributes' values may say what they like
+QUOTED = re.compile(r"\"[^\"]*\"|'[^']*'")
+HIDDEN = re.compile(r"(?:^|\s)hidden(?=\s|=|$|/)", re.I)
+UNSHOWN = re.compile(r"\bstyle\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+)", re.I)
+NONE = re.compile(r"display\s*:\s*none", re.I)
 SPLIT = re.compile(r"[^a-z0-9]+")
 
 
@@ -85,12 +95,28 @@ class Node:
 def is_noise(tag: str, names: str, role: str, in_article: bool, attr: str) -> bool:
     if tag in NOISE_TAGS or role in NOISE_ROLES or (tag == "header" and not in_article):
         return True
-    if attr and HIDDEN.search(attr):
+    if attr and hidden(attr):
         return True
     if not names or tag in ("html", "body", "article", "main"):
         return False
-    found = NOISE_WORDS.intersection(SPLIT.split(names.lower()))
-    return bool(found - {"header"} if in_article else found)
+    if in_article:
+        # within an article a name must be noise as a whole: side-effects, search-engines and notice-board are its topics
+        return any(noise_name(name) for name in names.lower().split())
+    return not NOISE_WORDS.isdisjoint(SPLIT.split(names.lower()))
+
+
+def noise_name(name: str) -> bool:
+    """Is every part of a class or id a noise word, or one that says nothing beside it?"""
+    parts = [p for p in SPLIT.split(name) if p and not p.isdigit()]
+    found = NOISE_WORDS.intersection(parts) - {"header"}
+    return bool(found) and all(p in NOISE_WORDS or p in NEUTRAL for p in parts)
+
+
+def hidden(attr: str) -> bool:
+    if "hidden" in attr.lower() and HIDDEN.search(QUOTED.sub('""', attr)):
+        return True
+    style = UNSHOWN.search(attr)
+    return bool(style and NONE.search(style.group(1)))
 
 
 def read(page: str):
@@ -121,10 +147,10 @@ def read(page: str):
         if m.start() > at:
             text.append(page[at:m.start()])
         at = m.end()
-        tag = (m.group("tag") or "").lower()
+        tag = (m.group("tag") or m.group("tag2") or "").lower()
         if not tag:
             continue                        # comment, declaration or an element whose content isn't text
-        if m.group("end"):
+        if m.group("end") or m.group("end2"):
             for k in range(len(stack) - 1, 0, -1):
                 if stack[k].tag == tag:
                     if tag not in INLINE:
@@ -146,7 +172,7 @@ def read(page: str):
             siblings = CLOSED_BY_SIBLING.get(tag, {"p"} if tag in ENDS_P else ())
             if stack[-1].tag in siblings:
                 stack.pop()
-        attrs = m.group("attr")
+        attrs = m.group("attr") if m.group("tag") else m.group("attr2")
         names = role = ""
         if "=" in attrs:
             for name, value in ATTR.findall(attrs):
