@@ -66,7 +66,7 @@ def sample_ids(docs: DataFrame, labels: DataFrame, max_positive: int, max_unlabe
     order = F.xxhash64("doc_id")
     toxic = (labels.filter(F.col("toxic") == 1).select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull())
              .distinct().orderBy(order, "doc_id").limit(max_positive))
-    any_ = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).orderBy(order, "doc_id").limit(max_unlabelled)
+    any_ = docs.select("doc_id").filter(~held_out() & F.col("doc_id").isNotNull()).distinct().orderBy(order, "doc_id").limit(max_unlabelled)
     return toxic.withColumn("positive", F.lit(True)).unionByName(any_.withColumn("positive", F.lit(False)))
 
 
@@ -120,19 +120,33 @@ def fit_nnpu(positive: list, unlabelled: list, prior: float, steps: int = 400, r
 def fit(docs: DataFrame, labels: DataFrame, max_positive: int = 4000, max_unlabelled: int = 10000):
     """(weights, bias) learned from the folds that are not held out."""
     ids = sample_ids(docs, labels, max_positive, max_unlabelled)
-    known = labels.filter(~held_out()).agg(F.avg(F.col("toxic").cast("double"))).first()[0]
-    # bounded by the two limits above, so its size is known
+    known = labels.filter(~held_out()).select("doc_id", "toxic").distinct().agg(F.avg(F.col("toxic").cast("double"))).first()[0]
+    # bounded by the two limits above, so its size is known; an id that stands in many rows gives one text
     text = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(ids), "doc_id")
-    rows = text.select("text", "positive").mapInArrow(_sample_features, "positive boolean, features array<int>").toArrow()
-    sets: dict = {True: {}, False: {}}
-    for pos, feats in zip(rows.column("positive").to_pylist(), rows.column("features")):
-        a = np.asarray(feats.values)
-        sets[pos].setdefault(a.tobytes(), a)
-    ordered = {k: [d[x] for x in sorted(d)] for k, d in sets.items()}       # the same fit whatever the row order
+    text = text.groupBy("doc_id", "positive").agg(F.min("text").alias("text"))
+    rows = text.select("text", "positive").mapInArrow(_sample_features, "positive boolean, features array<int>")
     prior = float(np.clip(known or 0.0, 1e-3, 0.5))
-    if not ordered[True]:
+    # the sample is bounded, so one task fits it; the driver gets the weights alone
+    got = rows.repartition(1).mapInArrow(_fitted(prior), "weights binary, bias double").first()
+    if got is None:
         return np.zeros(1 << BITS, np.float32), float(np.log(prior / (1 - prior))) if known else -30.0
-    return fit_nnpu(ordered[True], ordered[False], prior)
+    return np.frombuffer(bytes(got.weights), np.float32), got.bias
+
+
+def _fitted(prior: float):
+    """The sample's rows (positive, features) in; one row with weights and bias out, none without positives."""
+
+    def run(batches):
+        sets: dict = {True: {}, False: {}}
+        for batch in batches:
+            for pos, feats in zip(batch.column(0).to_pylist(), batch.column(1)):
+                a = np.array(feats.values)
+                sets[pos].setdefault(a.tobytes(), a)
+        ordered = {k: [d[x] for x in sorted(d)] for k, d in sets.items()}       # the same fit whatever the row order
+        if ordered[True]:
+            w, b = fit_nnpu(ordered[True], ordered[False], prior)
+            yield pa.RecordBatch.from_arrays([pa.array([w.tobytes()], pa.binary()), pa.array([b])], names=["weights", "bias"])
+    return run
 
 
 def scorer(weights, bias: float):
