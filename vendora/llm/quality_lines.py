@@ -9,8 +9,8 @@ rejected.  A few single-document rules (``base_*``) go with it.
 
 Shuffles carry hashes and counts, never texts; counts are summed in each task
 before they are shuffled, so a host or line that holds a third of the rows
-arrives as one row for each task.  Rows are counted first; documents only for the lines that
-enough rows hold.
+arrives as one row for each task.  Lines are split once, into a table; places are counted first,
+documents only for the lines that stand in enough of them.
 
 Cases: null and empty texts have no words and fail the base rule; a null source
 is a host of its own; a document is an id (a text where the id is null), so repeated
@@ -81,27 +81,29 @@ def base_counts(docs: DataFrame, key: str = "doc_id", text: str = "text") -> Dat
     return out.withColumn("base_failed", (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")))
 
 
-def frequent_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
-                   max_docs: int = MAX_DOCS) -> DataFrame:
-    """(host, line, n_rows) of the lines in more rows than the limit: all that may be in more documents."""
-    once = _body(docs, key, text, host).select("host", F.explode(F.expr(f"array_distinct(transform({LINES}, z -> z.line))")).alias("line"))
-    return once.groupBy("host", "line").agg(F.count("*").alias("n_rows")).filter(F.col("n_rows") > max_docs)
+def line_rows(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source") -> DataFrame:
+    """(key, digest, host, at, line, words) of every line with a word, written: lines are split and normalised once."""
+    at = _body(docs, key, text, host).select("key", "digest", "host", F.posexplode(F.expr(LINES)).alias("at", "z"))
+    return written(at.select("key", "digest", "host", "at", F.col("z.line").alias("line"), F.col("z.words").cast("int").alias("words")), "quality-lines")
+
+
+def _over(counted: DataFrame, max_docs: int) -> DataFrame:
+    many = counted.groupBy("host", "line").agg(F.count("*").alias("n")).filter(F.col("n") > max_docs)
+    return many.select(F.col("host").alias("host_"), F.col("line").alias("line_"))
 
 
 def removed_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", host: str = "source",
                   max_docs: int = MAX_DOCS) -> DataFrame:
     """For each document (key, digest of its text) that loses lines: their hashes
     and the words that go with them."""
-    at = _body(docs, key, text, host).select("key", "digest", "host", F.posexplode(F.expr(LINES)).alias("at", "z"))
-    at = at.select("key", "digest", "host", "at", F.col("z.line").alias("line"), F.col("z.words").alias("words"))
-    often = frequent_lines(docs, key, text, host, max_docs).select(F.col("host").alias("host_"), F.col("line").alias("line_"))
-    at = written(at.join(often, (F.col("line") == F.col("line_")) & F.col("host").eqNullSafe(F.col("host_"))).drop("line_", "host_"), "quality-frequent")
+    at = line_rows(docs, key, text, host)
+    same = (F.col("line") == F.col("line_")) & F.col("host").eqNullSafe(F.col("host_"))
+    # only a line that stands in more places than the limit can be in more documents
+    at = written(at.join(_over(at, max_docs), same).drop("line_", "host_"), "quality-frequent")
     # rows repeat, documents count: each id once for a line, or each text where ids are null
     docs_of = at.select("host", "line", "key", F.when(F.col("key").isNull(), F.col("digest")).alias("unnamed")).distinct()
-    over = (docs_of.groupBy("host", "line").agg(F.count("*").alias("n_docs")).filter(F.col("n_docs") > max_docs)
-            .select(F.col("host").alias("host_"), F.col("line").alias("line_")))
     # the place tells repeats of a line apart and makes repeated rows count once
-    gone = (at.join(over, (F.col("line") == F.col("line_")) & F.col("host").eqNullSafe(F.col("host_")))
+    gone = (at.join(_over(docs_of, max_docs), same)
             .groupBy("key", "digest").agg(F.collect_set(F.struct("at", "line", "words")).alias("gone")))
     return gone.select("key", "digest", F.array_distinct(F.transform("gone", lambda g: g["line"])).alias("lines"),
                        F.aggregate("gone", F.lit(0).cast("long"), lambda a, g: a + g["words"]).alias("n_removed_words"))
