@@ -1,17 +1,18 @@
 """Quality classifier: perplexity under an interpolated modified Kneser-Ney model.
 
-The model is learned from trusted text (documents labelled good).  Its units are
-bytes folded into ``SIZE`` symbols (letters without case, digits, white space, line
-breaks, groups of punctuation, groups of non-ASCII bytes, the text's edge), its
-order is ``ORDER``.  Each document gets the perplexity of its whole text; it is kept
+The model is learned from trusted text (documents labelled good).  Its units are the
+bytes of the text, each a symbol of its own, and the text's edge; its order is
+``ORDER``.  Each document gets the perplexity of its whole text; it is kept
 if that is at most its language's threshold, the ``QUANTILE`` of the trusted
 documents of the language (of all trusted documents where a language has none).
 
-Counts are sharded by n-gram: each task adds up its own texts, then n-grams meet by
-their code.  The discounts, the continuation counts of the lower orders and the
-interpolation weights come from joins of these tables on the context codes.  All
-tables have at most SIZE**ORDER rows whatever the corpus, so the finished model
-(about 10 MB) is sent to every task; per-document sums need no shuffle of texts.
+Counts are sharded by n-gram and grow with the corpus: no task and no driver holds
+them all.  Each task adds up its own texts, then n-grams meet in buckets by the two
+symbols before their last, where all longer contexts of an n-gram are whole: a bucket
+has the continuation counts, totals and interpolation weights of orders 3 and up.
+Only orders 1 and 2 (at most 257 * 257 numbers) and the discounts are sent to every
+task.  Documents go in blocks that ask the buckets for the n-grams they hold (see
+lm_blocks) and get a log probability for each.
 
 Quantiles are exact on a grid of 1/1000 of log10 perplexity, from counts by
 language and grid cell.
@@ -31,29 +32,23 @@ from pyspark.sql import functions as F
 
 from vendora.llm import textgrid as tg
 from vendora.llm.bits import may_hold
+from vendora.llm.lm_blocks import BLOCK, Slots, count_distinct, n_buckets
 from vendora.llm.registry import query, table, written
 
-ORDER = 4
-SIZE = 40
-EDGE = 39
+ORDER = 6
+SIZE = 257
+EDGE = 256
+WIDTH = 9                  # bits of a symbol
+LOW = 2                    # orders known to every task
 QUANTILE = 0.995
 GRID = 1000
+SPREAD = 2654435761        # multiplier that spreads neighbouring contexts over the buckets
+HELD = 1 << 22             # n-grams a task adds up before it sends them on
+FOLD = np.arange(256)      # symbol of each byte
 
 
-def _fold() -> np.ndarray:
-    out = np.full(256, 34, np.int64)                    # anything else
-    out[[0x20, 0x09, 0x0B, 0x0C, 0x0D]] = 26
-    out[0x0A] = 27
-    for i in range(26):
-        out[65 + i] = out[97 + i] = i
-    for k, chars in ((28, "0123456789"), (29, ".!?"), (30, ",;:"), (31, "\"'()[]{}-"), (32, "#*$%&|<>"), (33, "@^~+=_\\/`")):
-        out[[ord(c) for c in chars]] = k
-    out[0xC0:] = 35                                     # first byte of a character outside ASCII
-    out[0x80:0x90], out[0x90:0xA0], out[0xA0:0xB0], out[0xB0:0xC0] = 36, 37, 38, 38
-    return out
-
-
-FOLD = _fold()
+def _mask(order: int) -> int:
+    return (1 << (WIDTH * order)) - 1
 
 
 def codes(col) -> tuple[np.ndarray, np.ndarray]:
@@ -72,79 +67,209 @@ def codes(col) -> tuple[np.ndarray, np.ndarray]:
         prev = np.full(len(sym), EDGE, np.int64)
         prev[k:] = sym[:len(sym) - k]
         prev[place < k] = EDGE
-        code += prev * SIZE ** k
+        code |= prev << (WIDTH * k)
     return code, ptr
 
 
 def count_grams(batches):
-    total = np.zeros(SIZE ** ORDER, np.int64)
+    """(gram, n) of a task's texts, each gram a few times at most."""
+    keys, counts, size = [], [], 0
     for batch in batches:
         for part in tg.slices(batch):
-            code, _ = codes(part.column(0))
-            total += np.bincount(code, minlength=len(total))
-    seen = np.flatnonzero(total)
-    yield pa.RecordBatch.from_arrays([pa.array(seen.astype(np.int64)), pa.array(total[seen])], names=["gram", "n"])
+            k, c = np.unique(codes(part.column(0))[0], return_counts=True)
+            keys.append(k)
+            counts.append(c)
+            size += len(k)
+            if size > HELD:
+                k, c = count_distinct(keys, counts)
+                keys, counts, size = [k], [c], len(k)
+                if size > HELD // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["gram", "n"])
+                    keys, counts, size = [], [], 0
+    k, c = count_distinct(keys, counts)
+    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["gram", "n"])
+
+
+def _bucket(gram, n: int):
+    """Bucket of grams by the two symbols before the last; of a NumPy array or a column."""
+    if isinstance(gram, np.ndarray):
+        return ((gram >> WIDTH & _mask(2)) * SPREAD >> 13) % n
+    return F.shiftright(F.shiftright(gram, WIDTH).bitwiseAND(_mask(2)) * SPREAD, 13) % n
 
 
-def discounts(counts: DataFrame) -> list[float]:
+def discounts(n1: float, n2: float, n3: float, n4: float) -> list[float]:
     """The three discounts of an order from how many n-grams occur 1 to 4 times."""
-    n1, n2, n3, n4 = (float(x or 0) for x in counts.agg(*[F.sum((F.col("n") == k).cast("long")) for k in (1, 2, 3, 4)]).first())
     if not (n1 and n2):
         return [0.5, 0.75, 0.9]                         # too few n-grams to estimate from
     y = n1 / (n1 + 2 * n2)
     return [max(0.0, 1 - 2 * y * n2 / n1), max(0.0, 2 - 3 * y * n3 / n2), max(0.0, 3 - 4 * y * (n4 / n3 if n3 else 0))]
 
 
-def train(texts: DataFrame) -> np.ndarray:
-    """log10 probability of each n-gram's last symbol, by n-gram code."""
-    top = written(texts.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")), "kn-counts")
-    by_order = {ORDER: top}
-    for k in range(ORDER - 1, 0, -1):
-        # continuation counts: in how many different longer n-grams
-        by_order[k] = by_order[k + 1].groupBy((F.col("gram") % SIZE ** k).alias("gram")).agg(F.count("*").alias("n"))
-    p = np.full(SIZE, 1.0 / SIZE)
-    for k in range(1, ORDER + 1):
-        counts = by_order[k]
-        d = discounts(counts)
-        cut = F.when(F.col("n") == 1, d[0]).when(F.col("n") == 2, d[1]).otherwise(d[2])
-        context = F.floor(F.col("gram") / SIZE).cast("long")
-        rows = counts.withColumn("context", context).withColumn("cut", cut)
-        totals = rows.groupBy("context").agg(F.sum("n").alias("total"), F.sum("cut").alias("mass"))
-        own = rows.join(totals, "context").select("gram", "context", ((F.col("n") - F.col("cut")) / F.col("total")).alias("own"), (F.col("mass") / F.col("total")).alias("weight"))
-        got = own.toArrow()                             # at most SIZE ** k rows
-        gram, ctx = got.column("gram").to_numpy(), got.column("context").to_numpy()
-        weight = np.ones(SIZE ** (k - 1))
-        weight[ctx] = got.column("weight").to_numpy()
-        # the shorter context's probabilities, for every context of this order
-        full = (weight[:, None] * np.tile(p.reshape(-1, SIZE), (SIZE if k > 1 else 1, 1))[:len(weight)]).ravel()
-        full[gram] += got.column("own").to_numpy()
-        p = full
-    return np.log10(p).astype(np.float32)
-
-
-def scorer(model):
-    def run(batches):
-        logs = model.value
-        for batch in batches:
-            for part in tg.slices(batch):
-                code, ptr = codes(part.column(part.schema.get_field_index("text")))
-                total = np.add.reduceat(logs[code].astype(np.float64), ptr[:-1])
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(np.diff(ptr)), pa.array(total)],
-                                                 names=["key", "lang", "n_symbols", "log_prob"])
+def _orders(gram: np.ndarray, n: np.ndarray) -> dict:
+    """order -> (codes, counts) of a bucket: occurrences at the top, below in how many different longer n-grams."""
+    out = {ORDER: count_distinct([gram], [n])}
+    for k in range(ORDER - 1, LOW, -1):
+        longer = out[k + 1][0] & _mask(k)
+        out[k] = count_distinct([longer], [np.ones(len(longer), np.int64)])
+    return out
+
+
+def _numpy(column) -> np.ndarray:
+    return column.combine_chunks().to_numpy(zero_copy_only=False) if isinstance(column, pa.ChunkedArray) else column.to_numpy()
+
+
+def bucket_stats(tab):
+    """How many n-grams of each order from 3 occur 1 to 4 times (``gram`` is that number), and in
+    how many different longer ones each of order 2 occurs."""
+    levels = _orders(_numpy(tab.column("gram")), _numpy(tab.column("n")))
+    order, gram, n = [], [], []
+    for k, (_, c) in levels.items():
+        order.append(np.full(4, k))
+        gram.append(np.arange(1, 5))
+        n.append(np.bincount(np.minimum(c, 5), minlength=6)[1:5])
+    two, c = count_distinct([levels[LOW + 1][0] & _mask(LOW)], [np.ones(len(levels[LOW + 1][0]), np.int64)])
+    order.append(np.full(len(two), LOW))
+    return pa.table({"gram_order": pa.array(np.concatenate([*order]).astype(np.int32)), "gram": pa.array(np.concatenate([*gram, two]).astype(np.int64)),
+                     "n": pa.array(np.concatenate([*n, c]).astype(np.int64))})
+
+
+def _look(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Value of each wanted key, 0 where it is missing; ``keys`` sorted."""
+    if not len(keys):
+        return np.zeros(len(wanted), values.dtype)
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, values[at], 0)
+
+
+def _refine(p: np.ndarray, code: np.ndarray, gram: np.ndarray, n: np.ndarray, cuts: list[float]) -> np.ndarray:
+    """Probabilities of an order from those of the order below, for the n-grams ``code`` of this order."""
+    cut = np.asarray(cuts)[np.minimum(n, 3) - 1]
+    context, total = count_distinct([gram >> WIDTH], [n])
+    mass = np.bincount(np.searchsorted(context, gram >> WIDTH), cut, len(context))
+    all_n = _look(context, total, code >> WIDTH)
+    own = _look(gram, n - cut, code)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return np.where(all_n > 0, (own + _look(context, mass, code >> WIDTH) * p) / all_n, p)
+
+
+def low_orders(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """Probability of order 2 by code, from the counts of order 2."""
+    code = np.arange(1 << (WIDTH * LOW))
+    by_order = {2: count_distinct([gram], [n])}
+    by_order[1] = count_distinct([gram & _mask(1)], [np.ones(len(gram), np.int64)])
+    p = np.full(len(code), 1.0 / SIZE)
+    for k in (1, 2):
+        g, c = by_order[k]
+        if len(g):
+            p = _refine(p, code & _mask(k), g, c, discounts(*(float((c == j).sum()) for j in (1, 2, 3, 4))))
+    return p
+
+
+def train(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, dict]:
+    """Counts of the top order by bucket, order 2's probabilities, and the discounts of the orders above."""
+    top = texts.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+    top = written(top.select(_bucket(F.col("gram"), n).cast("int").alias("bucket"), "gram", "n"), "kn-counts")
+    # at most 257 * 257 rows and four for each order
+    got = (top.groupBy("bucket").applyInArrow(bucket_stats, "gram_order int, gram long, n long")
+           .groupBy("gram_order", "gram").agg(F.sum("n").alias("n")).toArrow())
+    order, gram, count = (got.column(c).to_numpy() for c in ("gram_order", "gram", "n"))
+    cuts = {}
+    for k in range(LOW + 1, ORDER + 1):
+        seen = {int(g): float(c) for g, c in zip(gram[order == k], count[order == k])}
+        cuts[k] = discounts(*(seen.get(j, 0.0) for j in (1, 2, 3, 4)))
+    return top, low_orders(gram[order == LOW], count[order == LOW]), cuts
+
+
+def block_grams(tab, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """A block's different n-grams and their buckets, by bucket and n-gram."""
+    pieces = [np.unique(codes(part.column("text"))[0]) for part in tg.slices(tab.select(["text"]))]
+    k, _ = count_distinct(pieces, [np.zeros(len(x), np.int64) for x in pieces])
+    bucket = _bucket(k, n)
+    at = np.lexsort((k, bucket))
+    return k[at], bucket[at]
+
+
+def _lists(arrays: list, kind):
+    ptr = np.concatenate([[0], np.cumsum([len(a) for a in arrays])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ptr), pa.array(np.concatenate(arrays).astype(kind) if arrays else np.zeros(0, kind)))
+
+
+def ask(n: int):
+    """A block's n-grams, one row for each bucket."""
+
+    def run(key, tab):
+        k, bucket = block_grams(tab, n)
+        cut = np.flatnonzero(np.append(True, bucket[1:] != bucket[:-1]))
+        return pa.table({"bucket": pa.array(bucket[cut].astype(np.int32)), "block": pa.array(np.full(len(cut), key[0].as_py(), np.int32)),
+                         "grams": _lists(np.split(k, cut[1:]), np.int64)})
     return run
 
 
+def answer(model):
+    """All blocks' rows of a bucket and the bucket's counts in; for each block the log10 probabilities
+    of its n-grams' last symbols out, in the order it asked."""
+
+    def run(key, asked, counts):
+        low, cuts = model.value
+        grams = asked.column("grams").combine_chunks()
+        grams = grams.chunk(0) if isinstance(grams, pa.ChunkedArray) else grams
+        ptr = np.asarray(grams.offsets) - grams.offsets[0].as_py() if len(grams) else np.zeros(1, int)
+        code, back = np.unique(np.asarray(grams.flatten()), return_inverse=True)
+        levels = _orders(_numpy(counts.column("gram")), _numpy(counts.column("n")))
+        p = low[code & _mask(LOW)]
+        for k in range(LOW + 1, ORDER + 1):
+            if len(levels[k][0]):
+                p = _refine(p, code & _mask(k), *levels[k], cuts[k])
+        logs = pa.ListArray.from_arrays(pa.array(ptr.astype(np.int32)), pa.array(np.log10(p)[back].astype(np.float32)))
+        return pa.table({"block": asked.column("block"), "bucket": asked.column("bucket"), "logs": logs})
+    return run
+
+
+def score_block(n: int):
+    """A block's documents and the answers to it in, their log probabilities out."""
+
+    def run(key, docs, answers):
+        k, _ = block_grams(docs, n)
+        logs = _numpy(answers.sort_by("bucket").column("logs").combine_chunks().flatten())
+        at = np.argsort(k)
+        slots, logs = Slots(k[at]), logs[at].astype(np.float64)
+        out = []
+        for part in tg.slices(docs):
+            code, ptr = codes(part.column("text"))
+            out.append(pa.table({"key": part.column("key"), "lang": part.column("lang"), "n_symbols": pa.array(np.diff(ptr)),
+                                 "log_prob": pa.array(np.add.reduceat(logs[slots.find(code)], ptr[:-1]))}))
+        return pa.concat_tables(out)
+    return run
+
+
+def score(src: DataFrame, trusted: DataFrame) -> DataFrame:
+    """(key, lang, n_symbols, log_prob) of every row of (key, lang, text); ``trusted``: the keys to learn from."""
+    total, rows = src.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
+    n_blocks = max(1, -(-((total or 0) + 64 * rows) // BLOCK))
+    n = n_buckets(n_blocks)
+    ident = F.xxhash64(F.col("key").cast("string"))
+    # only trusted texts (and a few others, which the join drops) are shuffled; a task adds up about a block of
+    # them: the more text it has, the fewer n-grams leave it
+    few = may_hold(src, ident, trusted.select(ident.alias("ident")), "ident")
+    tasks = max(1, -(-n_blocks * min(trusted.count(), rows) // max(rows, 1)))
+    texts = few.join(trusted.hint("merge"), "key", "left_semi").select("text").coalesce(tasks)
+    top, low, cuts = train(texts, n)
+    model = src.sparkSession.sparkContext.broadcast((low, cuts))
+    block = F.pmod(F.xxhash64(F.col("key").cast("string"), "text"), F.lit(n_blocks)).cast("int")
+    docs = src.select(block.alias("block"), "key", "lang", "text")
+    asked = docs.groupBy("block").applyInArrow(ask(n), "bucket int, block int, grams array<long>")
+    answers = (asked.groupBy("bucket").cogroup(top.groupBy("bucket"))
+               .applyInArrow(answer(model), "block int, bucket int, logs array<float>"))
+    kind = src.schema["key"].dataType.simpleString()
+    return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(n), f"key {kind}, lang string, n_symbols long, log_prob double")
+
+
 def classify(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang",
              quantile: float = QUANTILE) -> DataFrame:
     """(key, lang, n_symbols, log_prob, perplexity, threshold, kept) of every row."""
     trusted = labels.filter(F.col("quality") == 1).select(F.col("doc_id").alias("key")).distinct()
     src = docs.select(F.col(key).alias("key"), F.col(lang).cast("string").alias("lang"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    ident = F.xxhash64(F.col("key").cast("string"))
-    # only trusted texts (and a few others, which the join drops) are shuffled
-    few = may_hold(src, ident, trusted.select(ident.alias("ident")), "ident")
-    logs = train(few.join(trusted.hint("merge"), "key", "left_semi").select("text"))
-    kind = docs.schema[key].dataType.simpleString()
-    scored = written(src.mapInArrow(scorer(docs.sparkSession.sparkContext.broadcast(logs)), f"key {kind}, lang string, n_symbols long, log_prob double"), "kn-scores")
+    scored = written(score(src, trusted), "kn-scores")
     scored = scored.withColumn("log_perplexity", -F.col("log_prob") / F.col("n_symbols"))
     cell = F.ceil(F.col("log_perplexity") * GRID)
     cells = scored.filter("n_symbols > 1").join(trusted, "key", "left_semi").groupBy("lang", cell.alias("cell")).agg(F.count("*").alias("n"))
