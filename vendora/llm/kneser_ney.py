@@ -7,12 +7,12 @@ if that is at most its language's threshold, the ``QUANTILE`` of the trusted
 documents of the language (of all trusted documents where a language has none).
 
 Counts are sharded by n-gram and grow with the corpus: no task and no driver holds
-them all.  Each task adds up its own texts, then n-grams meet in buckets by the two
+them all.  Each task adds up the trusted texts it reads; two bitmaps tell it which they
+are, and only texts they leave in doubt are shuffled to be joined.  Then n-grams meet in buckets by the two
 symbols before their last, where all longer contexts of an n-gram are whole: a bucket
 has the continuation counts, totals and interpolation weights of orders 3 and up.
 Only orders 1 and 2 (at most 257 * 257 numbers) and the discounts are sent to every
-task.  Documents go in blocks that ask the buckets for the n-grams they hold (see
-lm_blocks) and get a log probability for each.
+task.  Documents go in blocks that ask the buckets for the n-grams lm_blocks) and get a log probability for each; texts travel to their blocks compressed.
 
 Quantiles are exact on a grid of 1/1000 of log10 perplexity, from counts by
 language and grid cell.
@@ -25,13 +25,15 @@ an empty result; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vendora.llm import textgrid as tg
-from vendora.llm.bits import may_hold
+from vendora.llm.bits import MOST, bitmap, hits
 from vendora.llm.lm_blocks import BLOCK, Slots, count_distinct, n_buckets
 from vendora.llm.registry import query, table, written
 
@@ -44,6 +46,7 @@ QUANTILE = 0.995
 GRID = 1000
 SPREAD = 2654435761        # multiplier that spreads neighbouring contexts over the buckets
 HELD = 1 << 22             # n-grams a task adds up before it sends them on
+READ = 4                   # blocks' worth of text that a task reads to add up the trusted part
 FOLD = np.arange(256)      # symbol of each byte
 
 
@@ -90,6 +93,51 @@ def count_grams(batches):
     yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(c)], names=["gram", "n"])
 
 
+def shifted(ident):
+    """Other bits of an id's hash for the second bitmap; of a NumPy array or a column."""
+    return ident >> 32 if isinstance(ident, np.ndarray) else F.shiftright(ident, 32)
+
+
+def of_trusted(src: DataFrame, trusted: DataFrame, step, out: str, tasks: int, most: int = MOST) -> list[DataFrame]:
+    """``step`` (batches of text in, rows of ``out`` out; in ``tasks`` tasks) over the texts of ``src``
+    (key, text) whose key is in ``trusted``: over those that two bitmaps are sure of, in the tasks that read
+    them, and over the rest, found by a join, if there are any.
+
+    The first bitmap holds the trusted keys, the second the other keys that the first one lets
+    pass (only keys are shuffled for it).  A key in the first and not in the second is trusted."""
+    spark = src.sparkSession
+    ident = F.xxhash64(F.col("key").cast("string"))
+    trusted = trusted.filter("key IS NOT NULL")
+    known = bitmap(trusted.select(ident.alias("ident")), "ident", most)
+    first = spark.sparkContext.broadcast(known)
+
+    def passing(batches):
+        for batch in batches:
+            keep = hits(first.value, np.asarray(batch.column(0)))
+            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns], names=batch.schema.names)
+
+    kind = src.schema["key"].dataType.simpleString()
+    let_in = src.select(ident.alias("ident"), "key").mapInArrow(passing, f"ident long, key {kind}")
+    others = let_in.join(trusted.hint("merge"), "key", "left_anti").select(shifted(F.col("ident")).alias("ident"))
+    doubt = bitmap(others, "ident", most)
+    second = spark.sparkContext.broadcast(doubt)
+
+    def rows(sure: bool):
+        def run(batches):
+            for batch in batches:
+                at = np.asarray(batch.column(0))
+                keep = hits(first.value, at) & (hits(second.value, shifted(at)) != sure)
+                yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[1:]], names=batch.schema.names[1:])
+        return run
+
+    sure = rows(True)
+    certain = src.select(ident.alias("ident"), "text").coalesce(tasks).mapInArrow(lambda batches: step(sure(batches)), out)
+    if not doubt.any():
+        return [certain]
+    rest = src.select(ident.alias("ident"), "key", "text").mapInArrow(rows(False), f"key {kind}, text string")
+    return [certain, rest.join(trusted.hint("merge"), "key", "left_semi").select("text").coalesce(tasks).mapInArrow(step, out)]
+
+
 def _bucket(gram, n: int):
     """Bucket of grams by the two symbols before the last; of a NumPy array or a column."""
     if isinstance(gram, np.ndarray):
@@ -165,9 +213,10 @@ def low_orders(gram: np.ndarray, n: np.ndarray) -> np.ndarray:
     return p
 
 
-def train(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, dict]:
-    """Counts of the top order by bucket, order 2's probabilities, and the discounts of the orders above."""
-    top = texts.mapInArrow(count_grams, "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n"))
+def train(grams: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, dict]:
+    """Counts of the top order by bucket, order 2's probabilities, and the discounts of the orders above,
+    from the tasks' counts (gram, n)."""
+    top = grams.groupBy("gram").agg(F.sum("n").alias("n"))
     top = written(top.select(_bucket(F.col("gram"), n).cast("int").alias("bucket"), "gram", "n"), "kn-counts")
     # at most 257 * 257 rows and four for each order
     got = (top.groupBy("bucket").applyInArrow(bucket_stats, "gram_order int, gram long, n long")
@@ -180,9 +229,33 @@ def train(texts: DataFrame, n: int) -> tuple[DataFrame, np.ndarray, dict]:
     return top, low_orders(gram[order == LOW], count[order == LOW]), cuts
 
 
+def packed(batches):
+    """(block, key, lang, size, text): texts compressed one by one, with their bytes before."""
+    codec = pa.Codec("zstd")
+    for batch in batches:
+        texts = [t.as_buffer() for t in batch.column("text").cast(pa.binary())]
+        size, small = [t.size for t in texts], [codec.compress(t, asbytes=True) for t in texts]
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("block", "key", "lang")), pa.array(size, pa.int64()), pa.array(small, pa.binary())],
+                                         names=["block", "key", "lang", "size", "text"])
+
+
+def unpacked(tab):
+    """Row slices of ``packed`` rows with their texts, near textgrid's SLICE bytes each (one row at least)."""
+    codec = pa.Codec("zstd")
+    ends = np.cumsum(_numpy(tab.column("size")))
+    lo, base = 0, 0
+    while lo < len(ends):
+        hi = max(lo + 1, int(np.searchsorted(ends, base + tg.SLICE, "right")))
+        part = tab.slice(lo, hi - lo)
+        texts = [codec.decompress(t.as_buffer(), n, asbytes=True) if n else b""
+                 for t, n in zip(part.column("text"), part.column("size").to_pylist())]
+        yield part.set_column(part.schema.get_field_index("text"), "text", pa.array(texts, pa.binary()).cast(pa.large_string()))
+        lo, base = hi, int(ends[hi - 1])
+
+
 def block_grams(tab, n: int) -> tuple[np.ndarray, np.ndarray]:
     """A block's different n-grams and their buckets, by bucket and n-gram."""
-    pieces = [np.unique(codes(part.column("text"))[0]) for part in tg.slices(tab.select(["text"]))]
+    pieces = [np.unique(codes(part.column("text"))[0]) for part in unpacked(tab.select(["size", "text"]))]
     k, _ = count_distinct(pieces, [np.zeros(len(x), np.int64) for x in pieces])
     bucket = _bucket(k, n)
     at = np.lexsort((k, bucket))
@@ -234,7 +307,7 @@ def score_block(n: int):
         at = np.argsort(k)
         slots, logs = Slots(k[at]), logs[at].astype(np.float64)
         out = []
-        for part in tg.slices(docs):
+        for part in unpacked(docs):
             code, ptr = codes(part.column("text"))
             out.append(pa.table({"key": part.column("key"), "lang": part.column("lang"), "n_symbols": pa.array(np.diff(ptr)),
                                  "log_prob": pa.array(np.add.reduceat(logs[slots.find(code)], ptr[:-1]))}))
@@ -247,20 +320,16 @@ def score(src: DataFrame, trusted: DataFrame) -> DataFrame:
     total, rows = src.agg(F.sum(F.octet_length("text").cast("long")), F.count("*")).first()
     n_blocks = max(1, -(-((total or 0) + 64 * rows) // BLOCK))
     n = n_buckets(n_blocks)
-    ident = F.xxhash64(F.col("key").cast("string"))
-    # only trusted texts (and a few others, which the join drops) are shuffled; a task adds up about a block of
-    # them: the more text it has, the fewer n-grams leave it
-    few = may_hold(src, ident, trusted.select(ident.alias("ident")), "ident")
-    tasks = max(1, -(-n_blocks * min(trusted.count(), rows) // max(rows, 1)))
-    texts = few.join(trusted.hint("merge"), "key", "left_semi").select("text").coalesce(tasks)
-    top, low, cuts = train(texts, n)
+    # a task adds up about a block of trusted text, the more the fewer n-grams leave it, and reads READ blocks at most
+    tasks = max(1, -(-n_blocks * min(trusted.count(), rows) // max(rows, 1)), -(-n_blocks // READ))
+    top, low, cuts = train(reduce(DataFrame.union, of_trusted(src, trusted, count_grams, "gram long, n long", tasks)), n)
     model = src.sparkSession.sparkContext.broadcast((low, cuts))
     block = F.pmod(F.xxhash64(F.col("key").cast("string"), "text"), F.lit(n_blocks)).cast("int")
-    docs = src.select(block.alias("block"), "key", "lang", "text")
+    kind = src.schema["key"].dataType.simpleString()
+    docs = src.select(block.alias("block"), "key", "lang", "text").mapInArrow(packed, f"block int, key {kind}, lang string, size long, text binary")
     asked = docs.groupBy("block").applyInArrow(ask(n), "bucket int, block int, grams array<long>")
     answers = (asked.groupBy("bucket").cogroup(top.groupBy("bucket"))
                .applyInArrow(answer(model), "block int, bucket int, logs array<float>"))
-    kind = src.schema["key"].dataType.simpleString()
     return docs.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(score_block(n), f"key {kind}, lang string, n_symbols long, log_prob double")
 
 
