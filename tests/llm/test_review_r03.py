@@ -134,6 +134,38 @@ def test_decoded_text_comes_from_the_ids(monkeypatch):
     assert back == model.decode([int(i) for i in ids.split(" ")])
 
 
+def test_rows_of_the_prefix_table_are_worked_out_once(monkeypatch):
+    """New words of known syllables need next to no new rows."""
+    model = sentencepiece_bpe.PieceModel(sentencepiece_bpe.default_path())
+    done, plain = [], model.advance
+    monkeypatch.setattr(model, "advance", lambda state, c: done.append(c) or plain(state, c))
+    rng = np.random.default_rng(5)
+    words = list(dict.fromkeys("\u2581" + "".join(rng.choice(["the", "an", "tion", "er", "ou"], 5)) for _ in range(2000)))
+    for w in words[:1000]:
+        model.encode_chunk(w)
+    first = len(done)
+    for w in words[1000:]:
+        model.encode_chunk(w)
+    assert len(words) > 1300 and first < sum(map(len, words[:1000])) / 10
+    assert len(done) - first < sum(map(len, words[1000:])) / 50
+
+
+@pytest.mark.parametrize("limit", [1, 7, 200])
+def test_states_started_anew(monkeypatch, limit):
+    """Ids are the library's however often the states are dropped."""
+    import sentencepiece
+    monkeypatch.setattr(sentencepiece_bpe, "STATES", limit)
+    model = sentencepiece_bpe.PieceModel(sentencepiece_bpe.default_path())
+    sp = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.default_path())
+    rng = np.random.default_rng(limit)
+    pieces = [p.replace("\u2581", " ") for p in model.ids]
+    for _ in range(300):
+        text = "".join(rng.choice([*rng.choice(pieces, 6), "\n", "\u2603", "    ", "1200", "\U0001f600"], 12))
+        ids = model.encode(text)
+        assert ids == [*sp.encode(text), sp.eos_id()] and model.decode(ids) == sp.decode(ids)
+        assert len(model.states) <= limit
+
+
 def test_two_senders_of_one_batch(spark):
     store = token_rollup.Store(spark, scratch_path(spark, "rollup"))
     rows = spark.createDataFrame([("s", "en", "v", 1, 7, 20)], "source string, lang string, version string, sign int, n_tokens long, n_chars long")

@@ -7,6 +7,12 @@ prefix L characters shorter and the candidate are compatible, that is, the
 merge procedure leaves that pair of tokens as it is.  Reading the table from
 the end gives the ids backwards.
 
+What follows a prefix depends on its open tokens only: the ends of the prefix that
+begin a longer token, each with the last token before it.  Together they are a
+``State`` of the automaton, which remembers the state that each next character
+leads to; a row of the table is thus worked out once, not once for each chunk that
+needs it.
+
 Chunks: no piece of the model has the space mark after another character or a
 line break beside one, so no merge crosses from a character to a following space
 mark or over a line break.  The text is cut there and each distinct chunk is
@@ -19,8 +25,8 @@ string; characters outside the vocabulary give their UTF-8 bytes as byte ids.
 from __future__ import annotations
 
 import hashlib
-import heapq
 import re
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -32,14 +38,31 @@ from vendora.llm.registry import query, table
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
 CACHE = 400_000            # distinct chunks (half as many piece pairs) kept in a worker before a table is started anew
+STATES = 200_000           # states of the prefix table kept in a worker before they are started anew
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6     # piece kinds of the model file
+NEVER = float("inf")       # what joining two symbols costs that make no piece
+
+
+class State(dict):
+    """Character -> next state, worked out when first asked for."""
+
+    __slots__ = ("model", "opens", "last")
+
+    def __init__(self, model: PieceModel, opens: tuple):
+        super().__init__()
+        self.model = model
+        self.opens = opens          # what is begun of a piece, then the last token before it (-1: none), longest first
+        self.last = opens[-1]       # the empty one's: the last token of the prefix
+
+    def __missing__(self, c: str) -> State:
+        out = self[c] = self.model.advance(self, c)
+        return out
 
 
 class PieceModel:
     """Pieces of a model file with what encoding and decoding need."""
 
     def __init__(self, path: str):
-        import ahocorasick
         from sentencepiece import sentencepiece_model_pb2 as pb
         model = pb.ModelProto()
         with open(path, "rb") as f:
@@ -51,7 +74,7 @@ class PieceModel:
         self.prefix = MARK if norm.add_dummy_prefix else ""
         self.pieces = [p.piece for p in model.pieces]
         self.kinds = [p.type for p in model.pieces]
-        self.rank = {p.piece: (-p.score, i) for i, p in enumerate(model.pieces) if p.type == NORMAL}
+        self.rank = {p.piece: -p.score for p in model.pieces if p.type == NORMAL}
         self.ids = {p.piece: i for i, p in enumerate(model.pieces) if p.type == NORMAL}
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece crosses from a character to a space mark")
@@ -63,40 +86,31 @@ class PieceModel:
         self.byte_of = {i: b for b, i in self.bytes.items()}
         self.eos = next(i for i, p in enumerate(model.pieces) if p.piece == (spec.eos_piece or "</s>"))
         self.unk_surface = spec.unk_surface
+        self.sizes = [len(p) for p in self.pieces]
+        self.digits = [str(i) for i in range(len(self.pieces))]
+        self.surface = ["" if k == CONTROL else self.unk_surface if k == UNKNOWN else p
+                        for p, k in zip(self.pieces, self.kinds, strict=True)]
         self.pair_cache: dict = {}
-        self.automaton = ahocorasick.Automaton()
-        for piece in self.ids:
-            if len(piece) == 1 or self.merged(piece) == (piece,):    # reachable pieces only
-                self.automaton.add_word(piece, (len(piece), self.ids[piece]))
-        self.automaton.make_automaton()
+        self.reachable = {p: i for p, i in self.ids.items() if len(p) == 1 or self.merged(p) == (p,)}
+        self.begun = {b: b for p in self.reachable for b in (p[:n] for n in range(1, len(p)))}
         self.letters = {p for p in self.ids if len(p) == 1}
+        self.start = State(self, ("", -1))
+        self.states: dict = {}
 
     def merged(self, text: str) -> tuple:
         """The merge procedure itself: join the best-ranked neighbours first,
         the leftmost of equal ones.  Used on pairs of pieces, which are short."""
-        sym = list(text)
-        left, right = list(range(-1, len(sym) - 1)), list(range(1, len(sym) + 1))
-        heap: list = []
-
-        def offer(i):
-            j = right[i]
-            if j < len(sym) and (r := self.rank.get(sym[i] + sym[j])):
-                heapq.heappush(heap, (r[0], i, j, sym[i] + sym[j]))
-
-        for i in range(len(sym) - 1):
-            offer(i)
-        while heap:
-            _, i, j, both = heapq.heappop(heap)
-            if sym[i] is None or sym[j] is None or right[i] != j or sym[i] + sym[j] != both:
-                continue
-            sym[i], sym[j] = both, None
-            right[i] = right[j]
-            if right[j] < len(sym):
-                left[right[j]] = i
-            if left[i] >= 0:
-                offer(left[i])
-            offer(i)
-        return tuple(s for s in sym if s is not None)
+        sym, rank = list(text), self.rank
+        cost = [rank.get(a + b, NEVER) for a, b in pairwise(sym)]       # of joining each symbol to the next
+        while cost and (least := min(cost)) < NEVER:
+            i = cost.index(least)
+            sym[i:i + 2] = [sym[i] + sym[i + 1]]
+            del cost[i]
+            if i:
+                cost[i - 1] = rank.get(sym[i - 1] + sym[i], NEVER)
+            if i < len(cost):
+                cost[i] = rank.get(sym[i] + sym[i + 1], NEVER)
+        return tuple(sym)
 
     def compatible(self, a: int, b: int) -> bool:
         """Does the merge procedure leave piece a before piece b as they are?"""
@@ -119,28 +133,41 @@ class PieceModel:
                 start = i + 1
         return out + self.encode_known(chunk[start:])
 
-    def encode_known(self, chunk: str) -> list[int]:
-        """Ids of characters that are all in the vocabulary, from the prefix table."""
-        last = [-1] * (len(chunk) + 1)              # last token of each prefix
-        pairs = self.pair_cache
-        for end, (size, k) in self.automaton.iter(chunk):
-            if last[end + 1] >= 0:
-                continue
-            before = end + 1 - size
-            if before:
-                p = last[before]
-                ok = pairs.get(p << 32 | k)
+    def advance(self, state: State, c: str) -> State:
+        """The state after one more character.  Of the open pieces that it ends, one holds."""
+        opens: list = []
+        last, pairs, it = -1, self.pair_cache, iter(state.opens)
+        for before, p in zip(it, it, strict=True):
+            piece = before + c
+            if last < 0 and (k := self.reachable.get(piece)) is not None:
+                ok = p < 0 or pairs.get(p << 32 | k)
                 if ok is None:
                     ok = self.compatible(p, k)
-                if not ok:
-                    continue
-            last[end + 1] = k
+                if ok:
+                    last = k
+            if (b := self.begun.get(piece)) is not None:
+                opens += (b, p)
+        key = (*opens, "", last)
+        found = self.states.get(key)
+        if found is None:
+            if len(self.states) >= STATES:
+                self.start.clear()
+                for x in self.states.values():
+                    x.clear()
+                self.states.clear()
+            found = self.states[key] = State(self, key)
+        return found
+
+    def encode_known(self, chunk: str) -> list[int]:
+        """Ids of characters that are all in the vocabulary, from the prefix table."""
+        state = self.start
+        path = [state := state[c] for c in chunk]
         out: list[int] = []
         i = len(chunk)
         while i > 0:
-            k = last[i]
+            k = path[i - 1].last
             out.append(k)
-            i -= len(self.pieces[k])
+            i -= self.sizes[k]
         out.reverse()
         return out
 
@@ -155,19 +182,22 @@ class PieceModel:
 
     def pieces_text(self, ids: list[int], first: bool) -> str:
         """Text of ids; ``first`` drops the space that encoding put before the text."""
-        out, run = [], bytearray()
-        for k in ids:
-            if k in self.byte_of:
-                run.append(self.byte_of[k])
-                continue
+        surface = self.surface
+        if self.byte_of.keys().isdisjoint(ids):
+            s = "".join([surface[k] for k in ids])
+        else:
+            out, run = [], bytearray()
+            for k in ids:
+                if k in self.byte_of:
+                    run.append(self.byte_of[k])
+                    continue
+                if run:
+                    out.append(decode_bytes(bytes(run)))
+                    run.clear()
+                out.append(surface[k])
             if run:
                 out.append(decode_bytes(bytes(run)))
-                run.clear()
-            kind = self.kinds[k]
-            out.append("" if kind == CONTROL else self.unk_surface if kind == UNKNOWN else self.pieces[k])
-        if run:
-            out.append(decode_bytes(bytes(run)))
-        s = "".join(out)
+            s = "".join(out)
         if first and self.prefix and s.startswith(MARK):
             s = s[1:]
         return s.replace(MARK, " ")
@@ -218,8 +248,8 @@ class ChunkTable(dict):
     def __missing__(self, chunk: str) -> tuple[str, str]:
         if len(self) >= CACHE:
             self.clear()
-        ids = self.model.encode_chunk(chunk)
-        out = self[chunk] = (" ".join(map(str, ids)), self.model.pieces_text(ids, False))
+        ids, digits = self.model.encode_chunk(chunk), self.model.digits
+        out = self[chunk] = (" ".join([digits[k] for k in ids]), self.model.pieces_text(ids, False))
         return out
 
 
