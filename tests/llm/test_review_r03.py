@@ -3,6 +3,7 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from vendora.llm import decontaminate, html_template, jaccard_trie, line_dedup, ppm, quality_lines, sentencepiece_bpe, textgrid, token_rollup, toxicity
@@ -208,3 +209,22 @@ def test_names_within_an_article(spark, n_pages):
     for k, x in enumerate(KEPT + GONE):
         middle = "stays " if x in KEPT else ""
         assert got[100 * k] == f"Title {k} 0 Opening of page {k} 0. {middle}End of {k} 0.", x
+
+
+def test_encoder_holds_little(monkeypatch):
+    """A batch leaves in parts, and the chunks kept stay few when all words are new."""
+    monkeypatch.setattr(sentencepiece_bpe, "PART", 2000, raising=False)
+    monkeypatch.setattr(sentencepiece_bpe, "_TABLES", {})
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 9)) for _ in range(110_000)]
+    texts = [None, *[" ".join(words[i:i + 100]) for i in range(0, len(words), 100)], ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["key", "text"])
+    kept, parts = [], []
+    for part in sentencepiece_bpe.encoder()([batch, batch.slice(0, 0)]):
+        kept.append(len(sentencepiece_bpe.table_of(sentencepiece_bpe.default_path())))
+        parts.append(part)
+    rows = pa.Table.from_batches(parts)
+    assert rows.column("key").to_pylist() == list(range(len(texts)))
+    assert rows.column("decoded").to_pylist() == [t or "" for t in texts]
+    assert rows.column("n_tokens").to_pylist() == [len(ids) for ids in rows.column("ids").to_pylist()]
+    assert max(kept) <= 100_000 and max(p.num_rows for p in parts) < 50

@@ -37,8 +37,10 @@ from vendora.llm.registry import query, table
 
 MARK = "▁"
 CHUNK = re.compile(f"{MARK}+[^{MARK}\n]*|[^{MARK}\n]+|\n")
-CACHE = 400_000            # distinct chunks (half as many piece pairs) kept in a worker before a table is started anew
+CACHE = 100_000            # distinct chunks kept in a worker before their table is started anew
+PAIRS = 200_000            # piece pairs kept in a worker before their table is started anew
 STATES = 200_000           # states of the prefix table kept in a worker before they are started anew
+PART = 500_000             # characters of ids after which a worker hands on the rows it has
 NORMAL, UNKNOWN, CONTROL, BYTE = 1, 2, 3, 6     # piece kinds of the model file
 NEVER = float("inf")       # what joining two symbols costs that make no piece
 
@@ -114,7 +116,7 @@ class PieceModel:
 
     def compatible(self, a: int, b: int) -> bool:
         """Does the merge procedure leave piece a before piece b as they are?"""
-        if len(self.pair_cache) > CACHE // 2:
+        if len(self.pair_cache) >= PAIRS:
             self.pair_cache.clear()
         x, y = self.pieces[a], self.pieces[b]
         hit = self.pair_cache[a << 32 | b] = self.merged(x + y) == (x, y)
@@ -275,23 +277,32 @@ def encode_text(known: ChunkTable, text: str) -> tuple[str, str]:
 
 def encoder(path: str | None = None, with_text: bool = True):
     """Arrow batches with a text column in, the other columns with n_tokens,
-    ids_sha256 and decoded, ids (or decoded_sha256) out."""
+    ids_sha256 and decoded, ids (or decoded_sha256) out.  A batch leaves in parts, so
+    that a worker never holds the ids of all of its texts."""
+
+    def out(part, rows):
+        cols = {f.name: part.column(k) for k, f in enumerate(part.schema) if f.name != "text"}
+        cols["n_tokens"] = pa.array([ids.count(" ") + 1 for ids, _ in rows], pa.int64())
+        cols["ids_sha256"] = pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string())
+        if with_text:
+            cols["decoded"] = pa.array([back for _, back in rows], pa.string())
+            each = [np.array(ids.split(" "), np.int32) for ids, _ in rows]
+            ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
+            cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each)))
+        else:
+            cols["decoded_sha256"] = pa.array([hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows], pa.string())
+        return pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
 
     def run(batches):
         known = table_of(path or default_path())
         for batch in batches:
-            rows = [encode_text(known, t or "") for t in batch.column(batch.schema.get_field_index("text")).to_pylist()]
-            cols = {f.name: batch.column(k) for k, f in enumerate(batch.schema) if f.name != "text"}
-            cols["n_tokens"] = pa.array([ids.count(" ") + 1 for ids, _ in rows], pa.int64())
-            cols["ids_sha256"] = pa.array([hashlib.sha256(ids.encode()).hexdigest() for ids, _ in rows], pa.string())
-            if with_text:
-                cols["decoded"] = pa.array([back for _, back in rows], pa.string())
-                each = [np.array(ids.split(" "), np.int32) for ids, _ in rows]
-                ends = np.cumsum([0, *map(len, each)]).astype(np.int32)
-                cols["ids"] = pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(each) if each else np.zeros(0, np.int32)))
-            else:
-                cols["decoded_sha256"] = pa.array([hashlib.sha256(back.encode("utf-8", "surrogatepass")).hexdigest() for _, back in rows], pa.string())
-            yield pa.RecordBatch.from_arrays(list(cols.values()), names=list(cols))
+            rows, start, size = [], 0, 0
+            for i, text in enumerate(batch.column(batch.schema.get_field_index("text")), 1):
+                rows.append(encode_text(known, text.as_py() or ""))
+                size += len(rows[-1][0])
+                if size >= PART or i == batch.num_rows:
+                    yield out(batch.slice(start, i - start), rows)
+                    rows, start, size = [], i, 0
     return run
 
 
